@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from intentdeck.llm import packing, url_filter, warc
+from intentdeck.llm import packing, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op5_warc": warc.op5_warc,
         "op7_url_filter": url_filter.op7_url_filter,
