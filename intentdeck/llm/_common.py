@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intentdeck.shared import discard, materialize, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests, one machine) a new one."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="intentdeck-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+__all__ = ["connected_components", "discard", "materialize", "read_table", "shared_dir"]
 
 
-def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
