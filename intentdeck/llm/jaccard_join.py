@@ -180,7 +180,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cands = cands.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "copies", "text")
     p, q = similar
 
-    def compare(key, b: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         b = b.sort_values("cid", kind="stable").reset_index(drop=True)
@@ -212,7 +212,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         x, y = np.nonzero(np.triu(link))
         out = [(int(c[k]), int(links[k]), None) for k in np.nonzero(links)[0]]
         out += [(int(c[s]), 0, int(c[r])) for s, r in forest(len(sets), zip(x.tolist(), y.tolist(), strict=True))]
-        return pd.DataFrame(out, columns=["cid", "links", "root"]).astype({"cid": "int64", "links": "int64", "root": "Int64"})
+        return pd.DataFrame({"cid": pd.array([o[0] for o in out], "int64"), "links": pd.array([o[1] for o in out], "int64"), "root": pd.array([o[2] for o in out], "Int64")})
 
     found = materialize(cands.groupBy("component", "i", "j").applyInPandas(compare, "cid long, links long, root long"), "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -98,7 +98,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     listed = listed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     listed = listed.select("label", "dim", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "copies", "near", "v")
 
-    def compare(key, b: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         pivot, i, j = key[2], key[3], key[4]
@@ -122,7 +122,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         rows_, cols = np.nonzero(np.triu(cand))
         out = [(int(c[k]), int(links[k]), None) for k in np.nonzero(links)[0]]
         out += [(int(c[a]), 0, int(c[r])) for a, r in forest(len(b), zip(rows_.tolist(), cols.tolist(), strict=True))]
-        return pd.DataFrame(out, columns=["class", "links", "root"]).astype({"class": "int64", "links": "int64", "root": "Int64"})
+        return pd.DataFrame({"class": pd.array([o[0] for o in out], "int64"), "links": pd.array([o[1] for o in out], "int64"), "root": pd.array([o[2] for o in out], "Int64")})
 
     found = materialize(listed.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(compare, "class long, links long, root long"), "found")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
