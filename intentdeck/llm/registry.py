@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intentdeck.llm import decontamination, jaccard_join, near_vectors, packing, quality, secrets, toxicity, url_filter, warc
+from intentdeck.llm import decontamination, jaccard_join, near_vectors, packing, quality, secrets, suffix_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_quality_resampling": quality.op10_quality_resampling,
     }
 
