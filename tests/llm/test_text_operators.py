@@ -1,0 +1,399 @@
+"""Operators over documents, held against brute force on small tables and on rows with nulls, repeats, ties and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from intentdeck.llm import decontamination, jaccard_join, packing, quality, secrets, suffix_dedup, toxicity
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, class string, runs string, key string, body string, doc string, fp string, label int"
+LONG = "the quick brown fox jumps over the lazy dog while seven wizards brew a potion of immense power in the deep dark forest of the north"
+
+
+def rows_of(name="documents", sf=SF):
+    return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids and texts, empty, repeated, tied and very long texts, and columns named like the operators' own."""
+    texts = [(1, LONG), (2, LONG), (2, LONG), (3, None), (4, ""), (None, LONG), (None, None), (5, "word"), (6, "word"), (7, " \n\t "), (8, LONG + " extra words here"), (9, "x" * 60_000), (10, ("lorem ipsum dolor " * 4000)), (11, "Ünïcödé " * 30)]
+    return spark.createDataFrame([(i, t, "en", None, None, 0.5, "c", "r", "k", "b", "d", "f", 1) for i, t in texts], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# -- toxicity
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["ba", "ko", "ti", "re", "su", "na"]) for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    bad = ["grimbol", "snarfel", "vexopod"]
+
+    def text(toxic):
+        w = [rng.choice(words) for _ in range(rng.randint(5, 200))]
+        for _ in range(rng.randint(1, 4) if toxic else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        return " ".join(w)
+
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (3, 1, None), (99_999, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r[0]: (r[1], r[2]) for r in toxicity.score_documents(docs, toxicity.train_on(docs, labels)).withColumn("h", toxicity.held_out()).select("doc_id", "score", "h").collect()}
+    held = [(got[i][0], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {i for i in got if got[i][1]} == {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert sum((s >= 0.7) == (y == 1) for s, y in held) / len(held) > 0.97
+    assert all(0 <= s <= 1 for s, _ in got.values())
+
+
+def test_toxicity_odd_rows(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.train_on(odd, labels)
+    assert toxicity.score_documents(odd, model).count() == odd.count()
+    assert toxicity.score_documents(nothing, model).count() == 0
+    none = toxicity.train_on(nothing, labels)  # nothing to learn from: no document is toxic
+    assert toxicity.without_toxic(odd, none).collect() == odd.collect()
+
+
+# -- packing
+
+
+def test_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    encode = packing.text_encoder(path)
+    rng = random.Random(1)
+    texts = [r["text"] for r in rows_of()] + ["", " ", "a  b\n\n c\t", "it's we'LL <|endoftext|>", "ñandú ½ ² 日本語 🙂\u00a0x", "".join(chr(rng.choice([32, 9, 10, 39, 65, 97, 49, 233, 8217, 128512, 0x1F1E6, 0x301])) for _ in range(3000))]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_plan_runs_is_best_fit():
+    """Against best fit decreasing one document at a time."""
+    rng = random.Random(2)
+    for cap in (10, 37, 100):
+        sizes = sorted((rng.randint(1, cap) for _ in range(800)), reverse=True)
+        gaps: list[int] = []
+        for s in sizes:
+            fit = [g for g in gaps if g >= s]
+            if fit:
+                gaps.remove(min(fit))
+                gaps.append(min(fit) - s)
+            else:
+                gaps.append(cap - s)
+        counts = collections.Counter(sizes)
+        runs = packing.plan_runs(dict(counts), cap)
+        seen, bins = collections.defaultdict(list), collections.defaultdict(list)
+        for length, rank, n, seq, off in runs:
+            seen[length] += range(rank, rank + n)
+            for k in range(n):
+                bins[seq + k].append((off, length))
+        assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(v)) for k, v in counts.items()}
+        for b in bins.values():
+            at = 0
+            for off, length in sorted(b):
+                assert off == at
+                at += length
+            assert at <= cap
+        assert len(bins) <= len(gaps)
+
+
+def check_packing(got, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    tok.encode_special_tokens = True
+    seqs, docs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+        docs[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for s in seqs.values():
+        at = 0
+        for off, n in sorted(s):
+            assert off == at
+            at += n
+        assert at <= 1024
+    total = 0
+    for i, t in texts:
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
+        at = 0
+        for k, (piece, start, n, crc) in enumerate(sorted(docs[i])):
+            assert (piece, start) == (k, at) and crc == zlib.crc32(ids[4 * start : 4 * (start + n)])
+            assert n == 1024 or k == 0
+            at += n
+        assert at == len(ids) // 4
+        total += at
+    assert len(seqs) <= 1.02 * total / 1024 + 1
+
+
+def test_packing(spark):
+    check_packing(packing.op2_best_fit_packing(spark, SF).collect(), [(r["doc_id"], r["text"]) for r in rows_of()])
+
+
+def test_packing_odd_rows(odd, nothing):
+    assert packing.pack_documents(nothing).count() == 0
+    once = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    check_packing(packing.pack_documents(once).collect(), [(r.doc_id, r.text) for r in once.collect()])
+    got = packing.pack_documents(odd, with_ids=True).collect()
+    assert sum(r.piece == 0 for r in got) == odd.count()
+    assert all(len(r.ids) == r.length for r in got)
+
+
+# -- decontamination
+
+
+def best_window(item, text):
+    """(edits) of the best run of text for item, by the full table."""
+    w, t = decontamination.words_of(item), decontamination.words_of(text)
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(w, 1):
+        prev, row = row, [i]
+        for j, y in enumerate(t, 1):
+            row.append(min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y)))
+    return min(row)
+
+
+def test_decontamination_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in rows_of() if len(r["text"]) < 3000]
+    items = [(r["item_id"], r["text"]) for r in rows_of("benchmark")]
+    rng = random.Random(5)
+    for k, (_, t) in enumerate(items[:20]):  # near copies: words changed, dropped and put in
+        w = decontamination.words_of(t)
+        for _ in range(int(0.15 * len(w))):
+            p = rng.randrange(len(w))
+            w[p : p + 1] = rng.choice([["zz"], [], [w[p], "qq"]])
+        docs.append((10_000 + k, "Some words before. " + " ".join(w) + " and some after"))
+    want = {}
+    for d, t in docs:
+        have = set(decontamination.words_of(t))
+        for i, s in items:
+            w = decontamination.words_of(s)
+            if sum(x in have for x in w) >= 0.8 * len(w) and (e := best_window(s, t)) <= int(0.2 * len(w)):
+                want[d, i] = e
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items + [(None, "x y z"), (777, None), (778, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontamination.contaminated(df, bench, per_pass=25).collect()}
+    assert set(got) <= set(want)
+    assert len(got) >= 0.97 * len(want) and len(want) >= 20
+    assert all(got[k] == want[k] for k in got if want[k] == 0)
+
+
+def test_decontamination_odd_rows(spark, odd, nothing):
+    bench = spark.createDataFrame([(1, LONG), (1, LONG)], "item_id long, text string")
+    got = decontamination.contaminated(odd, bench).collect()
+    assert collections.Counter(r.doc_id for r in got) == {1: 1, 2: 2, None: 1, 8: 1}
+    assert decontamination.contaminated(nothing, bench).count() == 0
+    assert decontamination.contaminated(odd, bench.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in decontamination.without_contaminated(odd, bench).collect()) == sorted(str(r.doc_id) for r in odd.collect() if r.text != LONG and r.doc_id != 8 or r.doc_id is None)
+
+
+# -- Jaccard join
+
+
+def brute_jaccard(docs):
+    def grams(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        n = min(5, len(w))
+        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else frozenset()
+
+    live = [(i, grams(t)) for i, t in docs if i is not None]
+    up = {i: i for i, _ in docs if i is not None}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = collections.Counter()
+    for a in range(len(live)):
+        for b in range(a):
+            x, y = live[a][1], live[b][1]
+            if x and y and 10 * len(x & y) >= 8 * len(x | y):
+                links[a] += 1
+                links[b] += 1
+                p, q = sorted((top(live[a][0]), top(live[b][0])))
+                up[q] = p
+    first = {}
+    for i, g in sorted(live, key=lambda r: r[0]):
+        first.setdefault(g or ("none", i), i)
+    return collections.Counter((i, first[g or ("none", i)], links[k], top(i), top(i) == i) for k, (i, g) in enumerate(live))
+
+
+@pytest.mark.parametrize("block", [192, 3])
+def test_jaccard_brute_force(spark, block):
+    docs = [(r["doc_id"], r["text"]) for r in rows_of()]
+    words = docs[0][1].split()[:150]
+    for k in range(12):  # a chain of near copies, and copies of one of them
+        docs.append((1000 + k, " ".join(words[k * 3 : 120 + k * 3])))
+        docs.append((1100 + k, " ".join(words[:120])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_join(df, block=block).collect())
+    assert got == brute_jaccard(docs)
+
+
+def test_jaccard_odd_rows(odd, nothing):
+    got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_join(odd).where("id is not null").collect())
+    assert got == brute_jaccard([(r.doc_id, r.text) for r in odd.collect()])
+    alone = jaccard_join.jaccard_join(odd).where("id is null").collect()
+    assert [tuple(r) for r in alone] == [(None, None, 0, None, True)] * 2
+    assert jaccard_join.jaccard_join(nothing).count() == 0
+
+
+# -- secrets
+
+
+def test_secret_positions_and_forest(spark):
+    forest = secrets.default_forest(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = secrets.scan(docs, forest).collect()
+    candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+    want = {(i, m.start(), m.group()) for i, t in text.items() for m in candidate.finditer(t) if re.search("[0-9]", m.group())}
+    assert {(r.doc_id, r.start, r.secret) for r in got} == want
+    planted = {(i, m.start(1)) for i, t in text.items() for m in re.finditer(r'token = "([0-9a-fA-F]{40})"', t, re.I)}
+    assert planted and planted <= {(r.doc_id, r.start) for r in got if r.is_secret}
+    # redaction is the same decisions applied to the text
+    out = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    for i, t in text.items():
+        for r in sorted((r for r in got if r.doc_id == i and r.is_secret), key=lambda r: -r.start):
+            t = t[: r.start] + secrets.REDACTED + t[r.start + r.length :]
+        assert out[i] == t
+
+
+def test_forest_expression_equals_its_trees(spark):
+    forest = secrets.Forest([(0, 2.0, 0.25, (1, 5.0, 0.5, 1.0)), 0.5])
+    df = spark.createDataFrame([(1.0, 9.0), (3.0, 5.0), (3.0, 6.0)], "a double, b double")
+    assert [r[0] for r in df.select(forest.score([F.col("a"), F.col("b")])).collect()] == [0.375, 0.5, 0.75]
+
+
+def test_forest_held_out(spark):
+    found = secrets.labelled_findings(spark, 3000)
+    forest = secrets.Forest.fit(found.limit(2000))
+    df = found.exceptAll(found.limit(2000))
+    values = secrets.features(F.col("secret"), F.col("before"), F.col("after"), F.col("path"))
+    right = df.select(((forest.score(values) >= 0.5) == (F.col("label") == 1)).cast("int").alias("r")).agg(F.avg("r")).first()[0]
+    assert right > 0.95
+
+
+def test_secrets_odd_rows(spark, odd, nothing):
+    forest = secrets.default_forest(spark)
+    assert secrets.scan(nothing, forest).count() == 0
+    assert secrets.scan(odd, forest, path_col=None).count() == 0
+    assert secrets.redact(odd, forest).collect() == odd.collect()
+    twice = spark.createDataFrame([(None, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "a", "z")] * 2, "doc_id long, text string, source string, _cands string")
+    assert secrets.scan(twice, forest).where("is_secret = 1").count() == 2
+    assert {r.text for r in secrets.redact(twice.drop("_cands"), forest).collect()} == {'token = "[SECRET]"'}
+
+
+# -- suffix dedup
+
+
+def brute_removal(docs, length=100):
+    first = {}
+    for d, t in sorted(docs):
+        for p in range(len(t) - length + 1):
+            first.setdefault(t[p : p + length], (d, p))
+    out = {}
+    for d, t in docs:
+        covered = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if first[t[p : p + length]] != (d, p):
+                covered[p : p + length] = b"\1" * length
+        left = bytes(c for c, x in zip(t, covered, strict=True) if not x)
+        out[d] = (len(t), sum(covered), sum(1 for i, x in enumerate(covered) if x and not (i and covered[i - 1])), hashlib.sha256(left).hexdigest(), left)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_brute_force(spark, seed):
+    rng = random.Random(seed)
+    letters = "ab" if seed == 0 else "abcdefghij é"
+    pool = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 400))) for _ in range(15)] + ["ab" * 150, "x" * 250]
+    docs = [(i, "".join(rng.choice(pool)[rng.randint(0, 10) :] for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(i, r["text"]) for i, r in enumerate(rows_of()[:40], 100)]
+    got = {r[0]: tuple(r[1:4]) + (r[4], bytes(r[5])) for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), with_text=True).collect()}
+    assert got == brute_removal([(i, t.encode()) for i, t in docs])
+
+
+def test_merge_equals_a_full_sort():
+    rng = random.Random(3)
+    contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(100, 160))) for _ in range(40)] + [b"a" * 150, b"ab" * 70]
+    windows = [len(c) - 99 for c in contexts]
+    order = [(k, 0, 0) for k in range(len(contexts))]
+    covered = {(c, f + j) for c, f, n in suffix_dedup.repeats(contexts, order, windows) for j in range(n)}
+    seen, want = set(), set()
+    for k, c in enumerate(contexts):
+        for p in range(windows[k]):
+            if c[p : p + 100] in seen:
+                want.add((k, p))
+            seen.add(c[p : p + 100])
+    assert covered == want
+
+
+def test_suffix_dedup_odd_rows(odd, nothing):
+    assert suffix_dedup.dedup(nothing).count() == 0
+    got = suffix_dedup.dedup(odd).collect()
+    assert len(got) == odd.count()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.n_bytes, r.n_removed))
+    n = len(LONG)
+    assert sorted(by[None]) == [(0, 0), (n, 0)]  # a null doc_id is smaller than any
+    assert by[1] == [(n, n)] and by[2] == [(n, n)] * 2 and by[3] == [(0, 0)] and by[4] == [(0, 0)]
+    assert by[9] == [(60_000, 59_999)]
+
+
+# -- quality
+
+
+def test_kth_largest(spark):
+    rng = random.Random(7)
+    values = [rng.choice([rng.gauss(0, 100), float(rng.randint(0, 5))]) for _ in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (1, 2, 777, 10_000, 20_000):
+        assert quality.kth_largest(df, k) == sorted(values, reverse=True)[k - 1]
+    same = spark.createDataFrame([(1.5,)] * 6000 + [(2.5,)], "key double")
+    assert quality.kth_largest(same, 5) == 1.5
+
+
+def test_quality_model_brute_force(spark):
+    rows, labels = rows_of(), {r["doc_id"]: r["quality"] for r in rows_of("labels")}
+    hasher = quality.NGramHasher()
+    raw, target = np.full(quality.BUCKETS, quality.SMOOTH), np.full(quality.BUCKETS, quality.SMOOTH)
+    for r in rows:
+        c = np.bincount(hasher(r["text"]), minlength=quality.BUCKETS)
+        raw += c
+        if labels.get(r["doc_id"]) == 1:
+            target += c
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = quality.op10_quality_resampling(spark, SF).collect()
+    weight = {r["doc_id"]: ratio[hasher(r["text"])].sum() for r in rows}
+    assert all(abs(r.log_weight - weight[r.doc_id]) < 1e-6 for r in got)
+    share = sum(labels.values()) / len(labels)
+    assert len(got) == round(share * len(rows))
+    kept = {r.doc_id for r in got}
+    good = [i in kept for i, q in labels.items() if q == 1]
+    bad = [i in kept for i, q in labels.items() if q == 0]
+    assert sum(good) / len(good) > sum(bad) / max(1, len(bad))
+
+
+def test_quality_odd_rows(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (4, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.resample(nothing, labels).count() == 0
+    assert quality.resample(odd, labels.limit(0)).count() == 0
+    assert quality.resample(odd, labels, share=1.0).count() == odd.count()
+    assert 1 <= quality.resample(odd, labels).count() <= odd.count()
