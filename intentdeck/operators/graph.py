@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentdeck.functions.text import substitute_vars
-from intentdeck.schemas import CycleDetected, NodeNotFound
+from intentdeck.schemas import OUTCOME, CycleDetected, NodeNotFound
 from intentdeck.shared import discard, materialize
 
 
@@ -159,10 +160,6 @@ def execute(plan: DataFrame, completed: DataFrame, values: dict[str, str] | None
     if executor is None:
         ran = outcome(F.lit(0), F.lit(0), F.lit(0))
     else:
-        import pandas as pd
-
-        from intentdeck.schemas import OUTCOME
-
         @F.pandas_udf(OUTCOME)
         def run(commands: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([executor(c) for c in commands], columns=["status", "latency_ns", "exit_code"])

@@ -50,7 +50,8 @@ def gauges(rows: DataFrame, value: str, capacity: int) -> DataFrame:
 
 def exposition(series: DataFrame) -> DataFrame:
     """(line) of the text format from (name, labels map<string,string>, value double); labels in key order, whole values without decimals."""
-    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(F.regexp_replace(e["value"], r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"')))
+    escaped = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
     label = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.lit(""))
     number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("decimal(38,0)").cast("string")).otherwise(F.col("value").cast("string"))
     return series.select(F.concat("name", label, F.lit(" "), number).alias("line"))
