@@ -6,8 +6,9 @@ after each edit: edit distance becomes Hamming distance between walks. Each repe
 a few steps; windows and items that agree on the sampled steps are candidates. Repetitions go on until the chance to miss an item at
 the allowed distance is small enough. Candidates are verified by their exact edit distance.
 
-Two exact necessary conditions spare most windows the walk: words that no item has can match none, so a window with more of them than
-the allowed edits is out; and a sampled step that no item has there ends the window's repetition.
+Exact necessary conditions spare most windows the walk: words that no item has can match none, so a window with more of them than
+the allowed edits is out; an edit breaks at most two word pairs, so a window without enough pairs that items have is out; and a sampled step that no
+item has there ends the window's repetition.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SAMPLES = 3
 REPETITIONS = 24
 #: Items that are matched in one pass over the documents; more items take more passes.
 ITEMS_PER_PASS = 20_000
+#: Slots of the table of word pairs that items have.
+PAIR_SLOTS = 1 << 23
 WORD = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, start_word int, n_words int, edits int, similarity double"
 
@@ -38,19 +41,18 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def edit_distance_prefix(item, window) -> tuple[int, int]:
-    """(least edit distance of item to any prefix of window, the shortest such prefix's length)."""
+def edit_distances(item, windows):
+    """For each row of windows (word ids, padded with -1): the least edit distance of item to any prefix, and the shortest such prefix's length."""
     import numpy as np
 
-    w = np.asarray(window)
-    idx = np.arange(len(w) + 1)
-    row = idx.copy()
+    idx = np.arange(windows.shape[1] + 1, dtype="i4")
+    row = np.repeat(idx[None, :], len(windows), axis=0)
     for i, x in enumerate(item, 1):
         cand = np.empty_like(row)
-        cand[0] = i
-        cand[1:] = np.minimum(row[1:] + 1, row[:-1] + (w != x))
-        row = np.minimum.accumulate(cand - idx) + idx  # insertions
-    return int(row.min()), int(row.argmin())
+        cand[:, 0] = i
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (windows != x), out=cand[:, 1:])
+        row = np.minimum.accumulate(cand - idx, axis=1) + idx  # insertions
+    return row.min(axis=1), row.argmin(axis=1)
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,8 @@ class Band:
     items: tuple[int, ...]  # positions in the index
     least: int  # words that any match must hold in its window
     edits: int  # the most edits that any of them allows
+    pairs: int  # the fewest word pairs that any match shares with its item
+    reach: int  # words within which they lie
 
 
 class ItemIndex:
@@ -77,7 +81,10 @@ class ItemIndex:
         by: dict[int, list[int]] = {}
         for k, s in enumerate(self.seqs):
             by.setdefault(len(s).bit_length() * 2 + (len(s) * 4 >> len(s).bit_length() & 1), []).append(k)
-        self.bands = [Band(tuple(v), min(len(self.seqs[k]) - self.allowed[k] for k in v), max(self.allowed[k] for k in v)) for _, v in sorted(by.items())]
+        self.bands = [Band(tuple(v), min(len(self.seqs[k]) - self.allowed[k] for k in v), max(self.allowed[k] for k in v), min(max(0, len(self.seqs[k]) - 1 - 2 * self.allowed[k]) for k in v), max(len(self.seqs[k]) + self.allowed[k] for k in v)) for _, v in sorted(by.items())]
+        self.pair_table = np.zeros(PAIR_SLOTS, bool)
+        for q in self.seqs:
+            self.pair_table[self.pair_slots(q)] = True
         rng = random.Random(seed)
         self.runs = []
         for band in self.bands:
@@ -91,6 +98,11 @@ class ItemIndex:
                 firsts = [np.array(sorted({key[: d + 1] for key in table}), dtype="i8").reshape(-1, d + 1) for d in range(samples)]
                 self.runs.append((band, steps, bits, table, [set(map(tuple, f.tolist())) for f in firsts]))
 
+    @staticmethod
+    def pair_slots(seq):
+        """The slot of each word and its next in a table of pairs; unlike pairs may share one."""
+        return (seq[:-1].astype("i8") * 2_654_435_761 + seq[1:]) % PAIR_SLOTS
+
     @staticmethod
     def walk(seq, steps, bits) -> tuple[int, ...]:
         at, out, want = 0, [], set(steps)
@@ -107,14 +119,20 @@ class ItemIndex:
 
         n, base = len(seq), len(self.vocab) + 2
         unknown = np.concatenate([[0], np.cumsum(seq == 0)])
+        known = self.pair_table[self.pair_slots(seq)] & (seq[:-1] > 0) & (seq[1:] > 0)
+        pairs = np.concatenate([[0], np.cumsum(known), [0]]).astype("i4")
+        pairs[-1] = pairs[-2]
+        here = np.arange(n)
         out: set[tuple[int, int]] = set()
         starts_of: dict[int, object] = {}
         for band, steps, bits, table, _ in self.runs:
             starts = starts_of.get(id(band))
             if starts is None:
-                last = np.minimum(np.arange(n) + band.least, ends)
-                ok = (unknown[last] - unknown[np.arange(n)] + (np.arange(n) + band.least - last) <= band.edits)
-                starts = starts_of[id(band)] = np.nonzero(ok)[0]
+                last = np.minimum(here + band.reach, ends) - 1
+                starts = here if band.pairs <= 0 else np.nonzero(pairs[last] - pairs[:n] >= band.pairs)[0]
+                last = np.minimum(starts + band.least, ends[starts])
+                ok = unknown[last] - unknown[starts] + (starts + band.least - last) <= band.edits
+                starts = starts_of[id(band)] = starts[ok]
             at, live, key = starts.copy(), starts, np.zeros(len(starts), "i8")
             keys = {0}
             for j in range(steps[-1] + 1):
@@ -168,14 +186,21 @@ def find_items(docs: DataFrame, items: list[tuple[int, str | None]], id_col: str
             ends = np.repeat(np.cumsum(sizes), sizes)
             begin = np.concatenate([[0], np.cumsum(sizes)])
             best: dict[tuple[int, int], tuple] = {}
-            for s, k in sorted(index.candidates(seq, ends)):
+            by_item: dict[int, list[int]] = {}
+            for s, k in index.candidates(seq, ends):
+                by_item.setdefault(k, []).append(s)
+            for k, at in by_item.items():
                 item, allowed = index.seqs[k], index.allowed[k]
-                d, n = edit_distance_prefix(item, seq[s : min(int(ends[s]), s + len(item) + allowed)])
-                if d > allowed:
-                    continue
-                doc = int(np.searchsorted(begin, s, side="right")) - 1
-                if (doc, k) not in best or d < best[doc, k][0]:
-                    best[doc, k] = (d, s - int(begin[doc]), n)
+                at = np.array(sorted(at))
+                for lo in range(0, len(at), 4096):
+                    some = at[lo : lo + 4096]
+                    place = some[:, None] + np.arange(len(item) + allowed)[None, :]
+                    windows = np.where(place < ends[some][:, None], seq[np.minimum(place, len(seq) - 1)], -1)
+                    dist, size = edit_distances(item, windows)
+                    for s, d, n in zip(some[dist <= allowed].tolist(), dist[dist <= allowed].tolist(), size[dist <= allowed].tolist(), strict=True):
+                        doc = int(np.searchsorted(begin, s, side="right")) - 1
+                        if (doc, k) not in best or d < best[doc, k][0]:
+                            best[doc, k] = (d, s - int(begin[doc]), n)
             return [(docs_[doc][0], index.ids[k], s, n, d, 1 - d / len(index.seqs[k])) for (doc, k), (d, s, n) in sorted(best.items())]
 
         for b in batches:
