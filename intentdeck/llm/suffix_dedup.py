@@ -25,6 +25,8 @@ GRAM = 24
 #: Bytes that are anchored at a time, and bytes of contexts that are merged at a time.
 ANCHOR_BYTES, MERGE_BYTES = 2_000_000, 3_000_000
 SHARDS = 8
+#: Different contexts of one anchor that are merged in one task; those of an anchor with more are compared window by window.
+MOST_CONTEXTS = 20_000
 #: No byte of UTF-8: ends each context.
 END = 0xFF
 LOWEST = -(1 << 63)
@@ -222,6 +224,31 @@ def _repeats_of_contexts(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("gram", "doc", "fp", "first", "n", "body").mapInArrow(run, "doc long, fp long, first int, n int")
 
 
+def _repeats_of_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """What _repeats_of_contexts() gives, for anchors with any number of contexts: a row for each window, under its 128-bit digest.
+
+    The first window of each digest is an aggregation that starts on the map side, so no task holds an anchor's contexts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for doc, fp, first, n, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                cols[0] += [xxhash.xxh3_128_digest(body[i : i + length]) for i in range(n)]
+                cols[1] += [doc] * n
+                cols[2] += [fp] * n
+                cols[3] += range(first, first + n)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["window", "doc", "fp", "first"])
+
+    rows = contexts.select("doc", "fp", "first", "n", "body").mapInArrow(run, "window binary, doc long, fp long, first int")
+    rows = materialize(rows, "windows", compression="zstd")
+    lead = rows.groupBy("window").agg(F.min(F.struct("doc", "fp", "first")).alias("lead"))
+    return rows.join(lead, "window").where(F.struct("doc", "fp", "first") > F.col("lead")).select("doc", "fp", "first", F.lit(1).alias("n"))
+
+
 def removed_spans(n_bytes: int, runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal (start, end) byte spans that windows of runs (first, n) cover."""
     out: list[list[int]] = []
@@ -234,7 +261,7 @@ def removed_spans(n_bytes: int, runs: list[tuple[int, int]], length: int = LENGT
     return [(s, min(e, n_bytes)) for s, e in out]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row; with_text adds the bytes that are left.
 
     Earlier means a smaller doc_id, or the same row and an earlier start; a null doc_id is smaller than any. Rows of equal doc_id and
@@ -247,14 +274,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     same = Window.partitionBy("gram", "ctx").orderBy("doc", "fp", "first")
     alike = Window.partitionBy("gram")
     seen = occurrences.repartition("gram").withColumn("k", F.rank().over(same)).withColumn("many", F.min("ctx").over(alike) != F.max("ctx").over(alike))
+    seen = seen.withColumn("contexts", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(alike))
     seen = materialize(seen.where("k > 1 or many").drop("ctx"), "repeated", compression="zstd")
     whole = seen.where("k > 1").select("doc", "fp", "first", F.col("n").cast("int").alias("n"))
     # the bytes of the first of each context whose anchor has others
-    wanted = seen.where("k = 1").dropDuplicates(["gram", "doc", "fp", "first"]).groupBy("doc", "fp").agg(F.collect_list(F.struct("gram", "first", "n")).alias("w"))
     texts = src.select("doc", "fp", "body")
-    cut = texts.join(wanted, ["doc", "fp"]).select("doc", "fp", "body", F.explode("w").alias("w"))
-    cut = cut.select("w.gram", "doc", "fp", "w.first", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
-    apart = _repeats_of_contexts(cut.repartition("gram").dropDuplicates(["gram", "doc", "fp", "first"]).sortWithinPartitions("gram"), length)
+
+    def bodies(anchors_: DataFrame) -> DataFrame:
+        wanted = anchors_.dropDuplicates(["gram", "doc", "fp", "first"]).groupBy("doc", "fp").agg(F.collect_list(F.struct("gram", "first", "n")).alias("w"))
+        cut = texts.join(wanted, ["doc", "fp"]).select("doc", "fp", "body", F.explode("w").alias("w"))
+        cut = cut.select("w.gram", "doc", "fp", "w.first", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
+        return cut.dropDuplicates(["gram", "doc", "fp", "first"])  # rows that repeat a document
+
+    few = F.col("contexts") <= most_contexts
+    apart = _repeats_of_contexts(bodies(seen.where((F.col("k") == 1) & few)).repartition("gram").sortWithinPartitions("gram"), length)
+    crowded = seen.where((F.col("k") == 1) & ~few)
+    if not crowded.isEmpty():
+        apart = apart.unionByName(_repeats_of_windows(bodies(crowded), length))
     runs = whole.unionByName(apart).groupBy("doc", "fp").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     runs = materialize(runs, "runs", compression="zstd")
 
