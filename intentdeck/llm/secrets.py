@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from intentdeck.llm._common import read_table
 
 #: A run of at least 16 key characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}+[0-9])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
 #: Characters before and after a candidate that its features see.
 CONTEXT = 48
 THRESHOLD = 0.5
