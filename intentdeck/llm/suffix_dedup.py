@@ -22,11 +22,11 @@ from intentdeck.llm._common import materialize, read_table
 
 LENGTH = 100
 GRAM = 24
-#: Bytes that are anchored at a time, and bytes of contexts that are merged at a time.
-ANCHOR_BYTES, MERGE_BYTES = 2_000_000, 3_000_000
+#: Bytes of contexts that are merged at a time (an anchor's contexts stay together).
+MERGE_BYTES = 2_000_000
 SHARDS = 8
 #: Different contexts of one anchor that are merged in one task; those of an anchor with more are compared window by window.
-MOST_CONTEXTS = 20_000
+MOST_CONTEXTS = 8_000
 #: No byte of UTF-8: ends each context.
 END = 0xFF
 LOWEST = -(1 << 63)
@@ -167,7 +167,7 @@ def repeats(contexts: list[bytes], order: list[tuple], windows: list[int], lengt
     sizes = np.array([len(c) + 1 for c in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    begin, size = starts[owner], sizes[owner]
+    begin, size = starts.astype("i4")[owner], sizes.astype("i4")[owner]
     place = np.arange(len(text))
     cut = np.linspace(0, len(text), shards + 1)
     shard_of = np.searchsorted(cut, starts[owner], side="right") - 1
