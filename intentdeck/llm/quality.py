@@ -19,6 +19,8 @@ from intentdeck.llm._common import materialize, read_table
 
 BUCKETS = 16_384
 SMOOTH = 0.5
+#: The most documents labelled as good that the target model is fitted on.
+TARGET_SAMPLE = 50_000
 #: Counting ranges of one round of the k-th key search, and the rows from which the rest is fetched and sorted.
 RANGES, FETCH = 4096, 5000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -128,19 +130,21 @@ def kth_largest(keys: DataFrame, k: int) -> float:
             above += c
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17, target_sample: int = TARGET_SAMPLE) -> DataFrame:
     """(doc_id, log_weight, key) of the documents drawn: the k rows with the largest keys, and rows whose key equals the k-th.
 
-    k is ``share`` of all rows, by default the share of labelled documents that are good. Labels that are null, or without a
-    document, teach nothing; a doc_id with several labels is good if any is. Without good documents, or rows, nothing is
-    drawn. Repeated rows have equal keys and are drawn or left together. Null doc_ids are drawn like any other.
+    k is ``share`` of all rows, by default the share of labelled doc_ids that are good. The raw model counts all documents; the target
+    model at most target_sample good ones, picked by a hash of their id. Labels that are null teach nothing; a doc_id with several labels is good if any is.
+    Without good documents, or rows, nothing is drawn. Repeated rows have equal keys and are drawn or left together. Null doc_ids are drawn like any other.
     """
-    # a mark for each good document, at most one row per doc_id
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("q"))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
-    counts = materialize(bucket_counts(marked.select("text", (F.coalesce("q", F.lit(0)) == 1).alias("is_target"))), "ngrams")
-    n, labelled, targets = marked.agg(F.count("*"), F.count("q"), F.coalesce(F.sum("q"), F.lit(0))).first()
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("q"))
+    picked = known.where("q = 1").select("doc_id", "q", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(target_sample).select("doc_id", "q")
+    # bounded by target_sample, so no text is shuffled to find its label
+    marked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left")
+    counts = materialize(bucket_counts(marked.select("text", F.col("q").isNotNull().alias("is_target"))), "ngrams")
+    labelled, targets = known.agg(F.count("*"), F.coalesce(F.sum("q"), F.lit(0))).first()
     share = share if share is not None else (targets / labelled if labelled else 0.0)
+    n = docs.select("doc_id").count()
     scored = weigh(docs, log_ratio(counts)).withColumn("key", F.col("log_weight") + gumbel("doc_id", seed=seed))
     k = round(share * n)
     if not targets or k < 1:
