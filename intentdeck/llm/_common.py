@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentdeck.shared import discard, materialize, shared_dir
 
-__all__ = ["connected_components", "discard", "materialize", "read_table", "shared_dir"]
+__all__ = ["connected_components", "discard", "materialize", "read_table", "release", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that ended: it does so when the driver's JVM collects what referred to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for an undirected edge table (a, b) of longs; component is the smallest node reachable.
 

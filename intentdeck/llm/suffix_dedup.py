@@ -4,7 +4,7 @@ Which 100-byte strings can repeat at all is found by content-chosen anchors: eve
 hash among its k-grams, so equal strings have equal anchors, and an anchor with the run of windows that chose it is a short context.
 Contexts that are equal as a whole need no index: all but the first are repeats. Different contexts of one anchor are
 indexed: shards of them are sorted on their own, and their transforms are merged by iterative interleave refinement. A round
-deals the current interleave by the transforms' next symbols, which sorts by two more bytes each time without touching a suffix; where neighbours
+deals the current interleave by the transforms' next symbols, which sorts by four more bytes each time without touching a suffix; where neighbours
 part in a round gives their common prefix. The blocks of common prefix 100 are the repeated intervals; all but the first in
 document order are repeats.
 """
@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import materialize, read_table
+from intentdeck.llm._common import discard, materialize, read_table, release
 
 LENGTH = 100
 GRAM = 24
 #: Bytes of contexts that are merged at a time (an anchor's contexts stay together).
-MERGE_BYTES = 2_000_000
-SHARDS = 8
+MERGE_BYTES = 60_000
+SHARDS = 4
 #: Different contexts of one anchor that are merged in one task; those of an anchor with more are compared window by window.
 MOST_CONTEXTS = 8_000
 #: No byte of UTF-8: ends each context.
@@ -108,8 +108,11 @@ def shard_order(text, begin, size, at, depth: int):
 
     b, n = begin[at], size[at]
     rank = np.zeros(len(text), "i8")
-    rank[at] = text[at]
-    span = 1
+    first = np.zeros(len(at), "u8")
+    for k in range(8):
+        first = (first << np.uint64(8)) | text[b + (at - b + k) % n]
+    rank[at] = np.unique(first, return_inverse=True)[1]
+    span = 8
     while True:
         ahead = b + (at - b + span) % n
         key = rank[at] * np.int64(len(text) + 257) + rank[ahead]
@@ -125,19 +128,25 @@ def shard_order(text, begin, size, at, depth: int):
 def merge_transforms(shards, text, begin, size, depth: int):
     """(positions in merged order, common prefix with the one before, cut at depth) of shards of sorted positions.
 
-    Only the shards' transforms (the two symbols before each suffix) and the interleave are used in the rounds.
+    Only the shards' transforms (the four bytes before each suffix; two where they are too many for 16-bit symbols) and the interleave are
+    used in the rounds, so depth is a multiple of four.
     """
     import numpy as np
 
     sa = np.concatenate(shards)
     b, n = begin[sa], size[sa]
-    prev1, prev2 = b + (sa - b - 1) % n, b + (sa - b - 2) % n
-    transform = text[prev2].astype("u2") * np.uint16(256) + text[prev1].astype("u2")
+    prev = [text[b + (sa - b - k) % n].astype("u4") for k in (4, 3, 2, 1)]
+    transform = (prev[0] << 24) | (prev[1] << 16) | (prev[2] << 8) | prev[3]
+    step = 4
+    values, ranks = np.unique(transform, return_inverse=True)  # small symbols in the same order
+    if len(values) > 1 << 16:
+        step, ranks = 2, transform & np.uint32(0xFFFF)
+    transform = ranks.astype("u2")
     z = np.repeat(np.arange(len(shards), dtype="u1"), [len(s) for s in shards])
     block = np.zeros(len(z), "i4")
     lcp = np.full(len(z), -1, "i2")
     lcp[:1] = 0
-    for r in range(0, depth, 2):
+    for r in range(0, depth, step):
         symbols = np.empty(len(z), "u2")
         symbols[np.argsort(z, kind="stable")] = transform  # each place takes its shard's next symbols
         order = np.argsort(symbols, kind="stable")
@@ -147,7 +156,8 @@ def merge_transforms(shards, text, begin, size, depth: int):
         lcp[fresh] = r
         same = not len(fresh) and np.array_equal(z2, z)
         z = z2
-        block = np.concatenate([[0], np.cumsum(part)]).astype("i4")
+        block[1:] = np.cumsum(part)
+        block[:1] = 0
         if same:
             break
     merged = np.empty(len(z), "i8")
@@ -208,6 +218,7 @@ def _repeats_of_contexts(contexts: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def settle(rows: list[tuple]) -> pa.RecordBatch:
+            rows = list({r[:4]: r for r in rows}.values())  # rows that repeat a document
             got = repeats([r[5] for r in rows], [(r[1], r[2], r[3]) for r in rows], [r[4] for r in rows], length) if rows else []
             cols = [[rows[i][1] for i, _, _ in got], [rows[i][2] for i, _, _ in got], [rows[i][3] + o for i, o, _ in got], [n for _, _, n in got]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "fp", "first", "n"])
@@ -268,6 +279,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     different text are ordered by a hash of the text; rows equal in both get the result of one. Null texts are empty; texts
     shorter than ``length`` bytes lose nothing. Other columns are ignored.
     """
+    spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(body).alias("fp"), body.alias("body"))
     occurrences = _occurrences(src, length)
@@ -276,6 +288,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     seen = occurrences.repartition("gram").withColumn("k", F.rank().over(same)).withColumn("many", F.min("ctx").over(alike) != F.max("ctx").over(alike))
     seen = seen.withColumn("contexts", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(alike))
     seen = materialize(seen.where("k > 1 or many").drop("ctx"), "repeated", compression="zstd")
+    release(spark)
     whole = seen.where("k > 1").select("doc", "fp", "first", F.col("n").cast("int").alias("n"))
     # the bytes of the first of each context whose anchor has others
     texts = src.select("doc", "fp", "body")
@@ -283,8 +296,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def bodies(anchors_: DataFrame) -> DataFrame:
         wanted = anchors_.dropDuplicates(["gram", "doc", "fp", "first"]).groupBy("doc", "fp").agg(F.collect_list(F.struct("gram", "first", "n")).alias("w"))
         cut = texts.join(wanted, ["doc", "fp"]).select("doc", "fp", "body", F.explode("w").alias("w"))
-        cut = cut.select("w.gram", "doc", "fp", "w.first", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
-        return cut.dropDuplicates(["gram", "doc", "fp", "first"])  # rows that repeat a document
+        return cut.select("w.gram", "doc", "fp", "w.first", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
 
     few = F.col("contexts") <= most_contexts
     apart = _repeats_of_contexts(bodies(seen.where((F.col("k") == 1) & few)).repartition("gram").sortWithinPartitions("gram"), length)
@@ -293,6 +305,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         apart = apart.unionByName(_repeats_of_windows(bodies(crowded), length))
     runs = whole.unionByName(apart).groupBy("doc", "fp").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     runs = materialize(runs, "runs", compression="zstd")
+    discard(seen)
+    release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
