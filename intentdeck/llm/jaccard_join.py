@@ -78,7 +78,7 @@ def word_hash(word: str) -> int:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's lower-case word n-grams; a text of fewer words is one n-gram, one without words none."""
 
-    def __init__(self, words: int = WORDS, remember: int = 400_000):
+    def __init__(self, words: int = WORDS, remember: int = 150_000):
         self.words, known = words, {}
         self.known, self.remember = known, remember
 

@@ -29,7 +29,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 class NGramHasher:
     """Bucket numbers of a text's word unigrams and bigrams (punctuation runs are words too)."""
 
-    def __init__(self, buckets: int = BUCKETS, remember: int = 400_000):
+    def __init__(self, buckets: int = BUCKETS, remember: int = 150_000):
         self.buckets, self.remember, self.known = buckets, remember, {}
 
     def __call__(self, text: str | None):

@@ -36,7 +36,7 @@ MARK = " "
 WINDOW_WORDS = 1
 THRESHOLD = 0.7
 #: Window texts whose difference a worker remembers.
-CACHE = 300_000
+CACHE = 120_000
 WORD = re.compile(r"\w+")
 
 
