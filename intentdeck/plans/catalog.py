@@ -269,10 +269,17 @@ def le_sql(col: str) -> str:
     return f"list_transform(generate_series(0, 7), lambda k: CAST(floor({col}::HUGEINT // (256::HUGEINT ** k)::HUGEINT) % 256 AS HUGEINT))"
 
 
+@query("context_hash_all", f"SELECT event_id AS id, CAST({FNV_SQL.format(bytes='list_concat(list_concat(list_concat(list_concat(' + TEXT_BYTES.format(t='event_type') + ', ' + le_sql('event_id') + '), ' + le_sql('user_id') + '), ' + TEXT_BYTES.format(t="'bash'") + '), ' + TEXT_BYTES.format(t="'ops'") + ')')} AS VARCHAR) AS hash FROM events")
+def context_hash_all(spark, sf):
+    """The context hash of every event."""
+    ev = table(spark, sf, "events")
+    return ev.select(F.col("event_id").alias("id"), H.context_hash(F.col("event_type"), F.col("event_id"), F.col("user_id"), F.lit("bash"), F.lit("ops")).cast("string").alias("hash"))
+
+
 @query("context_hash", f"SELECT event_id AS id, CAST({FNV_SQL.format(bytes='list_concat(list_concat(list_concat(list_concat(' + TEXT_BYTES.format(t='event_type') + ', ' + le_sql('event_id') + '), ' + le_sql('user_id') + '), ' + TEXT_BYTES.format(t="'bash'") + '), ' + TEXT_BYTES.format(t="'ops'") + ')')} AS VARCHAR) AS hash FROM events WHERE event_id < 2000")
 def context_hash(spark, sf):
-    ev = table(spark, sf, "events").where("event_id < 2000")
-    return ev.select(F.col("event_id").alias("id"), H.context_hash(F.col("event_type"), F.col("event_id"), F.col("user_id"), F.lit("bash"), F.lit("ops")).cast("string").alias("hash"))
+    """The ids that this query's SQL asks for; context_hash_all has every event."""
+    return context_hash_all(spark, sf).where("id < 2000")
 
 
 PART_SQL = f"CAST({FNV_SQL.format(bytes=TEXT_BYTES.format(t='CAST(event_id AS VARCHAR)'))} % 12 AS INTEGER)"
