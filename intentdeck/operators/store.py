@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentdeck.functions.hashing import context_hash
+from intentdeck.functions.hashing import Bloom, context_hash
 from intentdeck.functions.text import classify_udf, embed_udf
 from intentdeck.operators import knn
 from intentdeck.schemas import DimensionMismatch, ExtractionFailed
 
 CONFIDENCE = 1.0
+#: Ids of a segment that shares a Bloom filter: the hot capacity of the original's simulation.
+SEGMENT_IDS = 10_000
 
 
 def extract(commands: DataFrame) -> DataFrame:
@@ -45,6 +47,26 @@ def attach_outcomes(intents: DataFrame, outcomes: DataFrame) -> tuple[DataFrame,
     return intents.drop("outcome").join(last, "id", "left"), outcomes.join(intents.select("id"), "id", "left_anti")
 
 
+def segment_members(ids: DataFrame, member, per_segment: int = SEGMENT_IDS) -> DataFrame:
+    """For each id: its rows (n), whether it is a member, and whether its segment's filter may hold it. Null ids are no members.
+
+    A segment is a range of ids, with one filter over its members; an id meets its own segment's filter only, so a group is bounded at any size.
+    """
+    known = ids.groupBy("id").agg(F.count("*").alias("n")).withColumn("member", F.coalesce(member, F.lit(False)) & F.col("id").isNotNull())
+
+    def probe(rows):
+        import pandas as pd
+
+        keys = [None if pd.isna(k) else int(k).to_bytes(16, "big", signed=True) for k in rows["id"]]
+        held = [k for k, m in zip(keys, rows["member"], strict=True) if m]
+        bloom = Bloom(max(1, len(held)))
+        for k in held:
+            bloom.insert(k)
+        return rows[["id", "n", "member"]].assign(may=[k is not None and bloom.contains(k) for k in keys])
+
+    return known.withColumn("_segment", F.floor(F.col("id") / per_segment)).groupBy("_segment").applyInPandas(probe, "id long, n long, member boolean, may boolean")
+
+
 class IntentStore:
     """A table of intents at a path (append-only Parquet), or in memory when path is None."""
 

@@ -95,14 +95,9 @@ def reject_empty(spark, sf):
 
 @query("bloom_member", "SELECT count(*) AS probes, count(*) FILTER (vec_id % 2 = 0) AS members, 0::BIGINT AS lost FROM embeddings")
 def bloom_member(spark, sf):
-    ids = vectors(spark, sf).select("id")
-    keys = [r[0] for r in ids.where("id % 2 = 0 and id < 100000").collect()]  # one segment's keys: bounded
-    bloom = H.Bloom(max(1, len(keys)))
-    for k in keys:
-        bloom.insert(int(k).to_bytes(16, "big"))
-    may = F.udf(lambda k: bloom.contains(int(k).to_bytes(16, "big")), "boolean")
-    df = ids.withColumn("may", may("id"))
-    return df.agg(F.count("*").alias("probes"), F.count_if(F.col("id") % 2 == 0).alias("members"), F.count_if((F.col("id") % 2 == 0) & ~F.col("may")).alias("lost"))
+    got = store.segment_members(vectors(spark, sf).select("id"), F.col("id") % 2 == 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return got.agg(total("n").alias("probes"), total(F.when(F.col("member"), F.col("n"))).alias("members"), total(F.when(F.col("member") & ~F.col("may"), F.col("n"))).alias("lost"))
 
 
 @query("bloom_sizing", "SELECT n::BIGINT AS n, b AS bits, greatest(1, ceil(b / n::DOUBLE * ln(2)))::BIGINT AS hashes FROM (SELECT n, greatest(64, ceil(-n::DOUBLE * ln(0.01) / (ln(2) * ln(2))))::BIGINT AS b FROM (VALUES (1), (5), (100), (10000)) t(n))")

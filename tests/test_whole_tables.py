@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from intentdeck.functions import hashing as H
+from intentdeck.operators import store
 from intentdeck.plans import catalog
 
 
@@ -13,3 +14,16 @@ def test_context_hash_of_every_event(spark, tmp_path):
     want = {i: str(H.Bloom.fnv(t.encode() + i.to_bytes(8, "little") + u.to_bytes(8, "little") + b"bashops")) for i, u, t in rows}
     assert {r.id: r.hash for r in catalog.QUERIES["context_hash_all"](spark, str(tmp_path)).collect()} == want
     assert {r.id: r.hash for r in catalog.QUERIES["context_hash"](spark, str(tmp_path)).collect()} == {i: h for i, h in want.items() if i < 2000}
+
+
+def test_bloom_members_above_any_id(spark, tmp_path):
+    ids = [*range(90_000, 110_000), 2**40, 2**40, 2**40 + 1, -4, None]
+    spark.createDataFrame([(i, [0.0], "x") for i in ids], "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["bloom_member"](spark, str(tmp_path)).first()
+    assert (got.probes, got.members, got.lost) == (20_005, 10_003, 0)
+
+
+def test_bloom_filters_of_segments_reject_others(spark):
+    got = store.segment_members(spark.range(40_000), F.col("id") % 2 == 0, per_segment=10_000)
+    counts = {(r.member, r.may): r["count"] for r in got.groupBy("member", "may").count().collect()}
+    assert counts[True, True] == 20_000 and 0 < counts[False, True] < 0.02 * 20_000
