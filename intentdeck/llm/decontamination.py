@@ -3,8 +3,11 @@
 Texts are sequences of lower-case words. The CGK walk of a window reads its words from the left, and after each step a
 random bit of (step, word) says whether to move on to the next word, so that windows of small edit distance walk over the same words in step again
 after each edit: edit distance becomes Hamming distance between walks. Each repetition draws a walk and samples
-a few steps; windows and items that agree on the sampled steps are candidates. Repetitions go on until the chance to miss an item at
-the allowed distance is small enough. Candidates are verified by their exact edit distance.
+a few steps; windows and items that agree on the sampled steps are candidates.
+
+Walks drift apart with every edit, so items are cut into pieces of some 7 to 10 words, with walks started in each: where an item lies within
+e edits, one of its P pieces lies within e // P. Repetitions go on until at most MISS of simulated pieces at that distance are missed, for each kind of
+edit. Candidates are verified by their exact edit distance, first of the piece, then of the item around it.
 
 Exact necessary conditions spare most windows the walk: words that no item has can match none, so a window with more of them than
 the allowed edits is out; an edit breaks at most two word pairs, so a window without enough pairs that items have is out; and a sampled step that no
@@ -28,7 +31,12 @@ from intentdeck.llm._common import read_table
 EDITS = 0.2
 #: Sampled steps of a repetition.
 SAMPLES = 3
-REPETITIONS = 24
+#: The fewest words of a piece of an item that is cut.
+PIECE = 7
+#: The share of simulated pieces at the allowed distance that may be missed, for each kind of edit, and how many are simulated.
+MISS, TRIALS = 0.005, 1000
+#: More repetitions than any sensible setting needs; an index that would need more raises.
+MOST_REPETITIONS = 1000
 #: Items that are matched in one pass over the documents; more items take more passes.
 ITEMS_PER_PASS = 20_000
 #: Slots of the table of word pairs that items have.
@@ -41,8 +49,8 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def edit_distances(item, windows):
-    """For each row of windows (word ids, padded with -1): the least edit distance of item to any prefix, and the shortest such prefix's length."""
+def edit_rows(item, windows):
+    """For each row of windows (word ids, padded with -1): the edit distances of item to all its prefixes."""
     import numpy as np
 
     idx = np.arange(windows.shape[1] + 1, dtype="i4")
@@ -52,72 +60,165 @@ def edit_distances(item, windows):
         cand[:, 0] = i
         np.minimum(row[:, 1:] + 1, row[:, :-1] + (windows != x), out=cand[:, 1:])
         row = np.minimum.accumulate(cand - idx, axis=1) + idx  # insertions
-    return row.min(axis=1), row.argmin(axis=1)
+    return row
+
+
+def best_run(item, text) -> tuple[int, int, int]:
+    """(edits, start, words) of the run of text that is nearest to item; ties go to the first start, then to the shortest."""
+    import numpy as np
+
+    idx = np.arange(len(text) + 1, dtype="i4")
+    row = np.zeros(len(text) + 1, "i4")  # a run may start anywhere
+    for i, x in enumerate(item, 1):
+        cand = np.empty_like(row)
+        cand[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (text != x), out=cand[1:])
+        row = np.minimum.accumulate(cand - idx) + idx
+    least = int(row.min())
+    ends = np.nonzero(row == least)[0]
+    width, best = len(item) + least, None
+    chunk = max(1, 2_000_000 // (width + 1))
+    for lo in range(0, len(ends), chunk):
+        some = ends[lo : lo + chunk]
+        place = some[:, None] - 1 - np.arange(width)[None, :]
+        back = edit_rows(item[::-1], np.where(place >= 0, text[np.maximum(place, 0)], -1) if len(text) else np.full(place.shape, -1, "i4"))
+        back = np.where(np.arange(width + 1)[None, :] <= some[:, None], back, least + 1)
+        words = width - np.argmax(back[:, ::-1] == least, axis=1)  # the longest at that distance starts first
+        at = int(np.lexsort((words, some - words))[0])
+        found = (int(some[at] - words[at]), int(words[at]))
+        best = found if best is None else min(best, found)
+    return least, *best
+
+
+@dataclass(frozen=True)
+class Part:
+    """A piece of an item, or all of a short one."""
+
+    item: int  # position in the index
+    offset: int  # words of the item before it
+    allowed: int  # edits of the piece
 
 
 @dataclass(frozen=True)
 class Band:
-    """Items of like size, which share windows of one size."""
+    """Pieces of like size, which share windows of one size."""
 
-    items: tuple[int, ...]  # positions in the index
+    parts: tuple[int, ...]  # positions in the index
     least: int  # words that any match must hold in its window
     edits: int  # the most edits that any of them allows
-    pairs: int  # the fewest word pairs that any match shares with its item
+    pairs: int  # the fewest word pairs that any match shares with its piece
     reach: int  # words within which they lie
 
 
+def padded(seqs, width: int, fill: int):
+    import numpy as np
+
+    out = np.full((len(seqs), width), fill, "i4")
+    for row, q in zip(out, seqs, strict=True):
+        row[: len(q)] = q
+    return out
+
+
 class ItemIndex:
-    """Walk samples of every item by repetition."""
+    """Walk samples of every piece by repetition."""
 
-    def __init__(self, items: list[tuple[int, str | None]], edits: float = EDITS, samples: int = SAMPLES, repetitions: int = REPETITIONS, seed: int = 3):
+    def __init__(self, items: list[tuple[int, str | None]], edits: float = EDITS, samples: int = SAMPLES, miss: float = MISS, seed: int = 3):
         import numpy as np
 
         seqs = [(i, words_of(t)) for i, t in items]
         seqs = [(i, w) for i, w in seqs if w]  # an item without words matches nothing
         self.ids = [i for i, _ in seqs]
         self.vocab = {w: k for k, w in enumerate(sorted({w for _, s in seqs for w in s}), 1)}  # 0: a word of no item
+        self.base = len(self.vocab) + 2
         self.seqs = [np.array([self.vocab[w] for w in s], "i4") for _, s in seqs]
         self.allowed = [int(edits * len(s)) for s in self.seqs]
-        by: dict[int, list[int]] = {}
-        for k, s in enumerate(self.seqs):
-            by.setdefault(len(s).bit_length() * 2 + (len(s) * 4 >> len(s).bit_length() & 1), []).append(k)
-        self.bands = [Band(tuple(v), min(len(self.seqs[k]) - self.allowed[k] for k in v), max(self.allowed[k] for k in v), min(max(0, len(self.seqs[k]) - 1 - 2 * self.allowed[k]) for k in v), max(len(self.seqs[k]) + self.allowed[k] for k in v)) for _, v in sorted(by.items())]
+        self.parts: list[Part] = []
+        self.pieces: list = []
+        by: dict[tuple[int, int], list[int]] = {}
+        for k, (s, e) in enumerate(zip(self.seqs, self.allowed, strict=True)):
+            n = max(1, min(e // 2 + 1, len(s) // PIECE))
+            for c in range(n):
+                piece = s[len(s) * c // n : len(s) * (c + 1) // n]
+                by.setdefault((e // n, len(piece) // 3), []).append(len(self.parts))
+                self.parts.append(Part(k, len(s) * c // n, e // n))
+                self.pieces.append(piece)
+        self.bands = []
+        for (t, _), v in sorted(by.items()):
+            sizes = [len(self.pieces[k]) for k in v]
+            self.bands.append(Band(tuple(v), min(sizes) - t, t, max(0, min(sizes) - 1 - 2 * t), max(sizes) + t))
         self.pair_table = np.zeros(PAIR_SLOTS, bool)
-        for q in self.seqs:
+        for q in self.pieces:
             self.pair_table[self.pair_slots(q)] = True
         rng = random.Random(seed)
         self.runs = []
         for band in self.bands:
-            for rep in range(repetitions):
-                span = max(samples, min(len(self.seqs[k]) for k in band.items))
-                steps = sorted(rng.sample(range(span), samples))
-                bits = np.random.default_rng(rng.getrandbits(32)).integers(0, 2, (steps[-1] + 1, len(self.vocab) + 1), dtype="i4")
-                table: dict[tuple[int, ...], list[int]] = {}
-                for k in band.items:
-                    table.setdefault(self.walk(self.seqs[k], steps, bits), []).append(k)
-                firsts = [np.array(sorted({key[: d + 1] for key in table}), dtype="i8").reshape(-1, d + 1) for d in range(samples)]
-                self.runs.append((band, steps, bits, table, [set(map(tuple, f.tolist())) for f in firsts]))
+            span = band.least + band.edits  # a walk of so many steps ends within every piece, so exact copies are never missed
+            pieces = padded([self.pieces[k] for k in band.parts], max(len(self.pieces[k]) for k in band.parts), -1)
+            kinds, clean, edited, starts = self.trials(band, rng, span)
+            open_ = np.arange(len(kinds))
+            done = 0
+            while len(open_) and np.bincount(kinds[open_]).max() > miss * TRIALS:
+                if done == MOST_REPETITIONS:
+                    raise ValueError(f"{done} repetitions miss too many pieces within {band.edits} edits of {band.least + band.edits} words")
+                done += 1
+                steps = sorted(rng.sample(range(span), min(samples, span)))
+                bits = np.random.default_rng(rng.getrandbits(32)).integers(0, 2, (steps[-1] + 1, len(self.vocab) + 1), dtype="i1")
+                walks = self.walks(pieces, 0, steps, bits)
+                order = np.argsort(walks[:, -1], kind="stable")
+                self.runs.append((band, steps, bits, [np.unique(walks[:, d]) for d in range(len(steps))], walks[order, -1], np.array(band.parts)[order]))
+                own = self.walks(clean[open_], 0, steps, bits)[:, -1]
+                hit = np.zeros(len(open_), bool)
+                for c in range(starts.shape[1]):
+                    hit |= self.walks(edited[open_], starts[open_, c], steps, bits)[:, -1] == own
+                open_ = open_[~hit]
+
+    def trials(self, band: Band, rng: random.Random, span: int):
+        """Pieces of a band at its allowed distance among unknown words: kind of edit, the piece, the text, two starts of the run in it (or one twice)."""
+        import numpy as np
+
+        kinds, clean, edited, starts = [], [], [], []
+        for kind in range(3):
+            for _ in range(TRIALS):
+                k = rng.choice(band.parts)
+                w = self.pieces[k].tolist()
+                clean.append(w)
+                t = min(self.parts[k].allowed, len(w))
+                if kind == 2:  # insertions within the piece; at its ends they are no edits
+                    places, w = [], w[:]
+                    for _ in range(t if len(w) > 1 else 0):
+                        w.insert(rng.randrange(1, len(w)), 0)
+                else:
+                    places = rng.sample(range(len(w)), t)
+                    w = [0 if p in places else x for p, x in enumerate(w) if kind == 1 or p not in places]
+                kinds.append(kind)
+                edited.append([0, *w])
+                starts.append((1, 1 if 0 not in places else 2 * kind))  # a lost first word is as far as a changed one
+        width = max(map(len, edited)) + span + 3
+        return np.array(kinds), padded(clean, max(map(len, clean)), -1), padded(edited, width, 0), np.array(starts)
 
     @staticmethod
     def pair_slots(seq):
         """The slot of each word and its next in a table of pairs; unlike pairs may share one."""
         return (seq[:-1].astype("i8") * 2_654_435_761 + seq[1:]) % PAIR_SLOTS
 
-    @staticmethod
-    def walk(seq, steps, bits) -> tuple[int, ...]:
-        at, out, want = 0, [], set(steps)
+    def walks(self, texts, start, steps, bits):
+        """For each row of texts (padded with -1): the keys of the first 1, 2, ... sampled steps of its walk from start."""
+        import numpy as np
+
+        rows, at, key, out = np.arange(len(texts)), np.zeros(len(texts), "i8") + start, np.zeros(len(texts), "i8"), []
         for j in range(steps[-1] + 1):
-            x = int(seq[at]) if at < len(seq) else -1
-            if j in want:
-                out.append(x)
-            at += int(bits[j, x]) if x >= 0 else 1
-        return tuple(out)
+            x = np.where(at < texts.shape[1], texts[rows, np.minimum(at, texts.shape[1] - 1)], -1)
+            if j in steps:
+                key = key * self.base + (x + 1)
+                out.append(key)
+            at = at + np.where(x >= 0, bits[j, np.maximum(x, 0)], 1)
+        return np.stack(out, axis=1)
 
     def candidates(self, seq, ends):
-        """(window start, item position) pairs over the word ids of many texts put one after the other; ends: for each word the end of its text."""
+        """(window start, piece position) pairs over the word ids of many texts put one after the other; ends: for each word the end of its text."""
         import numpy as np
 
-        n, base = len(seq), len(self.vocab) + 2
+        n = len(seq)
         unknown = np.concatenate([[0], np.cumsum(seq == 0)])
         known = self.pair_table[self.pair_slots(seq)] & (seq[:-1] > 0) & (seq[1:] > 0)
         pairs = np.concatenate([[0], np.cumsum(known), [0]]).astype("i4")
@@ -125,7 +226,7 @@ class ItemIndex:
         here = np.arange(n)
         out: set[tuple[int, int]] = set()
         starts_of: dict[int, object] = {}
-        for band, steps, bits, table, _ in self.runs:
+        for band, steps, bits, firsts, keys, parts in self.runs:
             starts = starts_of.get(id(band))
             if starts is None:
                 last = np.minimum(here + band.reach, ends) - 1
@@ -134,33 +235,20 @@ class ItemIndex:
                 ok = unknown[last] - unknown[starts] + (starts + band.least - last) <= band.edits
                 starts = starts_of[id(band)] = starts[ok]
             at, live, key = starts.copy(), starts, np.zeros(len(starts), "i8")
-            keys = {0}
             for j in range(steps[-1] + 1):
                 if not len(live):
                     break
                 inside = at < ends[live]
                 x = np.where(inside, seq[np.minimum(at, n - 1)], -1)
                 if j in steps:
-                    key = key * base + (x + 1)
-                    d = steps.index(j) + 1
-                    keys = set()
-                    for t in table:
-                        v = 0
-                        for y in t[:d]:
-                            v = v * base + (y + 1)
-                        keys.add(v)
-                    keep = np.isin(key, np.fromiter(keys, "i8", len(keys)))
+                    key = key * self.base + (x + 1)
+                    some = firsts[steps.index(j)]
+                    keep = some[np.minimum(np.searchsorted(some, key), len(some) - 1)] == key
                     at, live, key, x, inside = at[keep], live[keep], key[keep], x[keep], inside[keep]
                 at = at + np.where(inside, bits[j, np.maximum(x, 0)], 1)
-            if len(live):
-                full = {}
-                for t, ks in table.items():
-                    v = 0
-                    for y in t:
-                        v = v * base + (y + 1)
-                    full.setdefault(v, []).extend(ks)
-                for s, v in zip(live.tolist(), key.tolist(), strict=True):
-                    out.update((s, k) for k in full[v])
+            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            for s, lo, hi in zip(live.tolist(), low.tolist(), high.tolist(), strict=True):
+                out.update((s, k) for k in parts[lo:hi].tolist())
         return out
 
 
@@ -185,22 +273,34 @@ def find_items(docs: DataFrame, items: list[tuple[int, str | None]], id_col: str
             seq = np.concatenate([np.array(s, "i4") for s in seqs])
             ends = np.repeat(np.cumsum(sizes), sizes)
             begin = np.concatenate([[0], np.cumsum(sizes)])
-            best: dict[tuple[int, int], tuple] = {}
-            by_item: dict[int, list[int]] = {}
-            for s, k in index.candidates(seq, ends):
-                by_item.setdefault(k, []).append(s)
-            for k, at in by_item.items():
-                item, allowed = index.seqs[k], index.allowed[k]
+            near: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (document, item) -> where runs of the item may lie
+            by_part: dict[int, list[int]] = {}
+            for s, p in index.candidates(seq, ends):
+                by_part.setdefault(p, []).append(s)
+            for p, at in by_part.items():
+                piece, part = index.pieces[p], index.parts[p]
+                allowed, size = index.allowed[part.item], len(index.seqs[part.item])
                 at = np.array(sorted(at))
                 for lo in range(0, len(at), 4096):
                     some = at[lo : lo + 4096]
-                    place = some[:, None] + np.arange(len(item) + allowed)[None, :]
+                    place = some[:, None] + np.arange(len(piece) + part.allowed)[None, :]
                     windows = np.where(place < ends[some][:, None], seq[np.minimum(place, len(seq) - 1)], -1)
-                    dist, size = edit_distances(item, windows)
-                    for s, d, n in zip(some[dist <= allowed].tolist(), dist[dist <= allowed].tolist(), size[dist <= allowed].tolist(), strict=True):
+                    for s in some[edit_rows(piece, windows).min(axis=1) <= part.allowed].tolist():
                         doc = int(np.searchsorted(begin, s, side="right")) - 1
-                        if (doc, k) not in best or d < best[doc, k][0]:
-                            best[doc, k] = (d, s - int(begin[doc]), n)
+                        first = s - part.offset - allowed
+                        near.setdefault((doc, part.item), []).append((max(first, int(begin[doc])), min(first + size + 3 * allowed, int(ends[s]))))
+            best: dict[tuple[int, int], tuple] = {}
+            for (doc, k), places in near.items():
+                merged: list[list[int]] = []
+                for a, b in sorted(places):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                for a, b in merged:
+                    d, s, n = best_run(index.seqs[k], seq[a:b])
+                    if d <= index.allowed[k] and ((doc, k) not in best or d < best[doc, k][0]):
+                        best[doc, k] = (d, s + a - int(begin[doc]), n)
             return [(docs_[doc][0], index.ids[k], s, n, d, 1 - d / len(index.seqs[k])) for (doc, k), (d, s, n) in sorted(best.items())]
 
         for b in batches:

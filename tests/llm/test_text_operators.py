@@ -193,6 +193,30 @@ def test_decontamination_brute_force(spark):
     assert all(got[k] == want[k] for k in got if want[k] == 0)
 
 
+def test_decontamination_recall_by_length_and_kind_of_edit(spark):
+    rng = random.Random(11)
+    docs, bench, kinds = [], [], ["deletions", "insertions", "substitutions", "mixed"]
+    for size in (1, 2, 5, 10, 13, 20, 40, 64, 150, 300):
+        for k in range(30):
+            item = len(bench)
+            words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            bench.append((item, " ".join(words)))
+            for kind in kinds:
+                w = words[:]
+                for p in sorted(rng.sample(range(size), int(0.2 * size)), reverse=True):  # all edits that are allowed
+                    what = rng.choice(kinds[:3]) if kind == "mixed" else kind
+                    w[p : p + 1] = {"deletions": [], "insertions": [w[p], f"z{rng.randrange(99)}"], "substitutions": [f"z{rng.randrange(99)}"]}[what]
+                docs.append((len(docs), " ".join(["before", "it", *w, "after", "it"]), item, kind, size))
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(8), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    found = collections.defaultdict(list)
+    for d, text, item, kind, size in docs:
+        found[size, kind].append((d, item) in got)
+        if (d, item) in got and size < 70:
+            assert got[d, item].edits == best_window(bench[item][1], text)
+    assert all(sum(v) >= 29 for v in found.values()), {k: sum(v) for k, v in found.items() if sum(v) < 30}
+    assert sum(map(sum, found.values())) >= 0.995 * len(docs)
+
+
 def test_decontamination_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, LONG), (1, LONG)], "item_id long, text string")
     got = decontamination.contaminated(odd, bench).collect()
