@@ -19,8 +19,8 @@ from intentdeck.llm._common import materialize, read_table
 
 BUCKETS = 16_384
 SMOOTH = 0.5
-#: The most documents labelled as good that the target model is fitted on.
-TARGET_SAMPLE = 50_000
+#: About the most ids of good documents that are broadcast at once; more take more passes over the documents.
+TARGET_BLOCK = 500_000
 #: Counting ranges of one round of the k-th key search, and the rows from which the rest is fetched and sorted.
 RANGES, FETCH = 4096, 5000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -72,14 +72,27 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratio(counts: DataFrame, buckets: int = BUCKETS):
-    """The log of target probability over raw probability of each bucket, smoothed."""
+def block_counts(docs: DataFrame, good: DataFrame, blocks: int, buckets: int = BUCKETS) -> Iterator[DataFrame]:
+    """bucket_counts() whose sum counts all rows of docs once, and as target all rows whose doc_id is in good (distinct), by a pass for each block of ids.
+
+    A block is bounded and broadcast, so no text is shuffled to find its label. Only the first pass reads the texts of other documents.
+    """
+    docs = docs.select("doc_id", "text")
+    for k in range(blocks):
+        block = F.broadcast(good.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).select("doc_id", F.lit(True).alias("is_target")))
+        counts = bucket_counts(docs.join(block, "doc_id", "inner" if k else "left"), buckets)
+        yield counts.withColumn("raw", F.lit(0).cast("long")) if k else counts
+
+
+def log_ratio(counts: Iterator[DataFrame], buckets: int = BUCKETS):
+    """The log of target probability over raw probability of each bucket, smoothed, from the sum of the counts."""
     import numpy as np
 
     raw, target = np.full(buckets, SMOOTH), np.full(buckets, SMOOTH)
-    for b, r, t in counts.collect():  # at most a row per bucket
-        raw[b] += r
-        target[b] += t
+    for part in counts:
+        for b, r, t in part.collect():  # at most a row per bucket
+            raw[b] += r
+            target[b] += t
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -130,21 +143,19 @@ def kth_largest(keys: DataFrame, k: int) -> float:
             above += c
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17, target_sample: int = TARGET_SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17, target_block: int = TARGET_BLOCK) -> DataFrame:
     """(doc_id, log_weight, key) of the documents drawn: the k rows with the largest keys, and rows whose key equals the k-th.
 
-    k is ``share`` of all rows, by default the share of labelled doc_ids that are good. The raw model counts all documents; the target
-    model at most target_sample good ones, picked by a hash of their id. Labels that are null teach nothing; a doc_id with several labels is good if any is.
+    k is ``share`` of all rows, by default the share of labelled doc_ids that are good. The raw model counts all documents, the target
+    model all good ones, by a pass over the documents for about each target_block of them. Labels that are null teach nothing; a doc_id with several labels is good if any is.
     Without good documents, or rows, nothing is drawn. Repeated rows have equal keys and are drawn or left together. Null doc_ids are drawn like any other.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("q"))
-    picked = known.where("q = 1").select("doc_id", "q", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(target_sample).select("doc_id", "q")
-    # bounded by target_sample, so no text is shuffled to find its label
-    marked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left")
-    counts = materialize(bucket_counts(marked.select("text", F.col("q").isNotNull().alias("is_target"))), "ngrams")
+    known = materialize(known, "quality")
     labelled, targets = known.agg(F.count("*"), F.coalesce(F.sum("q"), F.lit(0))).first()
     share = share if share is not None else (targets / labelled if labelled else 0.0)
     n = docs.select("doc_id").count()
+    counts = block_counts(docs, known.where("q = 1"), max(1, -(-targets // target_block)))
     scored = weigh(docs, log_ratio(counts)).withColumn("key", F.col("log_weight") + gumbel("doc_id", seed=seed))
     k = round(share * n)
     if not targets or k < 1:

@@ -415,6 +415,17 @@ def test_quality_model_brute_force(spark):
     assert sum(good) / len(good) > sum(bad) / max(1, len(bad))
 
 
+def test_quality_target_counts_all_good_documents(spark):
+    words = F.concat(F.lit("w"), (F.col("id") % 7).cast("string"), F.lit(" v"), (F.col("id") * F.col("id") % 11).cast("string"))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = quality.resample(docs, labels, share=1.0)  # all are good, so both models are the same
+    assert got.count() == 60_000 and got.agg(F.max(F.abs("log_weight"))).first()[0] < 1e-9
+    some = labels.where("doc_id % 5 < 2")
+    one, many = ({r.doc_id: r.log_weight for r in quality.resample(docs.limit(999), some, share=1.0, **k).collect()} for k in ({}, {"target_block": 5_000}))
+    assert one == pytest.approx(many) and max(map(abs, one.values())) > 0
+
+
 def test_quality_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (4, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.resample(nothing, labels).count() == 0
