@@ -4,7 +4,8 @@ Each document's set of word 5-grams is embedded as ``COORDINATES`` min-hash toke
 A run splits all sets recursively: a node of the run's tree samples coordinates (1/0.8 of them in expectation,
 so that a pair at the threshold stays together in about one child) and deals its sets by their
 token there. The leaves are buckets of sets that agree on every sampled token along a path. Runs with fresh samples repeat until the chance that a
-pair at the threshold meets in no bucket is below 1 - RECALL. Within what buckets connect,
+pair at the threshold meets in no bucket is below 1 - RECALL; as all runs share the coordinates, that is the share of simulated pairs, each agreeing on
+its own random coordinates, that no leaf of any run keeps. Within what buckets connect,
 sets are compared exactly. Groups too large for one comparison are dealt into blocks that meet in pairs; comparisons return link counts and
 spanning forests, never pairs.
 """
@@ -30,6 +31,8 @@ SIMILAR = (8, 10)
 COORDINATES = 64
 DEPTH = 6
 RECALL = 0.998
+#: Simulated pairs at the threshold.
+TRIALS = 200_000
 #: Classes in a block of the exact comparison.
 BLOCK = 192
 WORD = re.compile(r"\w+")
@@ -39,32 +42,17 @@ MASK = (1 << 64) - 1
 @cache
 def chosen_paths(threshold: float = 0.8, coordinates: int = COORDINATES, depth: int = DEPTH, recall: float = RECALL, seed: int = 20) -> tuple[tuple[int, ...], ...]:
     """The leaves of all runs, each the coordinates along its path."""
-    rng, leaves, miss = random.Random(seed), [], 1.0
-    while miss > 1 - recall:
+    import numpy as np
+
+    rng, leaves = random.Random(seed), []
+    agree = np.random.default_rng(seed).random((TRIALS, coordinates)) < threshold  # of the pairs that no leaf has kept so far
+    while len(agree) > (1 - recall) * TRIALS:
         tree = [()]
-        shapes = {(): []}  # node -> children, for the chance that no leaf keeps a pair together
         for _ in range(depth):
-            nxt = []
-            for node in tree:
-                free = [c for c in range(coordinates) if c not in node]
-                kids = [node + (c,) for c in free if rng.random() < 1 / (threshold * len(free))]
-                shapes[node] = kids
-                nxt += kids
-            tree = nxt
-        if not tree:
-            continue
-        ends = set(tree)
-
-        def lost(node, shapes=shapes, ends=ends):
-            if node in ends:
-                return 0.0
-            p = 1.0
-            for k in shapes.get(node, ()):
-                p *= 1 - threshold * (1 - lost(k))
-            return p
-
+            tree = [node + (c,) for node in tree for free in [[c for c in range(coordinates) if c not in node]] for c in free if rng.random() < 1 / (threshold * len(free))]
         leaves += tree
-        miss *= lost(())
+        for leaf in tree:
+            agree = agree[~agree[:, leaf].all(axis=1)]
     return tuple(leaves)
 
 

@@ -270,6 +270,12 @@ def test_jaccard_brute_force(spark, block):
     assert got == brute_jaccard(docs)
 
 
+def test_jaccard_paths_keep_pairs_at_the_threshold():
+    agree = np.random.default_rng(99).random((100_000, jaccard_join.COORDINATES)) < 0.8  # all runs see the same coordinates
+    missed = ~np.any([agree[:, leaf].all(axis=1) for leaf in jaccard_join.chosen_paths()], axis=0)
+    assert missed.mean() < 0.0025
+
+
 def test_jaccard_odd_rows(odd, nothing):
     got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_join(odd).where("id is not null").collect())
     assert got == brute_jaccard([(r.doc_id, r.text) for r in odd.collect()])
