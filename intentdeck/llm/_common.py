@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentdeck.shared import discard, materialize, shared_dir
 
-__all__ = ["connected_components", "discard", "materialize", "read_table", "release", "shared_dir"]
+__all__ = ["connected_components", "discard", "forest", "groups_of", "materialize", "read_table", "release", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,34 +24,88 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def forest(n: int, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges (node, root) of a spanning forest of pairs over range(n)."""
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return [(x, top(x)) for x in range(n) if top(x) != x]
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Whole groups of a stream that is sorted by its first ``keys`` columns, at least ``rows`` rows at a time: the rows and each group's (first, end).
+
+    Holds one group and one batch, whatever the length of the stream.
+    """
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+
+    def bounds(t: pa.Table) -> list[int]:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in range(keys):
+            c = t.column(k).to_numpy()
+            new |= c[1:] != c[:-1]
+        return [0, *(np.nonzero(new)[0] + 1).tolist()]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            first = bounds(t)
+            if len(first) > 1:
+                yield t.slice(0, first[-1]), list(zip(first[:-1], first[1:], strict=True))
+            rest = t.slice(first[-1])
+            held = rest.to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        first = bounds(t)
+        yield t, list(zip(first, [*first[1:], t.num_rows], strict=True))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for an undirected edge table (a, b) of longs; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps, each two aggregations over the edges, so a
-    component of any shape takes about log(n) rounds. A round's table is written to the shared folder and the
-    one before it deleted. Nodes without an edge to another node do not appear; null ends are ignored.
+    In a round every node hooks on to the least of itself and its neighbours, in an order that a hash deals anew each round, and then
+    on to what that one hooked on to; edges within a tree vanish and the rest join the trees. At least each node that is not the least of its
+    neighbourhood goes, so rounds end by themselves, for chains and stars alike after about log(n) of them. Tables are written to the shared
+    folder; joins read written tables on both sides, so that Spark can split the rows of a hub. Nodes without an edge to another node do not appear;
+    null ends are ignored.
     """
-    e = (
-        edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-        .where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    e = materialize(e, "cc")
-    mark = None
-    for _ in range(max_rounds):
+    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
+    e = materialize(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
+    hooks: list[DataFrame] = []
+    while not e.isEmpty():
+        turn = F.lit(len(hooks))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = materialize(small, "cc")
+        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), "b")).alias("m"))
+        up = materialize(least.select("a", F.least(F.struct(F.xxhash64("a", turn).alias("h"), F.col("a").alias("b")), "m")["b"].alias("up")), "cc")
+        root = materialize(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("root")), "up").select("a", "root"), "cc")
+        discard(up)
+        left = e.join(root.withColumnRenamed("root", "x"), "a").join(root.select(F.col("a").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+        rest = materialize(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc")
         discard(e)
-        e = new
-        got = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a"), F.max(F.col("b"))).first()
-        if got[:2] == mark:
-            break
-        mark = got[:2]
-    roots = e.groupBy("a").agg(F.min("b").alias("component"))
-    return roots.select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        e = rest
+        hooks.append(root)
+    discard(e)
+    if not hooks:
+        return edges.sparkSession.createDataFrame([], "node long, component long")
+    nodes = hooks[0].withColumnRenamed("a", "node")
+    for h in hooks[1:]:
+        nodes = nodes.join(h.select(F.col("a").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    nodes = materialize(nodes, "cc")
+    low = materialize(nodes.groupBy("root").agg(F.min("node").alias("component")), "cc")
+    out = materialize(nodes.join(low, "root").select("node", "component"), "components")
+    for t in (nodes, low, *hooks):
+        discard(t)
+    return out

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import connected_components, materialize, read_table
+from intentdeck.llm._common import connected_components, forest, materialize, read_table
 
 COSINE = 0.93
 #: Nearest pivots that describe a vector, and how many of them candidates share.
@@ -32,23 +32,6 @@ def usable(vector, label):
     return label.isNotNull() & vector.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges (node, root) of a spanning forest of pairs over range(n)."""
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in pairs:
-        a, b = top(a), top(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return [(x, top(x)) for x in range(n) if top(x) != x]
-
-
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, width: int = WIDTH, shared: int = SHARED, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 

@@ -166,6 +166,19 @@ def test_registry():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
+def test_pipeline_loses_no_text(spark):
+    """Repeated and null ids: a row goes only if its own text is a copy."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long), (2, "other words entirely here"), (2, "other words entirely here"), (3, None), (None, long), (None, "lone words of no one else"), (4, ""), (5, long + " end")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _c string, copies int")
+    got = corpus_pipeline.jaccard_stage(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", long), ("2", rows[2][1]), ("3", ""), ("None", rows[6][1]), ("4", "")])
+    assert corpus_pipeline.jaccard_stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_pipeline_equals_its_stages(spark):
     import corpus_pipeline
 

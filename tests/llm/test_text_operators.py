@@ -258,22 +258,30 @@ def brute_jaccard(docs):
     return collections.Counter((i, first[g or ("none", i)], links[k], top(i), top(i) == i) for k, (i, g) in enumerate(live))
 
 
-@pytest.mark.parametrize("block", [192, 3])
-def test_jaccard_brute_force(spark, block):
+@pytest.mark.parametrize("small, block, grams", [(128, 1024, 300_000), (2, 3, 400)])
+def test_jaccard_brute_force(spark, small, block, grams):
     docs = [(r["doc_id"], r["text"]) for r in rows_of()]
     words = docs[0][1].split()[:150]
     for k in range(12):  # a chain of near copies, and copies of one of them
         docs.append((1000 + k, " ".join(words[k * 3 : 120 + k * 3])))
         docs.append((1100 + k, " ".join(words[:120])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_join(df, block=block).collect())
+    got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_join(df, small=small, block=block, block_grams=grams).collect())
     assert got == brute_jaccard(docs)
 
 
-def test_jaccard_paths_keep_pairs_at_the_threshold():
-    agree = np.random.default_rng(99).random((100_000, jaccard_join.COORDINATES)) < 0.8  # all runs see the same coordinates
-    missed = ~np.any([agree[:, leaf].all(axis=1) for leaf in jaccard_join.chosen_paths()], axis=0)
-    assert missed.mean() < 0.0025
+@pytest.mark.parametrize("small", [128, 1])
+def test_jaccard_recall_at_the_threshold(spark, small):
+    """Pairs just above 0.8, each of its own words, among rows that share a passage; small = 1 splits everything to the full depth."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{rng.randrange(9999)}" for _ in range(30))
+    docs = []
+    for k in range(400):
+        w = [f"p{k}x{i}" for i in range(470)]
+        docs += [(2 * k, shared + " " + " ".join(w)), (2 * k + 1, shared + " " + " ".join([*w[:-52], *(f"q{k}x{i}" for i in range(52))]))]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), small=small).collect()
+    assert sum(r.n_links == 1 for r in got) >= 0.99 * len(docs)  # 0.8 exactly would miss 0.2 % at the full depth
+    assert all(r.n_links <= 1 and r.component_id == r.id - r.id % 2 * r.n_links for r in got)
 
 
 def test_jaccard_odd_rows(odd, nothing):
