@@ -19,10 +19,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, and of rows that repeat a doc_id, one document stays. Rows without a doc_id stay."""
-    gone = jaccard_join.jaccard_join(docs).where("not kept").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates the row of the smallest (doc_id, hash of its text) stays; of rows equal in doc_id and text one.
+
+    Rows of one doc_id with different texts are judged apart. Rows without a doc_id take part behind all others, by a number made of their text.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62) - 1) + F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 62)))
+    names = {"id": "_id", "fp": "_fp"}
+    rows = docs.withColumns({"_id": number, "_fp": F.xxhash64(text)})
+    gone = jaccard_join.jaccard_join(rows, id_col="_id", with_fp=True).where("not kept").select("id", "fp").distinct().withColumnsRenamed(names)
+    return rows.join(gone, ["_id", "_fp"], "left_anti").dropDuplicates(["_id", "_fp"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
