@@ -2,8 +2,8 @@
 
 Which 100-byte strings can repeat at all is found by content-chosen anchors: every such string holds the k-gram with the smallest
 hash among its k-grams, so equal strings have equal anchors, and an anchor with the run of windows that chose it is a short context.
-Contexts that are equal as a whole need no index: all but the first are repeats. Different contexts of one anchor are
-indexed: shards of them are sorted on their own, and their transforms are merged by iterative interleave refinement. A round
+Contexts that are equal as a whole need no index: all but the first are repeats. Different contexts of one anchor whose bytes agree
+on one side of it at least are indexed: shards of them are sorted on their own, and their transforms are merged by iterative interleave refinement. A round
 deals the current interleave by the transforms' next symbols, which sorts by four more bytes each time without touching a suffix; where neighbours
 part in a round gives their common prefix. The blocks of common prefix 100 are the repeated intervals; all but the first in
 document order are repeats.
@@ -30,6 +30,10 @@ MOST_CONTEXTS = 8_000
 #: No byte of UTF-8: ends each context.
 END = 0xFF
 LOWEST = -(1 << 63)
+#: Share of all anchors from which one is hot, so that its rows are not brought together.
+HOT_SHARE = 0.001
+#: Windows of a text that are looked at at a time.
+PIECE = 1 << 20
 
 
 def gram_hashes(t, k: int = GRAM):
@@ -54,52 +58,97 @@ def gram_hashes(t, k: int = GRAM):
     return h
 
 
-def anchors(t, length: int = LENGTH, k: int = GRAM):
-    """(gram hash, first window, windows) of each anchor of one text's bytes, in order; empty for texts shorter than length."""
+def anchors(t, length: int = LENGTH, k: int = GRAM, lo: int = 0, hi: int | None = None):
+    """(gram hash, sides, first window, windows) of each anchor of the windows lo to hi of one text's bytes, in order; empty for texts shorter than length.
+
+    sides: 32 bits each of hashes of the bytes to the left and to the right of the anchor, half of what a window holds beside it, 0 where the text
+    ends before. A window holds one of the two whole, so windows can be equal only where their anchors have an equal side.
+    """
     import numpy as np
 
-    n = len(t) - length + 1
-    if n <= 0:
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
-    h = gram_hashes(t, k)
+    half = (length - k) // 2
+    last = len(t) - length + 1
+    hi = last if hi is None else min(hi, last)
+    if hi <= lo:
+        return np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+    base = max(0, lo - half)
+    h = gram_hashes(t[base : hi + length - 1 + half], k)
     width = length - k + 1
     v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype="u8")  # the leftmost of equal hashes
-    m, span = v, 1
+    m, span = v[lo - base :], 1
     while span * 2 <= width:
         m = np.minimum(m[: len(m) - span], m[span:])
         span *= 2
+    n = hi - lo
     low = np.minimum(m[:n], m[width - span : width - span + n])
     at = (low & np.uint64(0xFFFFFFFF)).astype("i8")
     first = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
-    return h[at[first]], first, np.diff(np.append(first, n))
-
-
-def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, ctx, doc, fp, first, n) of every anchor of every text."""
+    p = at[first]
+    steps = sorted({*range(half, k, -k), min(k, half)})
+    sides = np.zeros(len(p), "u8")
+    for sign, shift in ((-1, 32), (1, 0)):
+        end = p + sign * half
+        ok = (end >= 0) & (end < len(h))
+        x = np.zeros(int(ok.sum()), "u8")
+        with np.errstate(over="ignore"):
+            for d in steps:
+                x = (x ^ h[p[ok] + sign * d]) * np.uint64(0x9E3779B97F4A7C15)
+        sides[ok] |= np.maximum(x >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
+    return h[p], sides, first + lo, np.diff(np.append(first, n))
+
+
+def _occurrences(docs: DataFrame, length: int, hot: frozenset[int] | None) -> DataFrame:
+    """(gram, ctx, sides, doc, fp, at, hot) of every anchor of every text; at: first window and windows.
+
+    With hot None: (gram, n), the anchors that are frequent within some piece of the input, and under gram null how many anchors there are.
+    """
+    schema = "gram long, ctx long, sides long, doc long, fp long, at long, hot boolean" if hot is not None else "gram long, n long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        names = ["gram", "ctx", "doc", "fp", "first", "n"]
+        known = np.array(sorted(hot or ()), "i8")
+
+        def settle(out: list) -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            if hot is None:
+                gram, n = np.unique(cols[0], return_counts=True)
+                many = n >= max(4, HOT_SHARE / 2 * len(cols[0]))
+                return pa.RecordBatch.from_arrays([pa.array([None, *gram[many].tolist()], pa.int64()), pa.array([len(cols[0]), *n[many].tolist()], pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in [*cols, np.isin(cols[0], known)]], names)
+
+        out, size = [], 0
         for b in batches:
-            out: list = []
-            size = 0
             for doc, fp, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                gram, first, n = anchors(np.frombuffer(body, "u1"), length)
-                if not len(gram):
-                    continue
-                ends = (first + n + (length - 1)).tolist()
-                ctx = np.fromiter((xxhash.xxh3_64_intdigest(body[s:e]) for s, e in zip(first.tolist(), ends, strict=True)), "u8", len(gram))
-                out.append((gram.view("i8"), ctx.view("i8"), np.full(len(gram), doc), np.full(len(gram), fp), first.astype("i4"), n.astype("i2")))
-                size += len(gram)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-
-    return docs.select("doc", "fp", "body").mapInArrow(run, "gram long, ctx long, doc long, fp long, first int, n short")
+                t = np.frombuffer(body, "u1")
+                for lo in range(0, max(0, len(t) - length + 1), PIECE):
+                    gram, sides, first, n = anchors(t, length, lo=lo, hi=lo + PIECE)
+                    if hot is None:
+                        out.append((gram.view("i8"),))
+                    else:
+                        ends = (first + n + (length - 1)).tolist()
+                        ctx = np.fromiter((xxhash.xxh3_64_intdigest(body[s:e]) for s, e in zip(first.tolist(), ends, strict=True)), "u8", len(gram))
+                        out.append((gram.view("i8"), ctx.view("i8"), sides.view("i8"), np.full(len(gram), doc), np.full(len(gram), fp), first << 10 | n))
+                    size += len(gram)
+                    if size > 200_000:
+                        yield settle(out)
+                        out, size = [], 0
+        if out:
+            yield settle(out)
+
+    return docs.select("doc", "fp", "body").mapInArrow(run, schema)
+
+
+def hot_anchors(docs: DataFrame, length: int) -> frozenset[int]:
+    """The anchors that make up HOT_SHARE or more of all: at most 1 / HOT_SHARE of them, whatever the input."""
+    found = _occurrences(docs, length, None).groupBy("gram").agg(F.sum("n").alias("n"))
+    found = materialize(found, "frequent")
+    total = found.where("gram is null").first()
+    hot = [r[0] for r in found.where(F.col("gram").isNotNull() & (F.col("n") >= HOT_SHARE * total[1])).select("gram").collect()] if total else []
+    discard(found)
+    return frozenset(hot)
 
 
 def shard_order(text, begin, size, at, depth: int):
@@ -282,14 +331,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(body).alias("fp"), body.alias("body"))
-    occurrences = _occurrences(src, length)
-    same = Window.partitionBy("gram", "ctx").orderBy("doc", "fp", "first")
-    alike = Window.partitionBy("gram")
-    seen = occurrences.repartition("gram").withColumn("k", F.rank().over(same)).withColumn("many", F.min("ctx").over(alike) != F.max("ctx").over(alike))
-    seen = seen.withColumn("contexts", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(alike))
-    seen = materialize(seen.where("k > 1 or many").drop("ctx"), "repeated", compression="zstd")
+    # a hot anchor's rows are dealt to many tasks and settled by aggregations and joins; all others' windows are small
+    occurrences = _occurrences(src, length, hot_anchors(src, length))
+    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "at"), F.lit(1 << 16))).otherwise(0)
+    left, right = F.when(F.shiftrightunsigned("sides", 32) != 0, F.shiftrightunsigned("sides", 32)), F.when(F.col("sides").bitwiseAND(0xFFFFFFFF) != 0, F.col("sides").bitwiseAND(0xFFFFFFFF))
+    alike = ("gram", "deal")
+    several = lambda *by: F.min("ctx").over(Window.partitionBy(*alike, *by)) != F.max("ctx").over(Window.partitionBy(*alike, *by))
+    seen = occurrences.withColumn("deal", deal).repartition(*alike)
+    seen = seen.withColumn("k", F.rank().over(Window.partitionBy(*alike, "ctx").orderBy("doc", "fp", "at"))).withColumn("many", several())
+    seen = seen.where("hot or k > 1 or many").withColumn("left", left).withColumn("right", right)
+    seen = seen.withColumn("twin", several("left") & F.col("left").isNotNull()).withColumn("twin", F.col("twin") | (several("right") & F.col("right").isNotNull()))
+    seen = seen.withColumn("contexts", F.sum(F.when((F.col("k") == 1) & F.col("twin"), 1).otherwise(0)).over(Window.partitionBy(*alike)))
+    seen = seen.where("hot or k > 1 or twin").withColumn("first", F.shiftright("at", 10).cast("int")).withColumn("n", F.col("at").bitwiseAND(1023).cast("int"))
+    seen = materialize(seen.select("gram", "ctx", "left", "right", "doc", "fp", "first", "n", "hot", "k", "contexts"), "repeated", compression="zstd")
     release(spark)
-    whole = seen.where("k > 1").select("doc", "fp", "first", F.col("n").cast("int").alias("n"))
+    spans = ["doc", "fp", "first", "n"]
+    plain = seen.where("not hot")
+    whole = plain.where("k > 1").select(*spans)
+    hot = seen.where("hot")
+    crowded = plain.where((F.col("k") == 1) & (F.col("contexts") > most_contexts)).select("gram", *spans)
+    held: list[DataFrame] = [seen]
+    if not hot.isEmpty():
+        lead = hot.groupBy("gram", "ctx").agg(F.min(F.struct(*spans, "left", "right")).alias("lead"))
+        lead = materialize(lead, "lead")
+        again = hot.join(lead.select("gram", "ctx", "lead"), ["gram", "ctx"]).where(F.struct("doc", "fp", "first") > F.struct("lead.doc", "lead.fp", "lead.first"))
+        whole = whole.unionByName(again.select(*spans))
+        one = lead.select("gram", "ctx", "lead.*")
+        held.append(lead)
+        for side in ("left", "right"):
+            more = materialize(one.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.count("*").alias("c")).where("c > 1").select("gram", side), "sides")
+            crowded = crowded.unionByName(one.join(more, ["gram", side]).select("gram", *spans))
+            held.append(more)
     # the bytes of the first of each context whose anchor has others
     texts = src.select("doc", "fp", "body")
 
@@ -298,14 +370,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         cut = texts.join(wanted, ["doc", "fp"]).select("doc", "fp", "body", F.explode("w").alias("w"))
         return cut.select("w.gram", "doc", "fp", "w.first", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
 
-    few = F.col("contexts") <= most_contexts
-    apart = _repeats_of_contexts(bodies(seen.where((F.col("k") == 1) & few)).repartition("gram").sortWithinPartitions("gram"), length)
-    crowded = seen.where((F.col("k") == 1) & ~few)
+    few = plain.where((F.col("k") == 1) & (F.col("contexts") <= most_contexts)).select("gram", *spans)
+    apart = _repeats_of_contexts(bodies(few).repartition("gram").sortWithinPartitions("gram"), length)
     if not crowded.isEmpty():
         apart = apart.unionByName(_repeats_of_windows(bodies(crowded), length))
     runs = whole.unionByName(apart).groupBy("doc", "fp").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     runs = materialize(runs, "runs", compression="zstd")
-    discard(seen)
+    for table in held:
+        discard(table)
     release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
