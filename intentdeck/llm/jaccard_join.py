@@ -3,8 +3,8 @@
 Each document's set of word 5-grams is embedded as ``COORDINATES`` min-hash tokens, so that sets of similarity J share any coordinate's token with
 probability J. A run splits all sets recursively: at a node of its tree each token is sampled with probability 1 / (0.8 x COORDINATES), by a hash of the
 path and the token, and a set goes into the bucket of each of its sampled tokens, so that a pair at the threshold shares about one bucket again.
-A bucket of one set ends; one of up to ``SMALL`` sets is compared by brute force; a larger one is split on, ``DEPTH`` levels at most, and what is large
-even then is dealt into blocks that meet in pairs. Runs with fresh samples repeat until a pair at the threshold shares no bucket in any of them
+A bucket of one set ends; one of up to ``SMALL`` sets is compared by brute force; a larger one is split on, unless most of it is alike, ``DEPTH`` levels at most. What
+is large even then is dealt into blocks that meet in pairs. Runs with fresh samples repeat until a pair at the threshold shares no bucket in any of them
 with a probability of at most 1 - RECALL.
 
 Brute force goes by the tokens first: sets that can be similar by their sizes and share at least ``LEAST_ALIKE`` tokens are then compared exactly. A pair counts in the
@@ -31,10 +31,12 @@ COORDINATES = 64
 #: Levels of a run's tree; sets in a bucket that is compared without further splitting.
 DEPTH, SMALL = 4, 128
 RECALL = 0.998
+#: A large bucket whose sets agree on such a share of their tokens is a group of near copies, which splitting would not part: it is dealt into blocks at once.
+DENSE, PROBES = 0.6, 24
 #: Tokens that a pair shares at least (a pair at 0.8 shares 51 on average, and fewer than 35 once in 10^5).
 LEAST_ALIKE = 35
 #: Sets in a block of a large bucket, and n-grams (or eighths of characters, if more) in a block of the exact comparison.
-BLOCK, BLOCK_GRAMS = 1024, 300_000
+BLOCK, BLOCK_GRAMS = 512, 300_000
 WORD = re.compile(r"\w+")
 MASK = (1 << 64) - 1
 
@@ -178,10 +180,26 @@ def _leaves(classes: DataFrame, small: int) -> list[DataFrame]:
         if level + 1 == DEPTH or large.isEmpty():
             return [*leaves, held]
         leaves.append(held.where(F.col("c") <= small))
-        nodes = large.select("key", "cid").join(classes.select("cid", "tokens"), "cid").select(F.array("key").alias("paths"), "cid", "tokens")
+        large = materialize(large.join(classes.select("cid", "tokens"), "cid"), "large")
+        alike = materialize(large.groupBy("key").agg(_agreement().alias("alike")), "alike")
+        large = large.join(alike, "key")
+        leaves.append(large.where(F.col("alike") >= DENSE).select("key", "cid", "c"))
+        nodes = large.where(F.col("alike") < DENSE).select(F.array("key").alias("paths"), "cid", "tokens")
     return leaves
 
 
+def _agreement():
+    """About the share of the tokens on which two sets of a group agree, as an aggregate that starts on the map side.
+
+    The lowest bits of a coordinate's tokens are random signs of its values, and the square of their mean is on average the chance that two rows hold the same value.
+    """
+    signs = [1.0 - 2 * F.conv(F.hex(F.substring("tokens", 4 * c + 1, 1)), 16, 10).cast("int").bitwiseAND(1) for c in range(PROBES)]
+    total = F.pow(F.avg(signs[0]), 2)
+    for x in signs[1:]:
+        total = total + F.pow(F.avg(x), 2)
+    return total / PROBES
+
+
 def _in_pairs(df: DataFrame, blocks, *columns) -> DataFrame:
     """Deal the rows of each key into blocks and copy them to each pair (i, j) of blocks; rows of a pair lie together, sorted."""
     df = df.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
@@ -203,16 +221,16 @@ def _apart(key: int, leaves: list[list[int]]):
 
 
 def _alike(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(key, cid) of the sets that have at least one possible partner which counts in the bucket key."""
+    """(key, cid, weight) of the sets that have at least one possible partner which counts in the bucket key."""
     p, q = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for t, groups in groups_of(batches, 3):
-            key, i, j, cid, own, n = (t.column(c).to_numpy() for c in range(6))
-            tokens = np.frombuffer(b"".join(t.column(6).to_pylist()), "u1").reshape(t.num_rows, COORDINATES)
-            leaves, wanted = t.column(7), np.zeros(t.num_rows, bool)
+            key, i, j, cid, own, n, weight = (t.column(c).to_numpy() for c in range(7))
+            tokens = np.frombuffer(b"".join(t.column(7).to_pylist()), "u1").reshape(t.num_rows, COORDINATES)
+            leaves, wanted = t.column(8), np.zeros(t.num_rows, bool)
             by_size: dict[int, list[int]] = {}
             for a, z in groups:
                 if z - a <= SMALL and i[a] == j[a]:
@@ -240,9 +258,9 @@ def _alike(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
                     for u, v in zip(l[able].tolist(), r[able].tolist(), strict=True):
                         if min(set(leaves[u].as_py()) & set(leaves[v].as_py())) == key[u]:
                             wanted[u] = wanted[v] = True
-            yield pa.RecordBatch.from_arrays([pa.array(key[wanted]), pa.array(cid[wanted])], ["key", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[wanted]) for x in (key, cid, weight)], ["key", "cid", "weight"])
 
-    return rows.mapInArrow(run, "key long, cid long")
+    return rows.mapInArrow(run, "key long, cid long, weight long")
 
 
 def _links(rows: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
@@ -315,14 +333,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     profile = filed.join(classes.select("cid", "copies", "n", "weight", "tokens", "rep", "fp"), "cid").withColumn("leaves", F.array_sort(F.array_distinct("at.key")))
     profile = materialize(profile, "profile")
     one_byte = F.expr("unhex(regexp_replace(hex(tokens), '(..)......', '$1'))")  # of each token
-    buckets = profile.select("cid", "n", one_byte.alias("tokens"), "leaves", F.explode(F.array_distinct("at")).alias("l")).select("cid", "n", "tokens", "leaves", F.col("l.key").alias("key"), F.col("l.c").alias("c"))
-    wanted = materialize(_alike(_in_pairs(buckets, F.ceil(F.col("c") / block).cast("int"), "n", "tokens", "leaves"), similar).distinct(), "wanted")
-    grams = wanted.join(profile.select("cid", "weight"), "cid")
-    sizes = materialize(grams.groupBy("key").agg(F.ceil(F.sum("weight") / block_grams).cast("int").alias("blocks")), "sizes")
+    buckets = profile.select("cid", "n", "weight", one_byte.alias("tokens"), "leaves", F.explode(F.array_distinct("at")).alias("l"))
+    buckets = buckets.select("cid", "n", "weight", "tokens", "leaves", F.col("l.key").alias("key"), F.col("l.c").alias("c"))
+    wanted = materialize(_alike(_in_pairs(buckets, F.ceil(F.col("c") / block).cast("int"), "n", "weight", "tokens", "leaves"), similar).distinct(), "wanted")
+    sizes = materialize(wanted.groupBy("key").agg(F.ceil(F.sum("weight") / block_grams).cast("int").alias("blocks")), "sizes")
     need = materialize(wanted.select("cid").distinct().join(profile.select("cid", "rep", "fp", "copies", "leaves"), "cid"), "need")
-    text = src.withColumn("fp", F.xxhash64("text")).withColumnRenamed("id", "rep").join(need.select("cid", "rep", "fp"), ["rep", "fp"])
-    text = text.groupBy("cid").agg(F.first("text").alias("text"))
-    rows = wanted.join(sizes, "key").join(need.select("cid", "copies", "leaves"), "cid").join(text, "cid")
+    texts = src.withColumn("fp", F.xxhash64("text")).withColumnRenamed("id", "rep").join(need, ["rep", "fp"])
+    texts = texts.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("copies", "leaves", "text")])  # of rows equal in id and text one
+    rows = wanted.join(sizes, "key").join(texts, "cid")
     found = materialize(_links(_in_pairs(rows, F.col("blocks"), "copies", "leaves", "text"), words, similar), "found")
     links = materialize(found.groupBy("cid").agg(F.sum("links").alias("links")), "links")
     parts = connected_components(found.where("root is not null").select(F.col("cid").alias("a"), F.col("root").alias("b")))
