@@ -1,17 +1,17 @@
-"""Best-fit packing of tokenised documents into fixed-length sequences, in bulk-synchronous steps.
-
-Lengths are whole numbers up to the capacity, so the range-sorted documents and the range-sorted gaps are
-both runs of equal sizes: a document is (length, rank among its equals) and a gap is (size, a range of sequence ids). One step takes the longest documents still unplaced and
-sweeps for their successor gap, the smallest that holds them; where many ask for the same gap the rank decides
-(rank i takes the run's i-th sequence); the gaps that were hit shrink and go back to their place in the order. Steps repeat until
-all are placed. What a step decides is a few runs, whatever the number of documents, so the
-plan is at most a few thousand rows (bounded by the capacity); ranks, counts and the assignment of documents to runs are distributed.
+"""Best-fit packing of tokenised documents into fixed-length sequences, in bulk-synchronous sweeps.
+
+Documents are taken by halves of the capacity, the longest first. In a round the waiting documents and the gaps of all open sequences are range-sorted by
+size together, and every range is swept from its largest size down: a gap goes on a stack, a document takes the top one, its successor, the smallest gap that holds it. What
+that leaves of the gap stays on top while the next document fits. The documents that found no gap in their range and the gaps that were not asked for keep their rank in it; from the
+two counts of each range follows which ranks of documents meet which ranks of gaps of larger ranges (the nearest first), a table of two rows a range. Gaps
+shrink, and rounds repeat until one places few of those that wait; these open new sequences, filled in order of size.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
+import math
+import re
 import sys
 import types
 import zlib
@@ -19,13 +19,20 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import materialize, read_table
+from intentdeck.llm._common import discard, materialize, read_table
 
 CAPACITY = 1024
 END_ID = 2
+#: Documents and gaps in a range of the sort.
+RANGE_ROWS = 20_000
+#: A round that places less than this share of the waiting documents is the last of their size.
+LEAST_PLACED = 0.02
+#: Unicode's white space; a run of this many is encoded as the pieces that the pattern would give, which backtracks over runs.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2000,}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,14 +42,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """The vocabulary of a byte-level BPE file of `tokenizers` as bytes -> id, without its added tokens."""
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """The ids of a byte-level BPE file of `tokenizers`: of byte strings, and of its added tokens, which stand for themselves in a text."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added = {t["content"] for t in spec.get("added_tokens", [])}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level files write these bytes as themselves
     table = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    return {bytes(table[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    return {bytes(table[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}, added
 
 
 def worker_memo(key: str, make: Callable):
@@ -61,10 +68,25 @@ def text_encoder(path: str) -> Callable[[str], bytes]:
     import public_tokenizers
     import tiktoken
 
-    bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+    ranks, added = vocabulary(path)
+    bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
+
+    def plain(text: str) -> list[int]:
+        ids, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() - (m.end() < len(text))  # the last blank goes to what follows
+            ids += bpe.encode_ordinary(text[at : m.start()])
+            ids += bpe._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + bpe.encode_ordinary(text[at:])
 
     def encode(text: str) -> bytes:
-        return array("I", bpe.encode_ordinary(text)).tobytes()
+        ids, at = [], 0
+        for m in special.finditer(text):
+            ids += [*plain(text[at : m.start()]), added[m.group()]]
+            at = m.end()
+        return array("I", ids + plain(text[at:])).tobytes()
 
     return encode
 
@@ -102,87 +124,172 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit steps over runs: (length, first rank, ranks, first sequence, offset in it).
+def _sweep(docs: DataFrame, gaps: DataFrame, most: int, ranges: int, capacity: int) -> DataFrame:
+    """One sweep of docs (id, size <= most) over gaps (id, size): rows (kind, part, rank, id, size, seq, at) of four kinds.
 
-    counts: documents by length. Every rank of every length is in exactly one run.
+    p: a document placed in sequence seq at offset at. d: one that found no gap, with its rank in its range. g: a gap that nobody asked for, its rank counted
+    in documents of size most, from the smallest gap of the range on. r: what is left of the gaps that were hit.
     """
-    gaps: dict[int, list[list[int]]] = {}  # size -> [first sequence, how many]
-    sizes: list[int] = []  # of the gaps, in order
-    runs, fresh = [], 0
-
-    def put(size: int, first: int, n: int) -> None:
-        if size > 0:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)  # the successor: the smallest gap that holds this length
-            if at == len(sizes):
-                # sequences opened now take as many equal documents as they hold
-                each = capacity // length
-                full, rest = divmod(left, each)
-                for k in range(each):
-                    if full:
-                        runs.append((length, rank, full, fresh, k * length))
-                        rank += full
-                put(capacity - each * length, fresh, full)
-                fresh += full
-                if rest:
-                    for k in range(rest):
-                        runs.append((length, rank + k, 1, fresh, k * length))
-                    put(capacity - rest * length, fresh, 1)
-                    fresh += 1
-                left = 0
-                continue
-            size = sizes[at]
-            first, n = gaps[size][-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        out: list[tuple] = []
+        stack: list[list[int]] = []  # [sequence, size, whether it was hit]
+        waiting = 0
+
+        def rows() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["kind", "part", "rank", "id", "size", "seq", "at"])
+
+        for b in batches:
+            for is_doc, i, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not is_doc:
+                    stack.append([i, size, False])
+                    continue
+                while stack and stack[-1][1] < size:  # hit before, and too small by now
+                    seq, left, _ = stack.pop()
+                    out.append(("r", part, None, seq, left, None, None))
+                if not stack:
+                    out.append(("d", part, waiting, i, size, None, None))
+                    waiting += 1
+                    continue
+                top = stack[-1]
+                out.append(("p", part, None, i, size, top[0], capacity - top[1]))
+                top[1], top[2] = top[1] - size, True
+                if not top[1]:
+                    stack.pop()
+            if len(out) >= 10_000:
+                yield rows()
+                out.clear()
+        rank = 0
+        for seq, size, hit in reversed(stack):
+            out.append(("r", part, None, seq, size, None, None) if hit else ("g", part, rank, seq, size, None, None))
+            rank += 0 if hit else max(1, size // most)
+        yield rows()
+
+    both = docs.select(F.lit(True).alias("is_doc"), "id", "size").unionByName(gaps.select(F.lit(False).alias("is_doc"), "id", "size"))
+    order = [F.desc("size"), "is_doc", "id"]  # at equal size the gap comes first
+    return both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, "kind string, part int, rank long, id long, size int, seq long, at int")
+
+
+def _meet(waiting: dict[int, int], free: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(range of documents, first rank, range of gaps, first rank, how many) for the counts of waiting documents and free places by range, the largest sizes in range 0."""
+    out, stack = [], []
+    for part in sorted({*waiting, *free}):
+        rank, left = 0, waiting.get(part, 0)
+        while left and stack:
+            of, first, n = stack.pop()
             take = min(n, left)
-            runs.append((length, rank, take, first, capacity - size))
-            if take == n:
-                gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size]
-                    sizes.pop(at)
-            else:
-                gaps[size][-1] = [first + take, n - take]
-            put(size - length, first, take)
+            out.append((part, rank, of, first, take))
+            if n > take:
+                stack.append((of, first + take, n - take))
             rank, left = rank + take, left - take
-    return runs
+        if free.get(part):
+            stack.append((part, 0, free[part]))
+    return out
+
+
+def _open(docs: DataFrame, ranges: int, capacity: int) -> DataFrame:
+    """(id, seq, at, size) of docs (id, size) in new sequences, each range filled in order of size; a sequence has the id of its first document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, at = None, capacity
+        for b in batches:
+            seqs, ats = [], []
+            for i, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at + size > capacity:
+                    seq, at = i, 0
+                seqs.append(seq)
+                ats.append(at)
+                at += size
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.int64()), pa.array(ats, pa.int32()), b.column(1)], ["id", "seq", "at", "size"])
+
+    order = [F.desc("size"), "id"]
+    return docs.select("id", "size").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, "id long, seq long, at int, size int")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...; 1 <= length <= capacity).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to pieces (length, ...; 1 <= length <= capacity).
 
-    Sequences are gapless from 0; equal lengths are ranked by (doc_id, piece, crc). An empty table gives an empty one.
-    Columns named sequence_id or offset are replaced.
+    A sequence's pieces lie without gaps from 0; its id is a number without meaning. Rows may repeat; an empty table gives an empty one. Columns named
+    sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
-    tie = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    slots = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("_slot", F.pmod(F.xxhash64(*tie), F.lit(slots)).cast("int"))
-    by_slot = dealt.groupBy("length", "_slot").agg(F.count("*").alias("_n"))  # at most capacity * slots rows
-    upto = Window.partitionBy("length").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    by_slot = materialize(by_slot.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))), "slots")
-    counts = {int(r[0]): int(r[1]) for r in by_slot.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
-    runs = spark.createDataFrame(plan_runs(counts, capacity), "length long, _first long, _many long, _seq long, _off long")
-    within = Window.partitionBy("length", "_slot").orderBy(*tie)
-    ranked = dealt.withColumn("_r", F.row_number().over(within)).join(by_slot.select("length", "_slot", "_before"), ["length", "_slot"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_r") - 1)
-    r, p = runs.alias("r"), ranked.alias("p")
-    fits = (F.col("p.length") == F.col("r.length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_many"))
-    # the plan's size is bounded by the capacity, not by the input
-    return p.join(F.broadcast(r), fits).select(*[F.col(f"p.{c}").alias(c) for c in pieces.columns], (F.col("_seq") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_off").alias("offset"))
+    pieces = materialize(pieces.drop("sequence_id", "offset").withColumn("_pid", F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
+    docs = pieces.select(F.col("_pid").alias("id"), F.col("length").cast("int").alias("size"))
+    bounds = [capacity]
+    while bounds[-1]:
+        bounds.append(bounds[-1] // 2)
+    classes = list(zip(bounds[1:], bounds[:-1], strict=True))  # documents longer than the first and up to the second
+    level = F.lit(0)
+    for k, (low, _) in enumerate(classes):
+        level = F.when(F.col("size") <= low, F.lit(k + 1)).otherwise(level)
+    many = {r[0]: r[1] for r in docs.groupBy(level.alias("k")).count().collect()}  # a row for each halving of the capacity
+    cols = ["id", "seq", "at"]
+    # no two of the first class go together
+    placed = [docs.where(F.col("size") > classes[0][0]).select("id", F.col("id").alias("seq"), F.lit(0).alias("at"))]
+    gaps = materialize(docs.where((F.col("size") > classes[0][0]) & (F.col("size") < capacity)).select("id", (capacity - F.col("size")).cast("int").alias("size")), "gaps")
+    used = []  # tables that go when all is placed
+    for k, (low, most) in enumerate(classes[1:], 1):
+        waits, n = docs.where((F.col("size") > low) & (F.col("size") <= most)), many.get(k, 0)
+        if not n:
+            continue
+        free, old = gaps.where(F.col("size") > low), gaps
+        aside = gaps.where(F.col("size") <= low)
+        while n:
+            ranges = max(1, math.ceil((n + free.count()) / range_rows))
+            swept = materialize(_sweep(waits, free, most, ranges, capacity), "swept")
+            used.append(swept)
+            places = F.greatest(F.lit(1), F.floor(F.col("size") / most)).cast("long")
+            # two rows for each range
+            counts = swept.groupBy("kind", "part").agg(F.count("*").alias("n"), F.sum(places).alias("places")).where("kind <> 'r'").collect()
+            left = {r["part"]: r["n"] for r in counts if r["kind"] == "d"}
+            plan = _meet(left, {r["part"]: r["places"] for r in counts if r["kind"] == "g"})
+            placed.append(swept.where("kind = 'p'").select(*cols))
+            hit, unasked, unmet = swept.where("kind = 'r'").select("id", "size"), swept.where("kind = 'g'"), swept.where("kind = 'd'")
+            if plan:
+                meet = spark.createDataFrame(plan, "part int, first long, of int, to long, n long")
+                taken = meet.groupBy(F.col("of").alias("part")).agg(F.sum("n").alias("taken"))
+                ask = unmet.join(F.broadcast(meet), "part").where("rank >= first and rank < first + n").select(F.col("of").alias("part"), (F.col("to") + F.col("rank") - F.col("first")).alias("place"), F.col("id").alias("doc"), F.col("size").alias("length"))
+                last = F.least(F.col("rank") + places, F.col("taken")) - 1
+                give = unasked.join(F.broadcast(taken), "part").where("rank < taken").select("part", F.explode(F.sequence(F.col("rank"), last)).alias("place"), "id", "size")
+                by = Window.partitionBy("id").orderBy("place")  # at most capacity rows
+                length = F.sum("length").over(by)
+                got = materialize(ask.join(give, ["part", "place"]).select(F.col("doc").alias("id"), F.col("id").alias("seq"), (capacity - F.col("size") + length - F.col("length")).cast("int").alias("at"), F.col("length")), "met")
+                used.append(got)
+                placed.append(got.select(*cols))
+                gone = got.groupBy(F.col("seq").alias("id")).agg(F.sum("length").alias("gone"))
+                unasked = unasked.join(gone, "id", "left").select("id", (F.col("size") - F.coalesce("gone", F.lit(0))).cast("int").alias("size")).where("size > 0")
+                met = spark.createDataFrame([(p, sum(m[4] for m in plan if m[0] == p)) for p in {m[0] for m in plan}], "part int, met long")
+                unmet = unmet.join(F.broadcast(met), "part", "left").where("rank >= coalesce(met, 0)")
+            waits, before, n = unmet.select("id", "size"), n, sum(left.values()) - sum(m[4] for m in plan)
+            free = unasked.select("id", "size").unionByName(hit)
+            if n and before - n < LEAST_PLACED * before:
+                break
+        new = [free, aside]
+        if n:
+            opened = materialize(_open(waits, max(1, math.ceil(n / range_rows)), capacity), "opened")
+            used.append(opened)
+            placed.append(opened.select(*cols))
+            new.append(opened.groupBy(F.col("seq").alias("id")).agg((capacity - F.sum("size")).cast("int").alias("size")).where("size > 0"))
+        gaps = new[0]
+        for g in new[1:]:
+            gaps = gaps.unionByName(g)
+        gaps = materialize(gaps, "gaps")
+        discard(old)
+    discard(gaps)
+    where = placed[0]
+    for t in placed[1:]:
+        where = where.unionByName(t)
+    where = materialize(where.select(F.col("id").alias("_pid"), F.col("seq").alias("sequence_id"), F.col("at").cast("long").alias("offset")), "placed")
+    for t in used:
+        discard(t)
+    return pieces.join(where, "_pid").drop("_pid")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack. The pieces are written once to the shared folder, so ids are made once and ranks are stable."""
-    return pack(materialize(tokenize_pieces(docs, capacity=capacity, path=path, with_ids=with_ids), "pieces"), capacity)
+    """Tokenise, cut and pack. The pieces are written once to the shared folder, so ids are made once."""
+    return pack(tokenize_pieces(docs, capacity=capacity, path=path, with_ids=with_ids), capacity)
 
 
 def op2_best_fit_packing(spark, sf_dir) -> DataFrame:

@@ -75,49 +75,55 @@ def test_ids_equal_the_tokenizer():
 
     path = packing.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     encode = packing.text_encoder(path)
     rng = random.Random(1)
-    texts = [r["text"] for r in rows_of()] + ["", " ", "a  b\n\n c\t", "it's we'LL <|endoftext|>", "ñandú ½ ² 日本語 🙂\u00a0x", "".join(chr(rng.choice([32, 9, 10, 39, 65, 97, 49, 233, 8217, 128512, 0x1F1E6, 0x301])) for _ in range(3000))]
+    texts = [r["text"] for r in rows_of()] + ["", " ", "a  b\n\n c\t", "it's we'LL <|endoftext|>", "<|endoftext|><|endoftext|> a", "ñandú ½ ² 日本語 🙂\u00a0x", "".join(chr(rng.choice([32, 9, 10, 39, 65, 97, 49, 233, 8217, 128512, 0x1F1E6, 0x301])) for _ in range(3000))]
+    blank = " " * 2500 + "\n" * 2500
+    texts += [blank, blank + "a", "b" + blank + "\u00a0c", "\n" * 3000 + "d", "é" + "\u3000" * 2100 + " 7", " " * 3000 + "\x1c\x1d" + blank]
     for t in texts:
         assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
-def test_plan_runs_is_best_fit():
-    """Against best fit decreasing one document at a time."""
-    rng = random.Random(2)
-    for cap in (10, 37, 100):
-        sizes = sorted((rng.randint(1, cap) for _ in range(800)), reverse=True)
-        gaps: list[int] = []
-        for s in sizes:
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(cap - s)
-        counts = collections.Counter(sizes)
-        runs = packing.plan_runs(dict(counts), cap)
-        seen, bins = collections.defaultdict(list), collections.defaultdict(list)
-        for length, rank, n, seq, off in runs:
-            seen[length] += range(rank, rank + n)
-            for k in range(n):
-                bins[seq + k].append((off, length))
-        assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(v)) for k, v in counts.items()}
-        for b in bins.values():
-            at = 0
-            for off, length in sorted(b):
-                assert off == at
-                at += length
-            assert at <= cap
-        assert len(bins) <= len(gaps)
+def test_ids_of_very_long_runs():
+    encode = packing.text_encoder(packing.tokenizer_path())
+    for c in " \n\tx7.é":
+        assert len(encode(c * 1_000_000)) > 4 * 1_000
+
+
+@pytest.mark.parametrize("cap, rows", [(10, 20_000), (37, 90), (100, 60), (1024, 50), (64, 7)])
+def test_sweeps_against_best_fit_decreasing(spark, cap, rows):
+    """Whole, gapless and about as tight as best fit decreasing one document at a time, in one range or in many."""
+    rng = random.Random(cap)
+    sizes = [rng.choice([1, rng.randint(1, cap), rng.randint(1, cap)]) for _ in range(800)]
+    gaps: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else cap) - s)
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)], "doc_id long, length long, seq string")
+    got = packing.pack(df, cap, range_rows=rows).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(sizes))
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for off, n in sorted(b):
+            assert off == at
+            at += n
+        assert at <= cap
+    assert len(bins) <= 1.01 * len(gaps) + 1
+
+
+def test_ranks_meet_the_nearest_gaps():
+    assert packing._meet({0: 2, 1: 1, 3: 4}, {0: 1, 1: 3, 2: 1}) == [(1, 0, 0, 0, 1), (3, 0, 2, 0, 1), (3, 1, 1, 0, 3)]
 
 
 def check_packing(got, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     seqs, docs = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         seqs[r.sequence_id].append((r.offset, r.length))
