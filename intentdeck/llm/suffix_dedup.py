@@ -25,7 +25,7 @@ GRAM = 24
 #: Bytes of contexts that are merged at a time (an anchor's contexts stay together).
 MERGE_BYTES = 60_000
 SHARDS = 4
-#: Different contexts of one anchor that are merged in one task; those of an anchor with more are compared window by window.
+#: Different contexts of one anchor that are merged in one task; those of an anchor with more are compared block by block.
 MOST_CONTEXTS = 8_000
 #: No byte of UTF-8: ends each context.
 END = 0xFF
@@ -59,7 +59,7 @@ def gram_hashes(t, k: int = GRAM):
 
 
 def anchors(t, length: int = LENGTH, k: int = GRAM, lo: int = 0, hi: int | None = None):
-    """(gram hash, sides, first window, windows) of each anchor of the windows lo to hi of one text's bytes, in order; empty for texts shorter than length.
+    """(gram hash, sides, first window, its place in that window, windows) of each anchor of the windows lo to hi of one text's bytes, in order; empty for texts shorter than length.
 
     sides: 32 bits each of hashes of the bytes to the left and to the right of the anchor, half of what a window holds beside it, 0 where the text
     ends before. A window holds one of the two whole, so windows can be equal only where their anchors have an equal side.
@@ -70,7 +70,7 @@ def anchors(t, length: int = LENGTH, k: int = GRAM, lo: int = 0, hi: int | None
     last = len(t) - length + 1
     hi = last if hi is None else min(hi, last)
     if hi <= lo:
-        return np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+        return np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
     base = max(0, lo - half)
     h = gram_hashes(t[base : hi + length - 1 + half], k)
     width = length - k + 1
@@ -94,11 +94,11 @@ def anchors(t, length: int = LENGTH, k: int = GRAM, lo: int = 0, hi: int | None
             for d in steps:
                 x = (x ^ h[p[ok] + sign * d]) * np.uint64(0x9E3779B97F4A7C15)
         sides[ok] |= np.maximum(x >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
-    return h[p], sides, first + lo, np.diff(np.append(first, n))
+    return h[p], sides, first + lo, p + base - first - lo, np.diff(np.append(first, n))
 
 
 def _occurrences(docs: DataFrame, length: int, hot: frozenset[int] | None) -> DataFrame:
-    """(gram, ctx, sides, doc, fp, at, hot) of every anchor of every text; at: first window and windows.
+    """(gram, ctx, sides, doc, fp, at, hot) of every anchor of every text; at: first window, the anchor's place in it, windows.
 
     With hot None: (gram, n), the anchors that are frequent within some piece of the input, and under gram null how many anchors there are.
     """
@@ -124,13 +124,13 @@ def _occurrences(docs: DataFrame, length: int, hot: frozenset[int] | None) -> Da
             for doc, fp, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 t = np.frombuffer(body, "u1")
                 for lo in range(0, max(0, len(t) - length + 1), PIECE):
-                    gram, sides, first, n = anchors(t, length, lo=lo, hi=lo + PIECE)
+                    gram, sides, first, o, n = anchors(t, length, lo=lo, hi=lo + PIECE)
                     if hot is None:
                         out.append((gram.view("i8"),))
                     else:
                         ends = (first + n + (length - 1)).tolist()
                         ctx = np.fromiter((xxhash.xxh3_64_intdigest(body[s:e]) for s, e in zip(first.tolist(), ends, strict=True)), "u8", len(gram))
-                        out.append((gram.view("i8"), ctx.view("i8"), sides.view("i8"), np.full(len(gram), doc), np.full(len(gram), fp), first << 10 | n))
+                        out.append((gram.view("i8"), ctx.view("i8"), sides.view("i8"), np.full(len(gram), doc), np.full(len(gram), fp), first << 20 | o << 10 | n))
                     size += len(gram)
                     if size > 200_000:
                         yield settle(out)
@@ -284,29 +284,36 @@ def _repeats_of_contexts(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("gram", "doc", "fp", "first", "n", "body").mapInArrow(run, "doc long, fp long, first int, n int")
 
 
-def _repeats_of_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """What _repeats_of_contexts() gives, for anchors with any number of contexts: a row for each window, under its 128-bit digest.
+def _repeats_of_blocks(contexts: DataFrame, length: int, held: list[DataFrame]) -> DataFrame:
+    """What _repeats_of_contexts() gives, for contexts (gram, doc, fp, first, o, n, body) of anchors with any number of them; o: the anchor's place in the first window.
 
-    The first window of each digest is an aggregation that starts on the map side, so no task holds an anchor's contexts.
+    Contexts are cut at the same places relative to the anchor into ever smaller blocks of windows. Of equal blocks all but the first repeat as a whole. The first,
+    which stands for them, is cut on if another block of its anchor and place holds the bytes that all its windows share. Single windows are the last blocks. Equality goes by
+    128 bits of hashes. Firsts are aggregations that start on the map side, and joins read written tables, so no task holds an anchor's contexts. Tables that the result
+    reads are added to held.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, fp, first, n, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                cols[0] += [xxhash.xxh3_128_digest(body[i : i + length]) for i in range(n)]
-                cols[1] += [doc] * n
-                cols[2] += [fp] * n
-                cols[3] += range(first, first + n)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["window", "doc", "fp", "first"])
-
-    rows = contexts.select("doc", "fp", "first", "n", "body").mapInArrow(run, "window binary, doc long, fp long, first int")
-    rows = materialize(rows, "windows", compression="zstd")
-    lead = rows.groupBy("window").agg(F.min(F.struct("doc", "fp", "first")).alias("lead"))
-    return rows.join(lead, "window").where(F.struct("doc", "fp", "first") > F.col("lead")).select("doc", "fp", "first", F.lit(1).alias("n"))
+    rows = contexts.select("gram", "doc", "fp", "first", "n", (-F.col("o")).alias("u"), "body")
+    runs = None
+    zero, size = 1 << 12, 32  # a multiple of all sizes beyond every place
+    while size:
+        cut = rows.select("*", F.explode(F.sequence(F.floor((F.col("u") + zero) / size), F.floor((F.col("u") + F.col("n") - 1 + zero) / size))).alias("b"))
+        begin, end = F.col("b") * size - zero, (F.col("b") + 1) * size - zero
+        cut = cut.withColumn("v", F.greatest(F.col("u"), begin)).withColumn("m", F.least(F.col("u") + F.col("n"), end) - F.col("v"))
+        cut = cut.withColumn("first", F.col("first") + F.col("v") - F.col("u")).withColumn("body", F.substring("body", (F.col("v") - F.col("u") + 1).cast("int"), (F.col("m") + length - 1).cast("int")))
+        shared = F.substring("body", (end - F.col("v")).cast("int"), F.lit(length - size + 1)) if size <= length else F.lit(b"")
+        cut = cut.select("gram", "doc", "fp", F.col("first").cast("int").alias("first"), F.col("m").cast("int").alias("n"), F.col("v").alias("u"), "body", F.xxhash64("gram", "b", shared).alias("shared"), F.xxhash64("gram", "v", "m", "body").alias("key"), F.xxhash64("body", F.lit(size)).alias("key2"))
+        cut = materialize(cut, "blocks", compression="zstd")
+        lead = materialize(cut.groupBy("key", "key2").agg(F.min(F.struct("doc", "fp", "first")).alias("lead")), "lead")
+        known = materialize(cut.join(lead, ["key", "key2"]), "known", compression="zstd")
+        held += [cut, lead, known]
+        at = F.struct("doc", "fp", "first")
+        again = known.where(at > F.col("lead")).select("doc", "fp", "first", "n")
+        runs = again if runs is None else runs.unionByName(again)
+        more = materialize(known.where(at == F.col("lead")).groupBy("shared").agg(F.count("*").alias("c")).where("c > 1").select("shared"), "shared")
+        held.append(more)
+        rows = known.where(at == F.col("lead")).join(more, "shared").select("gram", "doc", "fp", "first", "n", "u", "body")
+        size //= 2
+    return runs
 
 
 def removed_spans(n_bytes: int, runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -342,17 +349,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     seen = seen.where("hot or k > 1 or many").withColumn("left", left).withColumn("right", right)
     seen = seen.withColumn("twin", several("left") & F.col("left").isNotNull()).withColumn("twin", F.col("twin") | (several("right") & F.col("right").isNotNull()))
     seen = seen.withColumn("contexts", F.sum(F.when((F.col("k") == 1) & F.col("twin"), 1).otherwise(0)).over(Window.partitionBy(*alike)))
-    seen = seen.where("hot or k > 1 or twin").withColumn("first", F.shiftright("at", 10).cast("int")).withColumn("n", F.col("at").bitwiseAND(1023).cast("int"))
-    seen = materialize(seen.select("gram", "ctx", "left", "right", "doc", "fp", "first", "n", "hot", "k", "contexts"), "repeated", compression="zstd")
+    seen = seen.where("hot or k > 1 or twin").withColumn("first", F.shiftright("at", 20).cast("int")).withColumn("o", F.shiftright("at", 10).bitwiseAND(1023).cast("int")).withColumn("n", F.col("at").bitwiseAND(1023).cast("int"))
+    seen = materialize(seen.select("gram", "ctx", "left", "right", "doc", "fp", "first", "o", "n", "hot", "k", "contexts"), "repeated", compression="zstd")
     release(spark)
     spans = ["doc", "fp", "first", "n"]
     plain = seen.where("not hot")
     whole = plain.where("k > 1").select(*spans)
     hot = seen.where("hot")
-    crowded = plain.where((F.col("k") == 1) & (F.col("contexts") > most_contexts)).select("gram", *spans)
+    crowded = plain.where((F.col("k") == 1) & (F.col("contexts") > most_contexts)).select("gram", "o", *spans)
     held: list[DataFrame] = [seen]
     if not hot.isEmpty():
-        lead = hot.groupBy("gram", "ctx").agg(F.min(F.struct(*spans, "left", "right")).alias("lead"))
+        lead = hot.groupBy("gram", "ctx").agg(F.min(F.struct(*spans, "o", "left", "right")).alias("lead"))
         lead = materialize(lead, "lead")
         again = hot.join(lead.select("gram", "ctx", "lead"), ["gram", "ctx"]).where(F.struct("doc", "fp", "first") > F.struct("lead.doc", "lead.fp", "lead.first"))
         whole = whole.unionByName(again.select(*spans))
@@ -360,20 +367,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         held.append(lead)
         for side in ("left", "right"):
             more = materialize(one.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.count("*").alias("c")).where("c > 1").select("gram", side), "sides")
-            crowded = crowded.unionByName(one.join(more, ["gram", side]).select("gram", *spans))
+            crowded = crowded.unionByName(one.join(more, ["gram", side]).select("gram", "o", *spans))
             held.append(more)
     # the bytes of the first of each context whose anchor has others
     texts = src.select("doc", "fp", "body")
 
     def bodies(anchors_: DataFrame) -> DataFrame:
-        wanted = anchors_.dropDuplicates(["gram", "doc", "fp", "first"]).groupBy("doc", "fp").agg(F.collect_list(F.struct("gram", "first", "n")).alias("w"))
+        wanted = anchors_.dropDuplicates(["gram", "doc", "fp", "first"]).groupBy("doc", "fp").agg(F.collect_list(F.struct("gram", "first", "o", "n")).alias("w"))
         cut = texts.join(wanted, ["doc", "fp"]).select("doc", "fp", "body", F.explode("w").alias("w"))
-        return cut.select("w.gram", "doc", "fp", "w.first", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
+        return cut.select("w.gram", "doc", "fp", "w.first", "w.o", "w.n", F.substring(F.col("body"), F.col("w.first") + 1, F.col("w.n") + length - 1).alias("body"))
 
-    few = plain.where((F.col("k") == 1) & (F.col("contexts") <= most_contexts)).select("gram", *spans)
+    few = plain.where((F.col("k") == 1) & (F.col("contexts") <= most_contexts)).select("gram", "o", *spans)
     apart = _repeats_of_contexts(bodies(few).repartition("gram").sortWithinPartitions("gram"), length)
     if not crowded.isEmpty():
-        apart = apart.unionByName(_repeats_of_windows(bodies(crowded), length))
+        apart = apart.unionByName(_repeats_of_blocks(bodies(crowded), length, held))
     runs = whole.unionByName(apart).groupBy("doc", "fp").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     runs = materialize(runs, "runs", compression="zstd")
     for table in held:

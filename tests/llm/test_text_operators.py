@@ -363,8 +363,10 @@ def brute_removal(docs, length=100):
     return out
 
 
-@pytest.mark.parametrize("seed, most", [(0, 20_000), (1, 20_000), (2, 20_000), (3, 2)])
-def test_suffix_dedup_brute_force(spark, seed, most):
+@pytest.mark.parametrize("seed, most, hot, piece", [(0, 20_000, 0.001, 1 << 20), (1, 20_000, 1, 70), (2, 20_000, 0.01, 333), (3, 2, 1, 1 << 20)])
+def test_suffix_dedup_brute_force(spark, monkeypatch, seed, most, hot, piece):
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     rng = random.Random(seed)
     letters = "ab" if seed == 0 else "abcdefghij é"
     pool = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 400))) for _ in range(15)] + ["ab" * 150, "x" * 250]
