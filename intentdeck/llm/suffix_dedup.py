@@ -338,9 +338,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(body).alias("fp"), body.alias("body"))
-    # a hot anchor's rows are dealt to many tasks and settled by aggregations and joins; all others' windows are small
+    # a hot anchor's rows are dealt to all partitions; what is not the first of its context there repeats, and only the firsts of the partitions are brought together
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
     occurrences = _occurrences(src, length, hot_anchors(src, length))
-    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "at"), F.lit(1 << 16))).otherwise(0)
+    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "at"), F.lit(deals))).otherwise(0)
     left, right = F.when(F.shiftrightunsigned("sides", 32) != 0, F.shiftrightunsigned("sides", 32)), F.when(F.col("sides").bitwiseAND(0xFFFFFFFF) != 0, F.col("sides").bitwiseAND(0xFFFFFFFF))
     alike = ("gram", "deal")
     several = lambda *by: F.min("ctx").over(Window.partitionBy(*alike, *by)) != F.max("ctx").over(Window.partitionBy(*alike, *by))
@@ -354,8 +355,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     release(spark)
     spans = ["doc", "fp", "first", "n"]
     plain = seen.where("not hot")
-    whole = plain.where("k > 1").select(*spans)
-    hot = seen.where("hot")
+    whole = seen.where("k > 1").select(*spans)
+    hot = seen.where("hot and k = 1")
     crowded = plain.where((F.col("k") == 1) & (F.col("contexts") > most_contexts)).select("gram", "o", *spans)
     held: list[DataFrame] = [seen]
     if not hot.isEmpty():
