@@ -1,17 +1,18 @@
-"""Toxicity by compression distance: a zstandard dictionary of toxic text and one of ordinary text.
-
-Both dictionaries start from the same base of common words; the toxic one goes on with segments over-represented in
-toxic training text. A text is cut into windows of whole words. A window's compressed length under the ordinary
-dictionary minus that under the toxic one is how much better toxic text explains it; the share of the base that both hold cancels out.
-The threshold from which a difference counts, and the weights that turn a document's
-differences into a probability, are calibrated on training documents that were not used for the dictionaries.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
+
+Two dictionaries of equal size are compared. They share a base, trained by zstandard on ordinary text, so that what is common to all text costs the same under
+both, and each goes on with a part trained by zstandard on its own kind: further ordinary text, or the toxic passages. Labels are of documents, so the passages
+of toxic documents are found first: the words whose beginnings are over-represented there. A text is cut into windows of whole words, and a window's compressed length under the
+ordinary dictionary minus that under the toxic one is how much better toxic text explains it. The lengths from which a window counts, and the weights that turn a
+document's windows into a probability, are calibrated on training documents that took no part in the dictionaries that judge them (cross-fitting); the final
+dictionaries are trained on all.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,96 +23,91 @@ from pyspark.sql import functions as F
 
 from intentdeck.llm._common import read_table
 
-#: The most labelled documents of each kind that are fetched to fit the model.
+#: The most labelled documents of each kind that the model is fitted on.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000
-BASE_BYTES = 24_000
+#: Bytes of the shared base and of each own part of the dictionaries; the most samples that a part is trained on.
+BASE_BYTES, OWN_BYTES, MOST_SAMPLES = 32_768, 4_096, 40_000
+#: Bytes of the segments that zstandard's trainer picks, and of the strings whose counts it goes by.
+SEGMENT, MATCH = 200, 8
 #: Begins both dictionaries and each window: zstandard gives up on inputs of a few bytes, and this adds the same to both lengths.
 LEAD = b"0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^_`|"
 #: Ends each dictionary and each window: zstandard does not index or search the last bytes of either.
 PAD = b"\n" * 16
 TAIL = b"~}{#$%&*+,-!"
-#: Stands before each window and each toxic segment.
-MARK = " "
 #: Words in a window.
-WINDOW_WORDS = 1
+WINDOW_WORDS = 2
+#: Pairs of lengths, in bytes, of which calibration picks one: from the first on a window counts, from the second on once more.
+LIMITS = ((1, 3), (2, 4), (3, 5), (4, 6))
+FOLDS = 3
 THRESHOLD = 0.7
-#: Window texts whose difference a worker remembers.
-CACHE = 120_000
+#: Windows whose difference a worker remembers.
+CACHE = 150_000
 WORD = re.compile(r"\w+")
 
 
+def windows_of(text: str, n: int = WINDOW_WORDS) -> list[str]:
+    """The text's lower-case words, n at a time; the last window may be shorter."""
+    words = WORD.findall(text.lower())
+    return [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+
+
+def _content(window: str) -> bytes:
+    return f" {window} ".encode("utf-8", "replace")
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     base: bytes
+    ordinary: bytes
     toxic: bytes
-    delta: int  # bytes from which a window's difference counts
-    weights: tuple[float, ...]  # of 1, the largest difference, log(1 + windows that count), log(1 + bytes saved in them)
+    limits: tuple[int, int]
+    weights: tuple[float, ...]  # of summary()
 
-    def scorer(self):
-        """score(text) in [0, 1]."""
+    def differences(self):
+        """differences(text): of each window, the bytes that the toxic dictionary saves over the ordinary one."""
         import zstandard as zs
 
-        par = zs.ZstdCompressionParameters.from_level(13, window_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        par = zs.ZstdCompressionParameters.from_level(13, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
 
-        def size_under(content: bytes):
-            d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        def compressor(own: bytes):
+            # equal lengths on both sides, so that distances cost the same
+            size = max(len(self.ordinary), len(self.toxic))
+            d = zs.ZstdCompressionDict(LEAD + self.base + own.rjust(size) + PAD, dict_type=zs.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=par)
-            c = zs.ZstdCompressor(dict_data=d, compression_params=par)
-            return lambda b: len(c.compress(b))
+            return zs.ZstdCompressor(dict_data=d, compression_params=par).compress
 
-        ordinary, toxic = size_under(LEAD + self.base + PAD), size_under(LEAD + self.base + self.toxic + PAD)
-
-        # a window that shares no min_match bytes with the toxic segments cannot gain from them
-        grams = {self.toxic[i : i + 4] for i in range(len(self.toxic) - 3)}
+        ordinary, toxic = compressor(self.ordinary), compressor(self.toxic)
 
         class Differences(dict):
             def __missing__(self, window: str) -> int:
                 if len(self) >= CACHE:
                     self.clear()
-                b = f"{MARK}{window} ".encode("utf-8", "replace")
-                d = 0
-                if any(b[i : i + 4] in grams for i in range(len(b) - 3)):
-                    d = ordinary(LEAD + b + TAIL) - toxic(LEAD + b + TAIL)
-                self[window] = d
+                b = LEAD + _content(window) + TAIL
+                d = self[window] = len(ordinary(b)) - len(toxic(b))
                 return d
 
         known = Differences()
+        return lambda text: list(map(known.__getitem__, windows_of(text)))
 
-        def differences(text: str) -> list[int]:
-            words = WORD.findall(text.lower())
-            if WINDOW_WORDS > 1:
-                words = [" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
-            return [d for d in map(known.__getitem__, words) if d > 0]
-
-        w = self.weights
+    def scorer(self):
+        """score(text) in [0, 1]; a null text is the empty one."""
+        differences, w, limits = self.differences(), self.weights, self.limits
 
         def score(text: str | None) -> float:
-            a, b, c = summary(differences(text or ""), self.delta)
-            z = w[0] + w[1] * a + w[2] * b + w[3] * c
+            z = sum(a * b for a, b in zip(w, summary(differences(text or ""), limits), strict=True))
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
-        score.differences = differences
         return score
 
 
-def summary(differences: list[int], delta: int) -> tuple[float, float, float]:
-    """Of the windows' positive differences."""
-    many = [d for d in differences if d >= delta]
-    return float(max(many, default=0)), math.log1p(len(many)), math.log1p(sum(many))
-
-
-def _segments(texts: list[str]) -> tuple[Counter, int]:
-    """In how many texts a word or the start of a word occurs, and how many texts there are; near copies count once."""
-    out: Counter = Counter()
-    seen = set()
-    for t in texts:
-        words = set(WORD.findall(t.lower()))
-        low = tuple(sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in words)[:2])
-        if low in seen:
-            continue
-        seen.add(low)
-        out.update({w[:n] for w in words for n in range(4, min(len(w), 12) + 1)})
-    return out, max(1, len(seen))
+def summary(differences: list[int], limits: tuple[int, int]) -> tuple[float, ...]:
+    """What is weighed of a document's windows: how many count, also as a share, the largest difference and the bytes saved."""
+    out = [1.0]
+    for limit in limits:
+        n = sum(d >= limit for d in differences)
+        out += [math.log1p(n), math.log((n + 0.5) / (len(differences) + 1))]
+    saved = [d for d in differences if d > 0]
+    return (*out, float(min(12, max(saved, default=0))), math.log1p(sum(saved)))
 
 
 def _logistic(x, y, rounds: int = 40):
@@ -126,49 +122,63 @@ def _logistic(x, y, rounds: int = 40):
     return w
 
 
+def toxic_passages(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """The words of toxic texts with a beginning of 3 to 12 letters that is over-represented there, as often as they occur."""
+
+    def beginnings(text: str) -> set[str]:
+        return {w[:n] for w in set(WORD.findall(text.lower())) for n in range(3, min(len(w), 12) + 1)}
+
+    in_t, in_o = Counter(b for t in toxic for b in beginnings(t)), Counter(b for t in ordinary for b in beginnings(t))
+    least = max(3, 0.015 * len(toxic))
+    over = {b for b, n in in_t.items() if n >= least and n / len(toxic) > 4 * (in_o[b] + 0.5) / len(ordinary)}
+    return [w for t in toxic for w in WORD.findall(t.lower()) if any(w[:n] in over for n in range(3, min(len(w), 12) + 1))]
+
+
+def _dictionary(size: int, samples: list[bytes]) -> bytes:
+    """zstandard's dictionary of the samples; of too few for its trainer, the samples themselves."""
+    import zstandard as zs
+
+    samples = [s for s in samples if s]
+    try:
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
+    """(base, ordinary part, toxic part) of the training texts."""
+    passages = [_content(w) for w in toxic_passages(toxic, ordinary)]
+    lines = [_content(w) for t in ordinary for w in windows_of(t, 8)]
+    random.Random(1).shuffle(lines)
+    half = len(lines) // 2
+    return _dictionary(BASE_BYTES, lines[:half][:MOST_SAMPLES]), _dictionary(OWN_BYTES, lines[half:][:MOST_SAMPLES]), _dictionary(OWN_BYTES, passages[:MOST_SAMPLES])
+
+
 def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Fit on training texts (the first two thirds make the dictionaries, the rest calibrate). Without toxic texts every score is about 0."""
+    """Fit on training texts; equal texts count once. Without texts of both kinds every score is about 0."""
     import numpy as np
 
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
-        return ToxicityModel(b" ", b"", 1 << 30, (-60.0, 0.0, 0.0, 0.0))
-    few = len(toxic) < 30 or len(ordinary) < 30
-    part = lambda xs, a: xs if few else [x for i, x in enumerate(xs) if (i % 3 == 2) == a]
-    t, o = part(toxic, False), part(ordinary, False)
-    (in_t, n_t), (in_o, n_o) = _segments(t), _segments(o)
-    share = lambda s: (in_t[s] / n_t, (in_o[s] + 0.5) / (n_o + 1))
-    least = max(3, 0.015 * n_t)
-    gain = {s: a * math.log(a / b) for s in in_t if in_t[s] >= least and (a := share(s)[0]) > 6 * (b := share(s)[1])}
-    longer: dict[str, list[str]] = {}
-    for g in gain:
-        longer.setdefault(g[:-1], []).append(g)
-    chosen: list[str] = []
-    for g in sorted(gain, key=lambda g: (-gain[g], g)):
-        if any(c.startswith(g) for c in chosen):
-            continue
-        while more := [x for x in longer.get(g, ()) if in_t[x] >= 0.9 * in_t[g]]:  # as far as the segment goes on alike
-            g = more[0]
-        chosen.append(g)
-        if len(chosen) == 400:
-            break
-    words = Counter(w for x in o for w in set(WORD.findall(x.lower())))
-    base = (" " + " ".join(w for w, _ in reversed(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:6000])) + " ").encode()[-BASE_BYTES:]
-    best = None
-    held_t, held_o = part(toxic, True), part(ordinary, True)
-    y = np.array([1.0] * len(held_t) + [0.0] * len(held_o))
-    for keep in sorted({min(n, len(chosen)) for n in (20, 80, 400)}):
-        added = (MARK + f" {MARK}".join(reversed(chosen[:keep])) + " ").encode()
-        model = ToxicityModel(base, added, 1, (0.0,) * 4)
-        differences = model.scorer().differences
-        found = [differences(s) for s in held_t + held_o]
-        for delta in (1, 2, 3, 4, 5, 6):
-            x = np.array([(1.0, *summary(f, delta)) for f in found])
-            w = _logistic(x, y)
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-            loss = float(-np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
-            if best is None or loss < best[0] - 1e-4:
-                best = (loss, ToxicityModel(base, added, delta, tuple(float(v) for v in w)))
-    return best[1]
+        return ToxicityModel(b"", b"", b"", LIMITS[0], (-60.0,) + (0.0,) * 6)
+    found: list[list[int]] = []
+    y: list[float] = []
+    for k in range(FOLDS):
+        rest = [[t for i, t in enumerate(kind) if i % FOLDS != k] or kind for kind in (toxic, ordinary)]
+        differences = ToxicityModel(*dictionaries(*rest), LIMITS[0], ()).differences()
+        for kind, label in ((toxic, 1.0), (ordinary, 0.0)):
+            got = [differences(t) for i, t in enumerate(kind) if i % FOLDS == k]
+            found += got
+            y += [label] * len(got)
+    target, best = np.array(y), None
+    for limits in LIMITS:
+        x = np.array([summary(f, limits) for f in found])
+        w = _logistic(x, target)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        loss = float(-np.mean(target * np.log(p + 1e-12) + (1 - target) * np.log(1 - p + 1e-12)))
+        if best is None or loss < best[0]:
+            best = (loss, limits, tuple(float(v) for v in w))
+    return ToxicityModel(*dictionaries(toxic, ordinary), *best[1:])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -185,9 +195,16 @@ def train_on(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPL
     pick = lambda y, n: rows.where(F.col("toxic") == y).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n)
     # bounded by the two sample sizes
     few = F.broadcast(pick(1, toxic_sample).unionByName(pick(0, ordinary_sample)))
-    got = docs.select("doc_id", F.col("text").alias("text")).where("text is not null").join(few, "doc_id").select("toxic", "text", "h").toArrow()
-    got = sorted(got.to_pylist(), key=lambda r: (r["h"], r["text"]))
-    return train([r["text"] for r in got if r["toxic"] == 1], [r["text"] for r in got if r["toxic"] == 0])
+    got = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").select("toxic", "text", "h")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["h"], r["text"]))
+        m = train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
+        yield pa.RecordBatch.from_pylist([{"base": m.base, "ordinary": m.ordinary, "toxic": m.toxic, "limits": list(m.limits), "weights": list(m.weights)}])
+
+    # one task fits on the bounded sample, so that the driver holds the model only
+    r = got.repartition(1).mapInArrow(fit, "base binary, ordinary binary, toxic binary, limits array<long>, weights array<double>").first()
+    return ToxicityModel(bytes(r.base), bytes(r.ordinary), bytes(r.toxic), tuple(r.limits), tuple(r.weights))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,32 @@ def test_toxicity_held_out(spark):
     assert all(0 <= s <= 1 for s, _ in got.values())
 
 
+def test_toxicity_scores_brute_force(spark):
+    """Differences and scores against zstandard called window by window, and held-out recall on the given labels."""
+    import zstandard as zs
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    m = toxicity.train_on(docs, labels)
+    rows = toxicity.score_documents(docs.join(labels.select("doc_id"), "doc_id"), m).withColumn("h", toxicity.held_out()).join(labels, "doc_id").where("h").collect()
+    right = [r.toxic for r in rows if r.score >= 0.7]
+    assert sum(right) / sum(r.toxic for r in rows) > 0.68 and sum(right) / len(right) > 0.9
+    par = zs.ZstdCompressionParameters.from_level(13, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    size = max(len(m.ordinary), len(m.toxic))
+
+    def length(own, words):
+        d = zs.ZstdCompressionDict(toxicity.LEAD + m.base + own.rjust(size) + toxicity.PAD, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        return len(zs.ZstdCompressor(dict_data=d, compression_params=par).compress(toxicity.LEAD + b" " + " ".join(words).encode() + b" " + toxicity.TAIL))
+
+    text = {r.doc_id: r.text for r in docs.where("length(text) < 700").limit(6).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs.where(F.col("doc_id").isin(list(text))), m).collect()}
+    for i, t in text.items():
+        w = re.findall(r"\w+", t.lower())
+        d = [length(m.ordinary, w[k : k + 2]) - length(m.toxic, w[k : k + 2]) for k in range(0, len(w), 2)]
+        assert m.differences()(t) == d
+        z = sum(a * b for a, b in zip(m.weights, toxicity.summary(d, m.limits), strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train_on(odd, labels)
