@@ -28,9 +28,9 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000
 #: Bytes of the shared base and of each own part of the dictionaries; the most samples that a part is trained on.
 BASE_BYTES, OWN_BYTES, MOST_SAMPLES = 32_768, 4_096, 40_000
 #: Bytes of the segments that zstandard's trainer picks, and of the strings whose counts it goes by.
-SEGMENT, MATCH = 200, 8
+SEGMENT, MATCH = 500, 8
 #: Begins both dictionaries and each window: zstandard gives up on inputs of a few bytes, and this adds the same to both lengths.
-LEAD = b"0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^_`|"
+LEAD = b"0123456789:;<=>?@ABCDEFG"
 #: Ends each dictionary and each window: zstandard does not index or search the last bytes of either.
 PAD = b"\n" * 16
 TAIL = b"~}{#$%&*+,-!"
@@ -48,7 +48,9 @@ WORD = re.compile(r"\w+")
 def windows_of(text: str, n: int = WINDOW_WORDS) -> list[str]:
     """The text's lower-case words, n at a time; the last window may be shorter."""
     words = WORD.findall(text.lower())
-    return [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+    out = list(map(" ".join, zip(*[iter(words)] * n, strict=False)))
+    rest = len(words) % n
+    return [*out, " ".join(words[-rest:])] if rest else out
 
 
 def _content(window: str) -> bytes:
@@ -103,10 +105,10 @@ class ToxicityModel:
 def summary(differences: list[int], limits: tuple[int, int]) -> tuple[float, ...]:
     """What is weighed of a document's windows: how many count, also as a share, the largest difference and the bytes saved."""
     out = [1.0]
+    saved = [d for d in differences if d > 0]
     for limit in limits:
-        n = sum(d >= limit for d in differences)
+        n = sum(d >= limit for d in saved)
         out += [math.log1p(n), math.log((n + 0.5) / (len(differences) + 1))]
-    saved = [d for d in differences if d > 0]
     return (*out, float(min(12, max(saved, default=0))), math.log1p(sum(saved)))
 
 
