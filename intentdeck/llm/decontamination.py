@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import read_table
+from intentdeck.llm._common import materialize, read_table
 
 #: Share of an item's words that may be edited.
 EDITS = 0.2
@@ -252,6 +252,64 @@ class ItemIndex:
         return out
 
 
+def matcher(index: ItemIndex):
+    """matches(rows): FOUND rows of (id, text) rows, in passes over about a million characters at a time."""
+    import numpy as np
+
+    vocab = index.vocab
+
+    def some(docs_: list[tuple]) -> list[tuple]:
+        seqs = [[vocab.get(w, 0) for w in words_of(t)] for _, t in docs_]
+        sizes = np.array([len(s) for s in seqs])
+        if not sizes.sum() or not index.runs:
+            return []
+        seq = np.concatenate([np.array(s, "i4") for s in seqs])
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        near: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (document, item) -> where runs of the item may lie
+        by_part: dict[int, list[int]] = {}
+        for s, p in index.candidates(seq, ends):
+            by_part.setdefault(p, []).append(s)
+        for p, at in by_part.items():
+            piece, part = index.pieces[p], index.parts[p]
+            allowed, size = index.allowed[part.item], len(index.seqs[part.item])
+            at = np.array(sorted(at))
+            for lo in range(0, len(at), 4096):
+                some = at[lo : lo + 4096]
+                place = some[:, None] + np.arange(len(piece) + part.allowed)[None, :]
+                windows = np.where(place < ends[some][:, None], seq[np.minimum(place, len(seq) - 1)], -1)
+                for s in some[edit_rows(piece, windows).min(axis=1) <= part.allowed].tolist():
+                    doc = int(np.searchsorted(begin, s, side="right")) - 1
+                    first = s - part.offset - allowed
+                    near.setdefault((doc, part.item), []).append((max(first, int(begin[doc])), min(first + size + 3 * allowed, int(ends[s]))))
+        best: dict[tuple[int, int], tuple] = {}
+        for (doc, k), places in near.items():
+            merged: list[list[int]] = []
+            for a, b in sorted(places):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            for a, b in merged:
+                d, s, n = best_run(index.seqs[k], seq[a:b])
+                if d <= index.allowed[k] and ((doc, k) not in best or d < best[doc, k][0]):
+                    best[doc, k] = (d, s + a - int(begin[doc]), n)
+        return [(docs_[doc][0], index.ids[k], s, n, d, 1 - d / len(index.seqs[k])) for (doc, k), (d, s, n) in sorted(best.items())]
+
+    def matches(rows: list[tuple]) -> list[tuple]:
+        got: list[tuple] = []
+        part, size = [], 0
+        for r in rows:
+            part.append(r)
+            size += len(r[1] or "")
+            if size > 1_000_000:
+                got += some(part)
+                part, size = [], 0
+        return got + some(part)
+
+    return matches
+
+
 def find_items(docs: DataFrame, items: list[tuple[int, str | None]], id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS) -> DataFrame:
     """FOUND rows: for each document and item that occurs in it, the best window.
 
@@ -261,59 +319,9 @@ def find_items(docs: DataFrame, items: list[tuple[int, str | None]], id_col: str
     index = ItemIndex(items, edits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        vocab = index.vocab
-
-        def matches(docs_: list[tuple[int, str | None]]) -> list[tuple]:
-            seqs = [[vocab.get(w, 0) for w in words_of(t)] for _, t in docs_]
-            sizes = np.array([len(s) for s in seqs])
-            if not sizes.sum() or not index.runs:
-                return []
-            seq = np.concatenate([np.array(s, "i4") for s in seqs])
-            ends = np.repeat(np.cumsum(sizes), sizes)
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            near: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (document, item) -> where runs of the item may lie
-            by_part: dict[int, list[int]] = {}
-            for s, p in index.candidates(seq, ends):
-                by_part.setdefault(p, []).append(s)
-            for p, at in by_part.items():
-                piece, part = index.pieces[p], index.parts[p]
-                allowed, size = index.allowed[part.item], len(index.seqs[part.item])
-                at = np.array(sorted(at))
-                for lo in range(0, len(at), 4096):
-                    some = at[lo : lo + 4096]
-                    place = some[:, None] + np.arange(len(piece) + part.allowed)[None, :]
-                    windows = np.where(place < ends[some][:, None], seq[np.minimum(place, len(seq) - 1)], -1)
-                    for s in some[edit_rows(piece, windows).min(axis=1) <= part.allowed].tolist():
-                        doc = int(np.searchsorted(begin, s, side="right")) - 1
-                        first = s - part.offset - allowed
-                        near.setdefault((doc, part.item), []).append((max(first, int(begin[doc])), min(first + size + 3 * allowed, int(ends[s]))))
-            best: dict[tuple[int, int], tuple] = {}
-            for (doc, k), places in near.items():
-                merged: list[list[int]] = []
-                for a, b in sorted(places):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    d, s, n = best_run(index.seqs[k], seq[a:b])
-                    if d <= index.allowed[k] and ((doc, k) not in best or d < best[doc, k][0]):
-                        best[doc, k] = (d, s + a - int(begin[doc]), n)
-            return [(docs_[doc][0], index.ids[k], s, n, d, 1 - d / len(index.seqs[k])) for (doc, k), (d, s, n) in sorted(best.items())]
-
+        matches = matcher(index)
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            got: list[tuple] = []
-            part, size = [], 0
-            for r in rows:  # about a million characters at a time
-                part.append(r)
-                size += len(r[1] or "")
-                if size > 1_000_000:
-                    got += matches(part)
-                    part, size = [], 0
-            got += matches(part)
+            got = matches(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
             cols = list(zip(*got, strict=True)) if got else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "edits", "similarity"])
@@ -334,19 +342,42 @@ def item_blocks(benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS) -> Iterato
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """find_items() for a whole benchmark table, one pass over the documents for each block of items."""
-    out = None
+    """find_items() for a whole benchmark table, one pass over the documents for each block of items.
+
+    What the passes before the last one find is written, so that the driver holds the index of one block.
+    """
+    out, last = None, None
     for block in item_blocks(benchmark, per_pass):
-        got = find_items(docs, block)
-        out = got if out is None else out.unionByName(got)
-    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+        if last is not None:
+            got = materialize(find_items(docs, last), "found")
+            out = got if out is None else out.unionByName(got)
+        last = block
+    if last is None:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    got = find_items(docs, last)
+    return got if out is None else out.unionByName(got)
 
 
 def op3_decontamination(spark, sf_dir) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item occurs, with the columns of docs."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """The rows of docs in which no item occurs, with the columns of docs: each row by its own text, whatever its id. A null text stays."""
+    at = docs.columns.index("text")
+
+    def without(index: ItemIndex):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matches = matcher(index)
+            for b in batches:
+                bad = {m[0] for m in matches(list(enumerate(b.column(at).to_pylist())))}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
+
+        return run
+
+    out, last = docs, None
+    for block in item_blocks(benchmark, per_pass):
+        if last is not None:  # written, so that the driver holds the index of one block
+            out = materialize(out.mapInArrow(without(ItemIndex(last)), docs.schema), "clean")
+        last = block
+    return out if last is None else out.mapInArrow(without(ItemIndex(last)), docs.schema)

@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives. DataFrame and SQL functions only.
 
-Candidates are long runs of key characters. Features of a candidate: its length, its transitions between character classes and
+Candidates are values behind an announcing word and an equals sign or colon, and long runs of key characters with a digit. Features of a candidate: its length, its transitions between character classes and
 its digits, how much of it dictionary words cover, what path it stands in and the words next to it. The forest is fitted on labelled
 findings and then written out as CASE expressions, so that scoring stays within code generation.
 """
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from intentdeck.llm._common import read_table
 
-#: A run of at least 16 key characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
 #: Characters before and after a candidate that its features see.
 CONTEXT = 48
 THRESHOLD = 0.5
@@ -37,6 +35,15 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
+#: What stands between an announcing word and its value.
+ASSIGN = r"[\"']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}[\"'`]?"
+#: A value of six characters or more behind an announcing word; else a run of at least 16 key characters with a digit, in up to five parts between dots.
+CANDIDATE = (
+    r"(?<=[:=>\s\"'`])(?<=(?i:" + _any(SECRET_WORDS) + ")" + ASSIGN + r")(?![\s:=>\"'`])[^\s\"'`,;<>(){}\[\]]{6,}"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{16,}){0,4}={0,2}"
+)
+
+
 def features(secret: Column, before: Column, after: Column, path: Column) -> list[Column]:
     """The FEATURES of a candidate, all doubles; nulls of the context count as empty."""
     empty = F.lit("")
@@ -80,7 +87,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     opens = pick(['"', "'", "", "`"], "q")
     says = F.concat(pick(SECRET_WORDS, "s"), pick([" = ", "=", ": ", ":", " => "], "e"), opens)
     case = lambda c: F.when(F.pmod(h("case"), F.lit(4)) == 0, F.upper(c)).otherwise(c)
-    key = F.when(many("k", 0, 3) <= 1, case(F.substring(hexa("x"), F.lit(1), pick_len := F.when(many("l", 0, 2) == 0, 32).when(many("l", 0, 2) == 1, 40).otherwise(64)))).when(many("k", 0, 3) == 2, F.substring(b64, F.lit(1), many("n", 20, 43))).otherwise(F.concat(pick(["sk-", "ghp_", "AKIA", "xoxb-", ""], "p"), F.upper(F.substring(b64, F.lit(1), many("n", 18, 36)))))
+    word = F.concat(pick(DICTIONARY, "w1"), many("w2", 0, 999).cast("string"), pick(["!", "#", "$", "", "_"], "w3"), pick(["x", "Q7", "correct", "zz"], "w4"))
+    letters = F.regexp_replace(F.base64(F.unhex(hexa("y"))), "[^A-Za-z]", "")
+    key = F.when(many("k", 0, 5) == 4, word).when(many("k", 0, 5) == 5, F.substring(letters, F.lit(1), many("n", 16, 30))).when(many("k", 0, 3) <= 1, case(F.substring(hexa("x"), F.lit(1), pick_len := F.when(many("l", 0, 2) == 0, 32).when(many("l", 0, 2) == 1, 40).otherwise(64)))).when(many("k", 0, 3) == 2, F.substring(b64, F.lit(1), many("n", 20, 43))).otherwise(F.concat(pick(["sk-", "ghp_", "AKIA", "xoxb-", ""], "p"), F.upper(F.substring(b64, F.lit(1), many("n", 18, 36)))))
     digits = F.regexp_replace(hexa("d"), "[a-f]", "")
     uuid = F.concat_ws("-", *[F.substring(hexa("u"), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     kind = many("kind", 0, 7)
@@ -90,7 +99,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         F.when(kind == 0, F.substring(hexa("x"), F.lit(1), pick_len))
         .when(kind == 1, uuid)
         .when(kind == 2, F.rpad(F.substring(digits, 1, 16), 16, "4"))
-        .when(kind == 3, F.concat(pick(["xxxxxxxxxxxxxxxx", "0000000000000000", "example-placeholder-", "your-token-here-1", "changeme-changeme1"], "ph"), many("j4", 1, 99).cast("string")))
+        .when(kind == 3, F.concat(pick(["xxxxxxxxxxxxxxxx", "0000000000000000", "example-placeholder-", "your-token-here-1", "changeme-changeme1", "changeme", "password", "placeholder", "required", "none-", "${TOKEN}", "<secret>", "example"], "ph"), many("j4", 1, 99).cast("string")))
         .when(kind == 4, F.concat(F.lit("/"), pick(DICTIONARY, "j1"), F.lit("/"), pick(DICTIONARY, "j2"), F.lit("/"), joined))
         .when(kind == 5, F.concat(F.lit("v1-2-"), joined))
         .when(kind == 6, F.rpad(F.substring(digits, 1, 20), 20, "7"))
@@ -112,8 +121,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
 class Forest:
     """Trees as nested tuples: a probability, or (feature, threshold, left, right)."""
 
-    def __init__(self, trees: list):
-        self.trees = trees
+    def __init__(self, trees: list, model=None):
+        self.trees, self.model = trees, model  # the fitted model that the trees were read from, if any
 
     @staticmethod
     def fit(findings: DataFrame, rows: int = TRAINING_ROWS, trees: int = TREES, depth: int = TREE_DEPTH, seed: int = SEED) -> Forest:
@@ -136,7 +145,7 @@ class Forest:
             split = node.split()
             return (split.featureIndex(), split.threshold(), read(node.leftChild()), read(node.rightChild()))
 
-        return Forest([read(t.rootNode()) for t in model._java_obj.trees()])
+        return Forest([read(t.rootNode()) for t in model._java_obj.trees()], model)
 
     def score(self, values: list[Column]) -> Column:
         """The mean of the trees' probabilities."""
