@@ -11,17 +11,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import connected_components, forest, materialize, read_table
+from intentdeck.llm._common import connected_components, discard, forest, materialize, read_table
 
 COSINE = 0.93
 #: Nearest pivots that describe a vector, and how many of them candidates share.
-WIDTH, SHARED = 8, 2
+WIDTH, SHARED = 12, 2
 #: Bounds of the sample of vectors that serve as pivots; within them their number grows with the root of the rows.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+LEAST_PIVOTS, MOST_PIVOTS = 64, 32_768
 #: Rows of an inverted list that meet in one block.
 BLOCK = 1024
 
@@ -51,15 +52,15 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     if n:
         many = min(most_pivots, max(LEAST_PIVOTS, 2 * math.isqrt(n)))
         # a bounded sample, in an order that does not depend on where the rows lie
-        pivots = [r[0] for r in classes.select("v", F.xxhash64("v").alias("h")).orderBy("h", F.to_json("v")).limit(many).select("v").collect()]
+        pivots = classes.select("v", F.xxhash64("v").alias("h")).orderBy("h", F.to_json("v")).limit(many).select("v").toArrow().column(0).to_numpy()
+    by_dim_ = {}
+    for d in {len(p) for p in pivots}:
+        m = np.array([p for p in pivots if len(p) == d], "f8")
+        by_dim_[d] = (m / np.linalg.norm(m, axis=1)[:, None]).astype("f4")
+    shared_pivots = spark.sparkContext.broadcast(by_dim_)  # at most most_pivots rows of four bytes a component
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        by_dim = {}
-        for d in {len(p) for p in pivots}:
-            m = np.array([p for p in pivots if len(p) == d], dtype=float)
-            by_dim[d] = m / np.linalg.norm(m, axis=1)[:, None]
+        by_dim = shared_pivots.value
         for b in batches:
             dims = b["v"].map(len)
             for d, part in b.groupby(dims):
@@ -67,7 +68,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 if d in by_dim:
                     p = by_dim[d]
                     k = min(width, len(p))
-                    near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k].astype("int32")
+                    near = np.empty((len(x), k), "int32")
+                    for at in range(0, len(x), 256):
+                        far = -(x[at : at + 256].astype("f4") @ p.T)
+                        some = np.argpartition(far, k - 1, axis=1)[:, :k]
+                        near[at : at + 256] = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
                 else:  # no pivot of this dimension: one list for all
                     near = np.zeros((len(x), 1), "int32")
                 yield pd.DataFrame({"label": part["label"].to_numpy(), "dim": np.full(len(part), d), "class": part["class"].to_numpy(), "copies": part["copies"].to_numpy(), "near": list(near), "v": list(x)})
@@ -82,8 +87,6 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     listed = listed.select("label", "dim", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "copies", "near", "v")
 
     def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pivot, i, j = key[2], key[3], key[4]
         b = b.sort_values("class", kind="stable").reset_index(drop=True)
         near, own = np.stack(b["near"].to_list()), b["own"].to_numpy()
@@ -108,13 +111,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         return pd.DataFrame({"class": pd.array([o[0] for o in out], "int64"), "links": pd.array([o[1] for o in out], "int64"), "root": pd.array([o[2] for o in out], "Int64")})
 
     found = materialize(listed.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(compare, "class long, links long, root long"), "found")
-    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    links = materialize(found.groupBy("class").agg(F.sum("links").alias("links")), "links")
     nodes = good.join(classes.select("label", "v", "class", "copies"), ["label", "v"]).select("id", "class", "copies")
     # two rows of one id can be in two classes: the id ties them together
     tied = nodes.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("a")).where("a <> b").select("a", "b")
     parts = connected_components(found.where("root is not null").select(F.col("class").alias("a"), F.col("root").alias("b")).unionByName(tied))
     nodes = nodes.join(links, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
     nodes = nodes.groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.min(F.coalesce("component", "class")).alias("component"))
+    nodes = materialize(nodes, "nodes")
+    for t in (classes, described, found, links, parts):
+        discard(t)
     out = src.select("id").join(nodes, "id", "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
