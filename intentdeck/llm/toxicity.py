@@ -69,7 +69,7 @@ class ToxicityModel:
         """differences(text): of each window, the bytes that the toxic dictionary saves over the ordinary one."""
         import zstandard as zs
 
-        par = zs.ZstdCompressionParameters.from_level(13, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        par = zs.ZstdCompressionParameters.from_level(13, window_log=17, hash_log=16, chain_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
 
         def compressor(own: bytes):
             # equal lengths on both sides, so that distances cost the same

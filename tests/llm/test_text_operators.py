@@ -68,7 +68,7 @@ def test_toxicity_scores_brute_force(spark):
     right = [r.toxic for r in rows if r.score >= 0.7]
     print("held out: recall", sum(right) / sum(r.toxic for r in rows), "precision", sum(right) / len(right))
     assert sum(right) / sum(r.toxic for r in rows) > 0.68 and sum(right) / len(right) > 0.9
-    par = zs.ZstdCompressionParameters.from_level(13, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    par = zs.ZstdCompressionParameters.from_level(13, window_log=17, hash_log=16, chain_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
     size = max(len(m.ordinary), len(m.toxic))
 
     def length(own, words):
