@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentdeck.functions.text import DIM, embed_numpy
+from intentdeck.functions.text import DIM, embed_numpy, shell_words
 from intentdeck.operators import graph, insight, knn
 from intentdeck.operators.store import IntentStore, extract
 from intentdeck.schemas import CONTEXT, EDGES, ExtractionFailed
@@ -33,7 +33,7 @@ class Engine:
 
     def ingest_many(self, commands: list[tuple[str, dict | None]], status: list[int] | None = None) -> list[str]:
         """Ingest a batch in order; an empty command rejects the batch. Edges are formed against history and earlier rows of the batch."""
-        if any(not c.strip() for c, _ in commands):
+        if any(not c.strip() or not shell_words(c) for c, _ in commands):
             raise ExtractionFailed("empty command")
         rows = self.store.rows()
         first = 0 if rows is None else (rows.agg(F.max("seq")).first()[0] + 1)
@@ -62,17 +62,38 @@ class Engine:
         got = knn.search(rows.select("id", F.col("embedding").alias("v")), embed_numpy(query).tolist(), k)
         return [(r.id, r.similarity) for r in got.collect()]
 
-    def replay(self, intent_id: str, depth: int = 3) -> list[tuple[str, str, int]]:
-        """(command, id, number of dependencies) in an order that respects dependencies; an unknown id raises."""
+    def plan(self, intent_id: str, depth: int = 3) -> DataFrame:
+        """(level, intent_id, command, deps) of what an intent leads to, intent_id being its seq; an unknown id raises."""
         from intentdeck.schemas import NodeNotFound
 
         row = self.store.get(intent_id)
         if row is None:
             raise NodeNotFound(intent_id)
         rows = self.store.rows()
-        plan = graph.replay(rows.select(F.col("seq").alias("node")), self._edges(), rows.select(F.col("seq").alias("id"), F.col("raw_command").alias("command")), row.seq, depth)
+        return graph.replay(rows.select(F.col("seq").alias("node")), self._edges(), rows.select(F.col("seq").alias("id"), F.col("raw_command").alias("command")), row.seq, depth)
+
+    def _seqs(self, ids: list[str]) -> DataFrame:
+        rows = self.store.rows().select("seq", "id")
+        return rows.where(F.col("id").isin(ids)).select(F.col("seq").alias("id"))
+
+    def _named(self, plan: DataFrame) -> list:
+        rows = self.store.rows()
         named = plan.join(rows.select(F.col("seq").alias("intent_id"), "id"), "intent_id").orderBy("level", "intent_id")
-        return [(r.command, r.id, len(r.deps)) for r in named.collect()]
+        return named.collect()
+
+    def replay(self, intent_id: str, depth: int = 3) -> list[tuple[str, str, int]]:
+        """(command, id, number of dependencies) in an order that respects dependencies; an unknown id raises."""
+        return [(r.command, r.id, len(r.deps)) for r in self._named(self.plan(intent_id, depth))]
+
+    def dry_run(self, intent_id: str, depth: int = 3, completed: list[str] = (), values: dict[str, str] | None = None) -> list[tuple[str, str, int]]:
+        """replay() without the completed intents, with variables filled in."""
+        got = graph.dry_run(self.plan(intent_id, depth), self._seqs(list(completed)), values or {})
+        return [(r.command, r.id, len(r.deps)) for r in self._named(got)]
+
+    def execute(self, intent_id: str, depth: int = 3, completed: list[str] = (), values: dict[str, str] | None = None, executor=None) -> list[tuple[str, str, bool, int]]:
+        """(command, id, skipped, status) of every step, by graph.execute(): executor is a pure function, and without one steps stay pending."""
+        got = graph.execute(self.plan(intent_id, depth), self._seqs(list(completed)), values, executor)
+        return [(r.command, r.id, r.skipped, r.outcome.status) for r in self._named(got)]
 
     def status(self) -> tuple[int, int, int, int]:
         """Nodes, edges, distinct commands, dimension."""

@@ -28,14 +28,15 @@ HASHES = ((2654435761, 40503, 1.0), (2246822519, 65599, 0.7), (3266489917, 31, 0
 
 WORDS_TYPE = T.ArrayType(T.StringType())
 TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("append", T.BooleanType())]))
-BLANK, OPERATORS = " \t\n\r\x0b\x0c", "|<>"
+#: What parts words, the operators, and what a backslash escapes inside double quotes.
+BLANK, OPERATORS, ESCAPED = " \t\n", "|<>", "\"\\$`"
 
 
 def shell_words(raw: str) -> list[str]:
     """Words of a command: quotes group, a backslash escapes, and | < > >> are words of their own.
 
-    Inside single quotes all is literal; an unterminated quote ends with the text, an empty quoted string is no word and
-    a trailing backslash is dropped.
+    Inside single quotes all is literal, inside double quotes a backslash stands for itself unless one of ESCAPED follows. An unterminated quote ends
+    with the text, an empty quoted string is no word and a trailing backslash outside quotes is dropped.
     """
     words, word, quote, i = [], "", "", 0
 
@@ -53,7 +54,7 @@ def shell_words(raw: str) -> list[str]:
                 quote = ""
             else:
                 word += c
-        elif c == "\\":
+        elif c == "\\" and (not quote or raw[i : i + 1] in (*ESCAPED,)):
             word += raw[i : i + 1]
             i += 1
         elif quote:
@@ -63,7 +64,7 @@ def shell_words(raw: str) -> list[str]:
                 word += c
         elif c in "'\"":
             quote = c
-        elif c.isspace():
+        elif c in BLANK:
             end()
         elif c in OPERATORS:
             end()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from intentdeck.functions import vector as V
 from intentdeck.schemas import DimensionMismatch
-from intentdeck.shared import discard, materialize
 
 HOUR_NS = 3_600_000_000_000
 
@@ -102,7 +101,8 @@ def kmeans(rows: DataFrame, start: list[list[float]], max_iter: int = 100) -> tu
     """Lloyd's algorithm from given centres over rows (id, v): (assignments (id, cluster), centres (cluster, v), update steps, converged).
 
     Stops when a pass changes no assignment; all rows start in cluster 0. Distance ties go to the lower cluster and an empty cluster
-    keeps its centre. A pass is one scan with the centres as literals and one aggregation of k x dimension sums.
+    keeps its centre. A pass is one scan that assigns each row under the centres of this pass and of the one before, and one aggregation of k x dimension sums; nothing is
+    written between passes.
     """
     if not start or not start[0] or len({len(c) for c in start}) > 1:
         raise DimensionMismatch("centres must be at least one and of one dimension above 0")
@@ -111,23 +111,30 @@ def kmeans(rows: DataFrame, start: list[list[float]], max_iter: int = 100) -> tu
     if shape[0] < len(start) or shape[1]:
         raise DimensionMismatch(f"{len(start)} clusters of dimension {dim} over {shape[0]} rows, {shape[1]} of another dimension")
     centres = [list(map(float, c)) for c in start]
-    current = materialize(rows.select("id", "v", F.lit(0).alias("cluster")), "kmeans")
-    steps, converged = 0, False
+
+    def cluster(at: list[list[float]]) -> Column:
+        d = F.array(*[V.l2_sq(F.col("v"), F.array(*[F.lit(x) for x in c])) for c in at])
+        return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+
+    used, steps, converged = None, 0, False
     for _ in range(max_iter):
-        d = F.array(*[V.l2_sq(F.col("v"), F.array(*[F.lit(x) for x in c])) for c in centres])
-        new = materialize(current.select("id", "v", (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"), F.col("cluster").alias("was")), "kmeans")
-        changed = not new.where("cluster <> was").isEmpty()
-        discard(current)
-        current = new
-        if not changed:
+        was = F.lit(0) if used is None else cluster(used)
+        used = [c[:] for c in centres]
+        df = rows.select(cluster(used).alias("cluster"), was.alias("was"), "v").select("cluster", (F.col("cluster") != F.col("was")).alias("moved"), F.posexplode("v").alias("p", "x"))
+        sums = df.groupBy("cluster", "p").agg(F.avg("x").alias("m"), F.max("moved").alias("moved")).collect()  # k x dimension rows
+        if not any(r.moved for r in sums):
             converged = True
             break
-        sums = current.select("cluster", F.posexplode("v").alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("m")).collect()  # k x dimension rows
-        for c, p, m in sums:
-            centres[c][p] = m
+        for r in sums:
+            centres[r.cluster][r.p] = r.m
         steps += 1
     spark = rows.sparkSession
-    return current.select("id", "cluster"), spark.createDataFrame(list(enumerate(centres)), "cluster int, v array<double>"), steps, converged
+    return rows.select("id", (F.lit(0) if used is None else cluster(used)).alias("cluster")), spark.createDataFrame(list(enumerate(centres)), "cluster int, v array<double>"), steps, converged
+
+
+def ordered_patterns(rows: DataFrame, min_count: int = 2) -> DataFrame:
+    """patterns() by falling count, then the longer first, then by their commands."""
+    return patterns(rows, min_count).orderBy(F.desc("count"), F.desc(F.size("commands")), F.concat_ws(" ", "commands"))
 
 
 def pattern_insights(rows: DataFrame, min_count: int = 2) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentdeck.functions import vector as V
@@ -41,25 +42,36 @@ def rerank(corpus: DataFrame, query: list[float], k: int, exclude: int | None =
     return got.orderBy(F.round("similarity", 9).desc(), "id").limit(k)
 
 
-def knn_earlier(rows: DataFrame, k: int = 5, strategy: str = "blocked", cells: int = 64, probes: int = 6, block: int = BLOCK) -> DataFrame:
+def knn_earlier(rows: DataFrame, k: int = 5, strategy: str = "blocked", cells: int | None = None, probes: int = 6, block: int = BLOCK) -> DataFrame:
     """(from_id, to_id, weight): for each row (id in arrival order, v) its k most similar earlier rows, as edges earlier -> later.
 
     native: a theta join in SQL expressions. blocked: blocks of rows meet in pairs, each pair by one matrix product,
     and a task returns at most k rows for each later row; memory is two blocks whatever the table's size. ivf: rows meet only within cells around
-    sampled centres (each row searches ``probes`` cells), which is approximate and linear in the rows for large tables.
+    sampled centres (each row searches ``probes`` cells; by default their number grows with the root of the rows, up to 4096), which is approximate. Rows whose vector is null or
+    holds a null take no part, and only vectors of one dimension meet.
     """
+    rows = rows.select("id", "v").where(complete())
     if strategy == "native":
         a, b = rows.select(F.col("id").alias("to_id"), F.col("v").alias("va")), rows.select(F.col("id").alias("from_id"), F.col("v").alias("vb"))
-        pairs = b.join(a, F.col("from_id") < F.col("to_id")).select("from_id", "to_id", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("weight"))
+        pairs = b.join(a, (F.col("from_id") < F.col("to_id")) & (F.size("va") == F.size("vb"))).select("from_id", "to_id", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("weight"))
     elif strategy == "blocked":
         blocks = max(1, -(-rows.count() // block))
         dealt = rows.select("id", "v").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(True).alias("asks"))
-        pairs = dealt.groupBy("i", "j").applyInPandas(_best_earlier(k), "from_id long, to_id long, weight double")
+        pairs = dealt.groupBy(F.size("v").alias("dim"), "i", "j").applyInPandas(_best_earlier(k), "from_id long, to_id long, weight double")
     elif strategy == "ivf":
         pairs = _ivf(rows, k, cells, probes)
     else:
         raise ValueError(strategy)
+    return _best_of(pairs, k)
+
+
+def complete() -> Column:
+    """Whether a row's vector v is there with all its components."""
+    return F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+
+
+def _best_of(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("to_id").orderBy(F.desc("weight"), "from_id")
     return pairs.dropDuplicates(["from_id", "to_id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("from_id", "to_id", "weight")
 
@@ -77,7 +89,7 @@ def _best_earlier(k: int):
             s = (x[lo : lo + 512] @ x.T) / (n[lo : lo + 512, None] * n[None, :] + V.EPSILON)
             s = np.round(s, 6)
             s[ids[None, :] >= ids[lo : lo + 512, None]] = -np.inf
-            if key[0] != key[1]:
+            if key[1] != key[2]:
                 s[own[None, :] == own[lo : lo + 512, None]] = -np.inf
             order = np.argsort(-s, axis=1, kind="stable")[:, :k]
             for r, cols in enumerate(order):
@@ -107,16 +119,23 @@ def assign_cells(rows: DataFrame, at: list[list[float]], probes: int) -> DataFra
     return rows.select("id", "v").mapInPandas(near, "id long, v array<double>, near array<int>")
 
 
-def _ivf(rows: DataFrame, k: int, cells: int, probes: int) -> DataFrame:
+def _ivf(rows: DataFrame, k: int, cells: int | None, probes: int) -> DataFrame:
+    cells = cells or min(4096, max(64, math.isqrt(rows.count())))
     at = centres(rows, cells)
     put = assign_cells(rows, at, probes)
     stored = put.select("id", "v", F.col("near")[0].alias("cell"), F.lit(False).alias("asks"))
     asks = put.select("id", "v", F.explode("near").alias("cell"), F.lit(True).alias("asks"))
 
+    return stored.unionByName(asks).groupBy("cell").applyInPandas(_best_stored(k), "from_id long, to_id long, weight double")
+
+
+def _best_stored(k: int):
+    """For each row that asks its k most similar earlier rows among those that do not."""
+
     def best(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        q, m = b[b["asks"]], b[~b["asks"]]
+        q, m = b[b["asks"]].drop_duplicates("id"), b[~b["asks"]].drop_duplicates("id")
         if not len(q) or not len(m):
             return pd.DataFrame({"from_id": [], "to_id": [], "weight": []})
         x, y = np.stack(q["v"].to_list()), np.stack(m["v"].to_list())
@@ -130,7 +149,7 @@ def _ivf(rows: DataFrame, k: int, cells: int, probes: int) -> DataFrame:
                 out += [(int(mi[c]), int(qi[lo + r]), float(s[r, c])) for c in cols if s[r, c] > -np.inf]
         return pd.DataFrame(out, columns=["from_id", "to_id", "weight"])
 
-    return stored.unionByName(asks).groupBy("cell").applyInPandas(best, "from_id long, to_id long, weight double")
+    return best
 
 
 def form_edges(rows: DataFrame, k: int = 5, **how) -> DataFrame:
@@ -138,7 +157,14 @@ def form_edges(rows: DataFrame, k: int = 5, **how) -> DataFrame:
     return knn_earlier(rows, k, **how).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
 
 
-def form_edges_incremental(history: DataFrame, batch: DataFrame, k: int = 5) -> DataFrame:
-    """The edges that form_edges gives for the rows of batch (ids after those of history), without redoing history."""
-    later = batch.select("id").withColumnRenamed("id", "to_id")
-    return form_edges(history.select("id", "v").unionByName(batch.select("id", "v")), k).join(F.broadcast(later) if batch.isStreaming else later, "to_id", "left_semi").select("from_id", "to_id", "relation", "weight")
+def form_edges_incremental(history: DataFrame, batch: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """The edges that form_edges gives for the rows of batch (ids after those of history), without redoing history: rows of batch ask, block by
+    block, and rows of history are only searched."""
+    asks, stored = batch.select("id", "v").where(complete()), history.select("id", "v").unionByName(batch.select("id", "v")).where(complete())
+    n, m = (max(1, -(-df.count() // block)) for df in (asks, stored))
+    part = lambda df, k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asks.select("id", "v", part(asks, n).alias("i"), every(m).alias("j"), F.lit(True).alias("asks"))
+    right = stored.select("id", "v", every(n).alias("i"), part(stored, m).alias("j"), F.lit(False).alias("asks"))
+    pairs = left.unionByName(right).groupBy(F.size("v").alias("dim"), "i", "j").applyInPandas(_best_stored(k), "from_id long, to_id long, weight double")
+    return _best_of(pairs, k).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")

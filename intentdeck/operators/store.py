@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentdeck.functions.hashing import Bloom, context_hash
@@ -15,10 +15,15 @@ CONFIDENCE = 1.0
 SEGMENT_IDS = 10_000
 
 
+def is_empty(raw: Column) -> Column:
+    """Whether a command is null, all white space, or without a word (only empty quotes, an open quote or a trailing backslash)."""
+    return F.coalesce(~F.rlike(raw, F.lit(r"(?U)\S")) | F.rlike(raw, F.lit(r"^(?:[ \t\n]|''|\"\")*(?:'|\"|\\)?\z")), F.lit(True))
+
+
 def extract(commands: DataFrame) -> DataFrame:
     """Intent columns from (id, ts_ns, raw_command, context): embedding, category, context hash. Empty commands are left to rejected()."""
     c = F.col("context")
-    ok = commands.where(F.col("raw_command").isNotNull() & (F.trim("raw_command") != ""))
+    ok = commands.where(~is_empty(F.col("raw_command")))
     return ok.select(
         "id",
         "ts_ns",
@@ -33,7 +38,7 @@ def extract(commands: DataFrame) -> DataFrame:
 
 
 def rejected(commands: DataFrame) -> DataFrame:
-    return commands.where(F.col("raw_command").isNull() | (F.trim("raw_command") == ""))
+    return commands.where(is_empty(F.col("raw_command")))
 
 
 def temporal_range(rows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:

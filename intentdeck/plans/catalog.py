@@ -86,9 +86,12 @@ def dim_check(spark, sf):
     return good.agg(F.count("*").alias("good")).crossJoin(bad.agg(F.count("*").alias("bad")))
 
 
-@query("reject_empty", "SELECT count(*) FILTER (trim(coalesce(t, '')) = '') AS rejected, count(*) FILTER (trim(coalesce(t, '')) <> '') AS accepted FROM (SELECT CASE WHEN event_id % 7 = 0 THEN '  ' ELSE event_type END AS t FROM events)")
+@query("reject_empty", "SELECT count(*) FILTER (event_id % 7 < 5) AS rejected, count(*) FILTER (event_id % 7 >= 5) AS accepted FROM events")
 def reject_empty(spark, sf):
-    df = table(spark, sf, "events").select(F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("event_type")).alias("raw_command"))
+    """Commands of blanks, of tab and newline, of other white space, of empty quotes and null are rejected."""
+    kind = F.col("event_id") % 7
+    raw = F.when(kind == 0, "  ").when(kind == 1, "\t\n").when(kind == 2, "\u00a0\r").when(kind == 3, "'' \"\"").when(kind == 4, F.lit(None)).otherwise(F.col("event_type"))
+    df = table(spark, sf, "events").select(raw.alias("raw_command"))
     total = df.agg(F.count("*").alias("n"))
     return store.rejected(df).agg(F.count("*").alias("rejected")).crossJoin(total).select("rejected", (F.col("n") - F.col("rejected")).alias("accepted"))
 
@@ -120,7 +123,7 @@ def segment_roundtrip(spark, sf):
     return nodes.agg(F.count("*").alias("nodes"), F.sum("id").alias("id_sum")).crossJoin(edges.agg(F.count("*").alias("edges")))
 
 
-@query("wal_replay")
+@query("wal_replay", f"SELECT lpad(lower(hex(id)), 32, '0') AS id, CAST(ts_ns AS DECIMAL(20, 0)) AS ts_ns, raw_command FROM {EVENTS_SQL}")
 def wal_replay(spark, sf):
     """Writes events as log entries and replays them."""
     ev = events_as_intents(spark, sf).select(F.lpad(F.hex("id"), 32, "0").alias("id"), F.col("ts_ns").cast("decimal(20,0)").alias("ts_ns"), F.array(F.col("latency_ns").cast("float")).alias("embedding"), "raw_command")
@@ -307,12 +310,21 @@ def membership(spark, sf):
 # -- text ------------------------------------------------------------------------------------------------------------------------
 
 
-@query("shell_words")
+#: Words with their quotes and escapes, and operators; then what gives no word.
+WORDS_SQL = r"""(SELECT conv_id, turn, list_filter(regexp_extract_all(text, '(?:[^ \t\n|<>"''\\]|\\[\s\S]|\\$|"(?:[^"\\]|\\[\s\S])*(?:"|\\?$)|''[^'']*(?:''|$))+|\||>>|>|<'), lambda w: NOT regexp_full_match(w, '(?:""|'''')*(?:"|''|\\)?')) AS words FROM conversations)"""
+
+
+@query("shell_words", f"SELECT conv_id, turn, CASE WHEN words IS NULL THEN -1 ELSE len(words) END::INTEGER AS n_words FROM {WORDS_SQL}")
 def shell_words(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.shell_words_udf("text").alias("words")).select("conv_id", "turn", F.size("words").alias("n_words"))
 
 
-@query("token_counts")
+@query("token_counts", f"""
+WITH w AS (SELECT words, unnest(words) AS w, unnest(generate_series(1, len(words))) AS k FROM {WORDS_SQL})
+SELECT CASE WHEN w = '|' THEN 'Pipe' WHEN w = '<' THEN 'RedirectIn' WHEN w IN ('>', '>>') THEN 'RedirectOut'
+            WHEN len(list_filter(words[coalesce(list_max(list_filter(generate_series(1, k - 1), lambda i: words[i] = '|')), 0) + 1 : k - 1], lambda x: x NOT IN ('<', '>', '>>'))) = 0 THEN 'Command'
+            WHEN regexp_matches(w, '^(?:""|'')*(?:["'']?-|\\\\-)') THEN 'Flag' ELSE 'Arg' END AS kind, count(*) AS n
+FROM w GROUP BY 1""")
 def token_counts(spark, sf):
     t = table(spark, sf, "conversations").select(F.explode(X.tokens_udf("text")).alias("t"))
     return t.groupBy(F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
@@ -584,7 +596,8 @@ def summary(spark, sf):
     return insight.summary(events_as_intents(spark, sf)).select("total", F.round("success_rate", 6).alias("success_rate"), F.round("duration_s", 3).alias("duration_s"), top.alias("top"))
 
 
-@query("summary_text")
+@query("summary_text", f"""SELECT printf('%d intents over %.1fs. Success rate: %.1f%% (%d ok, %d failed, %d pending).', total, (end_ns - start_ns) / 1e9, succeeded * 100.0 / total, succeeded, failed, pending) || chr(10) || 'Top commands:'
+ || (SELECT string_agg(chr(10) || '  ' || raw_command || ' (' || n || 'x)', '' ORDER BY n DESC, raw_command) FROM (SELECT raw_command, count(*) AS n FROM {EVENTS_SQL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)) AS text FROM ({COUNTS_SQL})""")
 def summary_text(spark, sf):
     return insight.summary(events_as_intents(spark, sf)).select("text")
 
@@ -780,3 +793,34 @@ def stream_knn_edges(spark, sf):
         v.where(f"id >= {k * third} and id < {(k + 1) * third}").coalesce(1).write.mode("append").parquet(f"{src}/in")
     ingest.run_to_end(ingest.edge_stream(ingest.command_stream(spark, f"{src}/in", v.schema), f"{src}/out", f"{src}/checkpoint"))
     return spark.read.parquet(f"{src}/out/edges").select("from_id", "to_id", "weight")
+
+
+@query("stream_ingest", "SELECT event_type AS raw_command, count(*) AS n FROM events WHERE event_id % 9 <> 0 GROUP BY 1")
+def stream_ingest(spark, sf):
+    """A stream of commands becomes stored intents; empty commands do not."""
+    from intentdeck.streaming import ingest
+
+    src = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = F.when(F.col("id") % 9 != 0, F.col("raw_command")).otherwise("\t")
+    context = F.struct(F.lit("/").alias("cwd"), F.lit(0).cast("decimal(20,0)").alias("env_hash"), F.lit(0).cast("decimal(20,0)").alias("session_id"), F.lit("sh").alias("shell"), F.lit("u").alias("user"))
+    ev = events_as_intents(spark, sf).select("id", "ts_ns", raw.alias("raw_command"), context.alias("context"))
+    ev.repartition(3).write.parquet(f"{src}/in")
+    ingest.run_to_end(ingest.ingest_stream(ingest.command_stream(spark, f"{src}/in", ev.schema), f"{src}/out", f"{src}/checkpoint"))
+    return spark.read.parquet(f"{src}/out").groupBy("raw_command").agg(F.count("*").alias("n"))
+
+
+@query("stream_late_outcomes", "SELECT event_id AS id, (event_id % 4)::INTEGER AS status FROM events WHERE event_id % 5 = 0")
+def stream_late_outcomes(spark, sf):
+    """Outcomes that come ten minutes after their intents meet them; those of three hours later do not."""
+    from intentdeck.streaming import ingest
+
+    src = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    late = F.when(F.col("id") % 5 == 0, F.expr("interval 10 minutes")).otherwise(F.expr("interval 3 hours"))
+    outcomes = ev.where("id % 5 < 2").select("id", (F.col("ts") + late).alias("outcome_ts"), (F.col("id") % 4).cast("int").alias("status"))
+    ev.write.parquet(f"{src}/intents")
+    outcomes.write.parquet(f"{src}/outcomes")
+    stream = lambda name, df: ingest.command_stream(spark, f"{src}/{name}", df.schema, 1000)
+    joined = ingest.late_outcomes(stream("intents", ev), stream("outcomes", outcomes))
+    ingest.run_to_end(joined.writeStream.format("parquet").option("path", f"{src}/out").option("checkpointLocation", f"{src}/checkpoint").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{src}/out").where("status is not null").select("id", "status")
