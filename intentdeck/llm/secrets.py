@@ -39,7 +39,7 @@ def _any(words: list[str]) -> str:
 ASSIGN = r"[\"']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}[\"'`]?"
 #: A value of six characters or more behind an announcing word; else a run of at least 16 key characters with a digit, in up to five parts between dots.
 CANDIDATE = (
-    r"(?<=[:=>\s\"'`])(?<=(?i:" + _any(SECRET_WORDS) + ")" + ASSIGN + r")(?![\s:=>\"'`])[^\s\"'`,;<>(){}\[\]]{6,}"
+    r"(?<=[:=>\s\"'`])(?<=[:=>]\s{0,3}[\"'`]{0,1})(?<=(?i:" + _any(SECRET_WORDS) + ")" + ASSIGN + r")(?![\s:=>\"'`])[^\s\"'`,;<>(){}\[\]]{6,}"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{16,}){0,4}={0,2}"
 )
 

@@ -79,12 +79,13 @@ class ToxicityModel:
             return zs.ZstdCompressor(dict_data=d, compression_params=par).compress
 
         ordinary, toxic = compressor(self.ordinary), compressor(self.toxic)
+        lead, tail = LEAD.decode(), TAIL.decode()
 
         class Differences(dict):
             def __missing__(self, window: str) -> int:
                 if len(self) >= CACHE:
                     self.clear()
-                b = LEAD + _content(window) + TAIL
+                b = f"{lead} {window} {tail}".encode("utf-8", "replace")
                 d = self[window] = len(ordinary(b)) - len(toxic(b))
                 return d
 
