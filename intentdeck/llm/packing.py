@@ -215,8 +215,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
     sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.drop("sequence_id", "offset").withColumn("_pid", F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
-    docs = pieces.select(F.col("_pid").alias("id"), F.col("length").cast("int").alias("size"))
+    number = "_pid"
+    while number in pieces.columns:
+        number += "_"
+    pieces = materialize(pieces.drop("sequence_id", "offset").withColumn(number, F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
+    docs = pieces.select(F.col(number).alias("id"), F.col("length").cast("int").alias("size"))
     bounds = [capacity]
     while bounds[-1]:
         bounds.append(bounds[-1] // 2)
@@ -281,10 +284,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
     where = placed[0]
     for t in placed[1:]:
         where = where.unionByName(t)
-    where = materialize(where.select(F.col("id").alias("_pid"), F.col("seq").alias("sequence_id"), F.col("at").cast("long").alias("offset")), "placed")
+    where = materialize(where.select(F.col("id").alias(number), F.col("seq").alias("sequence_id"), F.col("at").cast("long").alias("offset")), "placed")
     for t in used:
         discard(t)
-    return pieces.join(where, "_pid").drop("_pid")
+    return pieces.join(where, number).drop(number)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -197,7 +197,9 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """docs with every secret in text_col replaced by REDACTED, all else as it was; without any row-crossing work."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    df = _candidates(docs, text_col)
+    # the row goes along as one column, so that no name clashes
+    df = _candidates(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), path.alias("_path")), "_text")
+    path = F.col("_path")
     at = F.sequence(F.lit(0), F.size("_cands") - 1)
 
     def seen(k):
@@ -207,8 +209,8 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
 
     df = df.withColumn("_seen", F.when(F.size("_cands") > 0, F.transform(at, seen)))
     scored = F.transform("_seen", lambda s: F.concat(F.get("_pieces", s["k"]), F.when(forest.score([s[f"f{i}"] for i in range(len(FEATURES))]) >= threshold, F.lit(REDACTED)).otherwise(F.get("_cands", s["k"]))))
-    text = F.when(F.size("_cands") > 0, F.concat(F.array_join(scored, ""), F.element_at("_pieces", -1))).otherwise(F.col(text_col))
-    return df.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.size("_cands") > 0, F.concat(F.array_join(scored, ""), F.element_at("_pieces", -1))).otherwise(F.col("_row").getField(text_col))
+    return df.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_secret_scan(spark, sf_dir) -> DataFrame:

@@ -188,9 +188,10 @@ def test_pipeline_loses_no_text(spark):
 
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long), (2, long), (2, "other words entirely here"), (2, "other words entirely here"), (3, None), (None, long), (None, "lone words of no one else"), (4, ""), (5, long + " end")]
-    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _c string, copies int")
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, copies int")
     got = corpus_pipeline.jaccard_stage(spark, df, SF)
     assert got.columns == df.columns
+    assert {(r._id, r.copies) for r in got.collect()} == {("c", 1)}
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", long), ("2", rows[2][1]), ("3", ""), ("None", rows[6][1]), ("4", "")])
     assert corpus_pipeline.jaccard_stage(spark, df.limit(0), SF).count() == 0
 
@@ -208,14 +209,14 @@ def test_pipeline_stages_odd_rows(spark):
     all_ = texts(df)
     assert texts(stage["toxicity"](spark, df, SF)) == all_
     assert texts(stage["decontamination"](spark, df, SF)) == all_ - collections.Counter([rows[6][1]])
-    got = stage["secrets"](spark, df.drop("_cands"), SF)
+    got = stage["secrets"](spark, df, SF)
     assert texts(got) == all_ - collections.Counter([rows[5][1]]) + collections.Counter(['with token = "[SECRET]" in it'])
-    assert {r.n_chars for r in got.where("text like 'with%'").collect()} == {30}
+    assert {r.n_chars for r in got.where("text like 'with%'").collect()} == {len('with token = "[SECRET]" in it')}
     packed = stage["packing"](spark, df, SF).collect()
     assert sum(r.piece == 0 for r in packed) == len(rows)
     for name, f in corpus_pipeline.STAGES:
-        out = f(spark, df.drop("_cands").limit(0), SF)
-        assert out.count() == 0 and (name == "packing" or out.columns == df.drop("_cands").columns)
+        out = f(spark, df.limit(0), SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == df.columns)
 
 
 def test_pipeline_equals_its_stages(spark):
