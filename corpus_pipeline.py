@@ -26,9 +26,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text = F.coalesce(F.col("text"), F.lit(""))
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62) - 1) + F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 62)))
     names = {"id": "_id", "fp": "_fp"}
-    rows = docs.withColumns({"_id": number, "_fp": F.xxhash64(text)})
+    # the row goes along as one column, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("text"), number.alias("_id"), F.xxhash64(text).alias("_fp"))
     gone = jaccard_join.jaccard_join(rows, id_col="_id", with_fp=True).where("not kept").select("id", "fp").distinct().withColumnsRenamed(names)
-    return rows.join(gone, ["_id", "_fp"], "left_anti").dropDuplicates(["_id", "_fp"]).select(*docs.columns)
+    return rows.join(gone, ["_id", "_fp"], "left_anti").dropDuplicates(["_id", "_fp"]).select("_row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
