@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,11 +82,27 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(d, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def csr_offsets(nodes: DataFrame, edges: DataFrame, width: int = 4096) -> DataFrame:
+def upsert_nodes(nodes: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """nodes with those of new in their place; of rows of one node in new the one with the largest ``order`` counts. Columns of nodes."""
+    rest = [c for c in nodes.columns if c != "node"]
+    last = new.groupBy("node").agg(F.max_by(F.struct(*rest), order).alias("row")).select("node", *[F.col("row")[c].alias(c) for c in rest])
+    return nodes.join(last, "node", "left_anti").unionByName(last)
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges are appended as they are: several between two nodes, unknown nodes and cycles included."""
+    return edges.unionByName(new.select(*edges.columns))
+
+
+def csr_offsets(nodes: DataFrame, edges: DataFrame, width: int | None = None) -> DataFrame:
     """(node, row_start, row_end): exclusive running sums of out-degrees in node order.
 
-    Sums run within ranges of ids; only the ranges' totals go through one ordered window.
+    Sums run within ranges of ids; only the ranges' totals go through one ordered window. Without ``width`` a range is as wide as there are ranges
+    (4096 ids at least), so that neither a range nor the window grows with more than the root of the ids.
     """
+    if width is None:
+        low, high = nodes.agg(F.min("node"), F.max("node")).first()
+        width = max(4096, math.isqrt(0 if low is None else high - low) + 1)
     d = nodes.select("node").join(out_degree(edges), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.floor(F.col("node") / width).alias("range"))
     totals = d.groupBy("range").agg(F.sum("degree").alias("total"))
     before = totals.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -43,9 +43,15 @@ def lock_stats(rows: DataFrame, lock: str, wait_ns: Column, hold_ns: Column) ->
     )
 
 
+def gauges_of(sums: DataFrame, capacity: int) -> DataFrame:
+    """gauges() of rows that partial sums (n, total) stand for."""
+    g = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.sum("total").cast("long").alias("total"))
+    return g.select("n", "total", F.when(F.col("n") > 0, F.expr("total div n")).otherwise(F.lit(0)).cast("long").alias("mean"), F.expr(f"(n % {capacity}) * 1000 div {capacity}").cast("long").alias("fill"))
+
+
 def gauges(rows: DataFrame, value: str, capacity: int) -> DataFrame:
     """Means from totals by whole division, and the fill of a buffer of that capacity in thousandths."""
-    return rows.agg(F.count("*").alias("n"), F.sum(value).cast("long").alias("total")).select("n", "total", F.when(F.col("n") > 0, F.expr("total div n")).otherwise(F.lit(0)).cast("long").alias("mean"), F.expr(f"(n % {capacity}) * 1000 div {capacity}").cast("long").alias("fill"))
+    return gauges_of(rows.agg(F.count("*").alias("n"), F.sum(value).cast("long").alias("total")), capacity)
 
 
 def exposition(series: DataFrame) -> DataFrame:
@@ -57,6 +63,70 @@ def exposition(series: DataFrame) -> DataFrame:
     return series.select(F.concat("name", label, F.lit(" "), number).alias("line"))
 
 
+#: The exported scalar series with their kinds; the histograms; the kinds of lock series with the columns of lock_stats() behind them.
+SCALARS = (
+    [(n, "counter") for n in ("intents_ingested_total", "intents_success_total", "intents_failure_total", "intents_partial_total", "queries_total", "replays_total", "insights_total")]
+    + [(n, "counter") for n in ("chaos_events_total", "chaos_failures_injected", "chaos_latency_spikes", "chaos_retries_injected")]
+    + [(n, "gauge") for n in ("graph_node_count", "graph_edge_count", "hnsw_index_size", "active_patterns", "active_clusters", "uptime_seconds", "hot_buffer_fill_ratio")]
+    + [(n, "gauge") for n in ("wal_entries_total", "segments_flushed_total", "bytes_flushed_total", "hnsw_avg_search_visited")]
+)
+HISTOGRAMS = tuple(f"{n}_latency_us" for n in ("ingest", "query", "extract", "wal_append", "hnsw_insert", "edge_search", "hot_push", "segment_flush"))
+LOCKS = (("lock_acquisitions_total", "counter", "acquisitions"), ("lock_contentions_total", "counter", "contended"), ("lock_wait_ns_total", "counter", "wait_sum_ns"), ("lock_hold_ns_total", "counter", "hold_sum_ns"), ("lock_max_wait_ns", "gauge", "wait_max_ns"), ("lock_max_hold_ns", "gauge", "hold_max_ns"))
+PHASES = tuple((f"{place}_{op}_{what}", "counter") for place, ops in (("store", ("wal_append", "hnsw_insert", "hot_push", "segment_flush", "edge_search")), ("daemon", ("extract", "store_insert", "edge_formation", "query", "replay", "insight"))) for op in ops for what in ("ns_total", "count"))
+
+
+def family_heads(name: str, kind: str) -> list[str]:
+    """The two lines that open a family of series."""
+    return [f"# HELP {name} {name.replace('_', ' ').capitalize()}.", f"# TYPE {name} {kind}"]
+
+
+def exporter(scalars: DataFrame, histograms: DataFrame, locks: DataFrame, vertical: str, prefix: str = "intentdeck_") -> DataFrame:
+    """(line) of the whole exposition, in order: scalars, histograms, locks, phases; a series without a value is 0.
+
+    scalars is (name, value), histograms (name, le, count, total) with le null for +Inf and total the sum of the values, locks the result of
+    lock_stats(). Names are those of SCALARS, HISTOGRAMS and PHASES, without prefix. All tables hold a few rows for each series.
+    """
+    spark = scalars.sparkSession
+    label = f'vertical="{vertical}"'
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").cast("string")
+    families = [(n, k, "scalar") for n, k in SCALARS] + [(n, "histogram", "histogram") for n in HISTOGRAMS] + [(n, k, "lock") for n, k, _ in LOCKS] + [(n, k, "scalar") for n, k in PHASES]
+    # the lock families open together and their series follow by lock
+    place = {n: (len(SCALARS) + len(HISTOGRAMS) if group == "lock" else i) for i, (n, _, group) in enumerate(families)}
+    heads = [(place[n], 2 * i + j, 0.0, line) for i, (n, k, _) in enumerate(families) for j, line in enumerate(family_heads(prefix + n, k))]
+    out = spark.createDataFrame(heads, "family int, part int, at double, line string")
+    last = 2 * len(families)
+
+    names = spark.createDataFrame([(place[n], n) for n, _, group in families if group == "scalar"], "family int, name string")
+    got = names.join(scalars.select("name", "value"), "name", "left")
+    out = out.unionByName(got.select("family", F.lit(last).alias("part"), F.lit(0.0).alias("at"), F.concat(F.lit(prefix), "name", F.lit(f"{{{label}}} "), number("value")).alias("line")))
+
+    bounds = [(place[n], n, b, float(b or 0), f"{b}" if b else "+Inf") for n in HISTOGRAMS for b in (*BOUNDS, None)]
+    names = spark.createDataFrame([(f, n, None if b is None else float(b), text) for f, n, b, _, text in bounds], "family int, name string, le double, text string")
+    h = histograms.select(F.col("name").alias("of"), F.col("le").alias("bound"), "count", "total")
+    got = names.join(h, (F.col("name") == F.col("of")) & F.col("le").eqNullSafe(F.col("bound")), "left")
+    bucket = F.concat(F.lit(prefix), "name", F.lit(f'_bucket{{{label},le="'), "text", F.lit('"} '), number("count"))
+    tail = [F.concat(F.lit(prefix), "name", F.lit(f"_{what}{{{label}}} "), number(c)) for what, c in (("sum", "total"), ("count", "count"))]
+    lines = F.when(F.col("le").isNull(), F.array(bucket, *tail)).otherwise(F.array(bucket))
+    out = out.unionByName(got.select("family", F.coalesce("le", F.lit(float("inf"))).alias("at"), F.posexplode(lines).alias("k", "line")).select("family", (F.lit(last) + F.col("k")).alias("part"), "at", "line"))
+
+    series = F.array(*[F.concat(F.lit(f'{prefix}{n}{{{label},lock="'), "lock", F.lit('"} '), number(c)) for n, _, c in LOCKS])
+    ranked = locks.withColumn("at", F.row_number().over(Window.orderBy("lock")).cast("double"))
+    got = ranked.select("at", F.posexplode(series).alias("k", "line"))
+    out = out.unionByName(got.select(F.lit(place[LOCKS[0][0]]).alias("family"), F.lit(last).alias("part"), (F.col("at") * len(LOCKS) + F.col("k")).alias("at"), "line"))
+    # within a histogram: buckets by bound, then sum and count
+    return out.orderBy("family", F.when(F.col("part") < last, F.col("part")).otherwise(last), "at", "part").select("line")
+
+
+def chaos_mode(failures: Column, spikes: Column, retries: Column, events_per_s: Column, stampede: float = 100.0) -> Column:
+    """The mode that rises of the fault counters tell: one alone names it, several are mixed, and from ``stampede`` events a second on all is a stampede; else null.
+
+    A null rise counts as none.
+    """
+    up = [F.coalesce(c, F.lit(0)) > 0 for c in (failures, spikes, retries)]
+    several = sum((u.cast("int") for u in up[1:]), up[0].cast("int")) > 1
+    return F.when(events_per_s >= stampede, "Stampede").when(several, "Mixed Chaos").when(up[0], "Failure Injection").when(up[1], "Latency Storm").when(up[2], "Retry Cascade")
+
+
 def window_rate(rows: DataFrame, seconds: int, by: list[str] | None = None) -> DataFrame:
     """(window_start_s, by..., events, rate) in tumbling windows of the ts_ns column."""
     by = by or []

@@ -46,6 +46,13 @@ def temporal_range(rows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return rows.where((F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns)).orderBy("ts_ns", "id")
 
 
+def recent_ids(rows: DataFrame, most: int = 1000, dropped: int = 500) -> DataFrame:
+    """(id) of the bounded list of latest rows, newest first: whenever it exceeds ``most`` the oldest ``dropped`` go, so its length follows from the number of rows."""
+    n = rows.count()
+    length = n if n <= most else most + 1 - dropped + (n - most - 1) % dropped
+    return rows.orderBy(F.desc("ts_ns"), F.desc("id")).limit(length).select("id")
+
+
 def attach_outcomes(intents: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(intents with their latest outcome, outcomes of unknown ids). outcomes: id, status, latency_ns, exit_code, seq."""
     last = outcomes.groupBy("id").agg(F.max_by(F.struct("status", "latency_ns", "exit_code"), "seq").alias("outcome"))

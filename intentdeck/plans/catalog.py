@@ -267,19 +267,13 @@ def le_sql(col: str) -> str:
     return f"list_transform(generate_series(0, 7), lambda k: CAST(floor({col}::HUGEINT // (256::HUGEINT ** k)::HUGEINT) % 256 AS HUGEINT))"
 
 
-@query("context_hash_all", f"SELECT event_id AS id, CAST({FNV_SQL.format(bytes='list_concat(list_concat(list_concat(list_concat(' + TEXT_BYTES.format(t='event_type') + ', ' + le_sql('event_id') + '), ' + le_sql('user_id') + '), ' + TEXT_BYTES.format(t="'bash'") + '), ' + TEXT_BYTES.format(t="'ops'") + ')')} AS VARCHAR) AS hash FROM events")
-def context_hash_all(spark, sf):
+@query("context_hash", f"SELECT event_id AS id, CAST({FNV_SQL.format(bytes='list_concat(list_concat(list_concat(list_concat(' + TEXT_BYTES.format(t='event_type') + ', ' + le_sql('event_id') + '), ' + le_sql('user_id') + '), ' + TEXT_BYTES.format(t="'bash'") + '), ' + TEXT_BYTES.format(t="'ops'") + ')')} AS VARCHAR) AS hash FROM events")
+def context_hash(spark, sf):
     """The context hash of every event."""
     ev = table(spark, sf, "events")
     return ev.select(F.col("event_id").alias("id"), H.context_hash(F.col("event_type"), F.col("event_id"), F.col("user_id"), F.lit("bash"), F.lit("ops")).cast("string").alias("hash"))
 
 
-@query("context_hash", f"SELECT event_id AS id, CAST({FNV_SQL.format(bytes='list_concat(list_concat(list_concat(list_concat(' + TEXT_BYTES.format(t='event_type') + ', ' + le_sql('event_id') + '), ' + le_sql('user_id') + '), ' + TEXT_BYTES.format(t="'bash'") + '), ' + TEXT_BYTES.format(t="'ops'") + ')')} AS VARCHAR) AS hash FROM events WHERE event_id < 2000")
-def context_hash(spark, sf):
-    """The ids that this query's SQL asks for; context_hash_all has every event."""
-    return context_hash_all(spark, sf).where("id < 2000")
-
-
 PART_SQL = f"CAST({FNV_SQL.format(bytes=TEXT_BYTES.format(t='CAST(event_id AS VARCHAR)'))} % 12 AS INTEGER)"
 
 
@@ -712,6 +706,58 @@ def metrics_exposition(spark, sf):
     return metrics.exposition(g.select(F.lit("intents_total").alias("name"), labels.alias("labels"), "value"))
 
 
+EXPORT_VERTICAL = "ops"
+
+
+def _export_sql() -> str:
+    label = f'vertical="{EXPORT_VERTICAL}"'
+    given = {"intents_ingested_total": "count(*)", "intents_success_total": "count(*) FILTER (status = 1)", "intents_failure_total": "count(*) FILTER (status = 2)", "intents_partial_total": "count(*) FILTER (status = 3)"}
+    kinds = [*metrics.SCALARS, *[(n, "histogram") for n in metrics.HISTOGRAMS], *[(n, k) for n, k, _ in metrics.LOCKS], *metrics.PHASES]
+    fixed = [line for n, k in kinds for line in metrics.family_heads(f"intentdeck_{n}", k)]
+    fixed += [f"intentdeck_{n}{{{label}}} 0" for n, _ in [*metrics.SCALARS, *metrics.PHASES] if n not in given]
+    for n in metrics.HISTOGRAMS:
+        if n != "ingest_latency_us":
+            fixed += [f'intentdeck_{n}_bucket{{{label},le="{b}"}} 0' for b in (*metrics.BOUNDS, "+Inf")] + [f"intentdeck_{n}_{w}{{{label}}} 0" for w in ("sum", "count")]
+    parts = ["SELECT unnest([" + ", ".join(f"'{x}'" for x in fixed) + "]) AS line"]
+    parts += [f"SELECT 'intentdeck_{n}{{{label}}} ' || {v} FROM ev" for n, v in given.items()]
+    us = "latency_ns // 1000"
+    parts += [f"""SELECT 'intentdeck_ingest_latency_us_bucket{{{label},le="{b}"}} ' || count(*) FILTER ({us} <= {b}) FROM ev""" for b in metrics.BOUNDS]
+    parts += [f"""SELECT 'intentdeck_ingest_latency_us_bucket{{{label},le="+Inf"}} ' || count(*) FROM ev""", f"SELECT 'intentdeck_ingest_latency_us_sum{{{label}}} ' || CAST(sum({us}) AS BIGINT) FROM ev", f"SELECT 'intentdeck_ingest_latency_us_count{{{label}}} ' || count(*) FROM ev"]
+    lock = {"lock_acquisitions_total": "count(*)", "lock_contentions_total": "count(*) FILTER (env > 1000)", "lock_wait_ns_total": "sum(env)", "lock_hold_ns_total": "sum(latency_ns)", "lock_max_wait_ns": "max(env)", "lock_max_hold_ns": "max(latency_ns)"}
+    parts += [f"""SELECT 'intentdeck_{n}{{{label},lock="' || raw_command || '"}} ' || CAST({v} AS BIGINT) FROM ev GROUP BY raw_command""" for n, v in lock.items()]
+    return f"WITH ev AS (SELECT * FROM {EVENTS_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("metrics_exporter", _export_sql())
+def metrics_exporter(spark, sf):
+    """The whole text of the exporter: counts by outcome, the histogram of latencies and lock statistics by command; other series are 0."""
+    ev = _us(spark, sf)
+    counts = {"intents_ingested_total": F.count("*"), "intents_success_total": F.count_if(F.col("status") == 1), "intents_failure_total": F.count_if(F.col("status") == 2), "intents_partial_total": F.count_if(F.col("status") == 3)}
+    scalars = ev.agg(*[c.alias(n) for n, c in counts.items()]).unpivot([], list(counts), "name", "value")
+    buckets = metrics.histogram(ev, "us").crossJoin(ev.agg(F.sum("us").alias("total"))).withColumn("name", F.lit("ingest_latency_us"))
+    return metrics.exporter(scalars, buckets, metrics.lock_stats(ev, "raw_command", F.col("env"), F.col("latency_ns")), EXPORT_VERTICAL)
+
+
+@query("recent_ids", f"SELECT id FROM {EVENTS_SQL} ORDER BY ts_ns DESC, id DESC LIMIT (SELECT CASE WHEN count(*) <= 1000 THEN count(*) ELSE 501 + (count(*) - 1001) % 500 END FROM events)")
+def recent_ids(spark, sf):
+    return store.recent_ids(events_as_intents(spark, sf))
+
+
+@query("chaos_mode", "SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN 'Stampede' WHEN (event_id % 2 > 0)::INT + (event_id % 3 > 0)::INT + (event_id % 5 > 0)::INT > 1 THEN 'Mixed Chaos' WHEN event_id % 2 > 0 THEN 'Failure Injection' WHEN event_id % 3 > 0 THEN 'Latency Storm' WHEN event_id % 5 > 0 THEN 'Retry Cascade' END AS mode FROM events")
+def chaos_mode(spark, sf):
+    i = F.col("event_id")
+    return table(spark, sf, "events").select(i.alias("id"), metrics.chaos_mode(i % 2, i % 3, i % 5, F.when(i % 7 == 0, 150.0).otherwise(3.0)).alias("mode"))
+
+
+@query("upsert_nodes", "SELECT event_id % 500 AS node, max(ts) FILTER (event_id >= 250) AS ts, FALSE AS old FROM events WHERE event_id >= 250 GROUP BY 1 UNION ALL SELECT DISTINCT event_id % 600 + 250, NULL::TIMESTAMP, TRUE FROM events WHERE event_id % 600 + 250 NOT IN (SELECT event_id % 500 FROM events WHERE event_id >= 250)")
+def upsert_nodes(spark, sf):
+    """Nodes 250 to 849, of which events that come later replace some; of several events of a node the latest counts."""
+    ev = table(spark, sf, "events")
+    nodes = ev.select((F.col("event_id") % 600 + 250).alias("node"), F.lit(None).cast(ev.schema["ts"].dataType).alias("ts"), F.lit(True).alias("old")).distinct()
+    new = ev.where("event_id >= 250").select((F.col("event_id") % 500).alias("node"), "ts", F.lit(False).alias("old"))
+    return graph.upsert_nodes(nodes, new, "ts")
+
+
 @query("dash_total", f"SELECT session_id % 4 AS vertical, count(*) AS total FROM {EVENTS_SQL} GROUP BY 1")
 def dash_total(spark, sf):
     return events_as_intents(spark, sf).groupBy((F.col("session_id") % 4).alias("vertical")).agg(F.count("*").alias("total"))
@@ -824,3 +870,15 @@ def stream_late_outcomes(spark, sf):
     joined = ingest.late_outcomes(stream("intents", ev), stream("outcomes", outcomes))
     ingest.run_to_end(joined.writeStream.format("parquet").option("path", f"{src}/out").option("checkpointLocation", f"{src}/checkpoint").trigger(availableNow=True).start())
     return spark.read.parquet(f"{src}/out").where("status is not null").select("id", "status")
+
+
+@query("stream_gauges", f"SELECT count(*) AS n, CAST(sum(latency_ns) AS BIGINT) AS total, CAST(sum(latency_ns) // count(*) AS BIGINT) AS mean, (count(*) % 3000) * 1000 // 3000 AS fill FROM {EVENTS_SQL}")
+def stream_gauges(spark, sf):
+    """Gauges refreshed batch by batch; those of the last batch are of the whole table."""
+    from intentdeck.streaming import ingest
+
+    src = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ev = events_as_intents(spark, sf).select("id", "latency_ns")
+    ev.repartition(3).write.parquet(f"{src}/in")
+    ingest.run_to_end(ingest.gauge_stream(ingest.command_stream(spark, f"{src}/in", ev.schema), f"{src}/out", f"{src}/checkpoint", "latency_ns", 3000))
+    return spark.read.parquet(f"{src}/out/gauges").orderBy(F.desc("batch")).limit(1).drop("batch")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentdeck.operators import knn
+from intentdeck.operators import knn, metrics
 from intentdeck.operators.store import extract
 
 
@@ -34,6 +34,22 @@ def edge_stream(vectors: DataFrame, path: str, checkpoint: str, k: int = 5):
     return vectors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def gauge_stream(intents: DataFrame, path: str, checkpoint: str, value: str, capacity: int, every: str | None = None):
+    """Per batch of intents: the gauges over all rows so far, written to a folder of the batch. With ``every`` (as "5 seconds") it goes on, else it runs to the end.
+
+    A batch keeps its count and sum only, so a refresh reads one row for each batch before it.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        sums = spark.read.option("basePath", f"{path}/sums").parquet(f"{path}/sums").where(F.col("batch") <= number)
+        metrics.gauges_of(sums, capacity).coalesce(1).write.mode("overwrite").parquet(f"{path}/gauges/batch={number}")
+
+    w = intents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def windowed_counts(events: DataFrame, width: str, late: str, by: str = "event_type") -> DataFrame:
     """Counts per event-time window; rows later than ``late`` are dropped."""
     ts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from intentdeck.engine import Engine
 from intentdeck.functions.text import shell_words
-from intentdeck.operators import insight, knn, store
+from intentdeck.operators import graph, insight, knn, metrics, store
 from intentdeck.schemas import ExtractionFailed
 
 
@@ -63,3 +63,39 @@ def test_pattern_order(spark):
     got = insight.ordered_patterns(spark.createDataFrame(rows, "id long, ts_ns long, raw_command string").withColumn("status", F.lit(1))).collect()
     keys = [(-r["count"], -len(r.commands)) for r in got]
     assert keys == sorted(keys) and len(got) > 3
+
+
+def test_exporter_lines_in_order(spark):
+    scalars = spark.createDataFrame([("queries_total", 7)], "name string, value long")
+    rows = spark.createDataFrame([("a", 30, 2000), ("b", 70_000, 10)], "lock string, us long, ns long")
+    buckets = metrics.histogram(rows, "us").crossJoin(rows.agg(F.sum("us").alias("total"))).withColumn("name", F.lit("query_latency_us"))
+    lines = [r.line for r in metrics.exporter(scalars, buckets, metrics.lock_stats(rows, "lock", F.col("ns"), F.col("us")), "v").collect()]
+    at = lines.index("# TYPE intentdeck_query_latency_us histogram")
+    label = 'intentdeck_query_latency_us_bucket{vertical="v",le='
+    want = [f'{label}"{b}"}} {int(b >= 30)}' for b in metrics.BOUNDS] + [f'{label}"+Inf"}} 2', 'intentdeck_query_latency_us_sum{vertical="v"} 70030', 'intentdeck_query_latency_us_count{vertical="v"} 2']
+    assert lines[at + 1 : at + 14] == want
+    at = lines.index("# TYPE intentdeck_lock_max_hold_ns gauge")
+    assert lines[at + 1] == 'intentdeck_lock_acquisitions_total{vertical="v",lock="a"} 1' and lines[at + 12] == 'intentdeck_lock_max_hold_ns{vertical="v",lock="b"} 70000'
+    assert lines[lines.index("# TYPE intentdeck_queries_total counter") + 1] == 'intentdeck_queries_total{vertical="v"} 7'
+    assert lines[-1] == 'intentdeck_daemon_insight_count{vertical="v"} 0'
+    empty = metrics.exporter(scalars.limit(0), buckets.limit(0), metrics.lock_stats(rows.limit(0), "lock", F.col("ns"), F.col("us")), "v").collect()
+    assert len(empty) == len(lines) - 12
+
+
+@pytest.mark.parametrize("rows, kept", [(0, 0), (1000, 1000), (1001, 501), (1500, 1000), (1501, 501), (2600, 600)])
+def test_recent_ids(spark, rows, kept):
+    n: list[int] = []
+    for k in range(rows):
+        n.append(k)
+        if len(n) > 1000:
+            del n[:500]
+    assert len(n) == kept
+    assert [r.id for r in store.recent_ids(spark.range(rows).withColumn("ts_ns", F.col("id"))).collect()] == n[::-1]
+
+
+def test_nodes_and_edges_are_added(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "node long, name string")
+    new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "node long, name string, seq long")
+    assert sorted(map(tuple, graph.upsert_nodes(nodes, new).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+    e = spark.createDataFrame([(1, 2)], "from_id long, to_id long")
+    assert graph.add_edges(e, e).count() == 2
