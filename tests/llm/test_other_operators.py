@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from intentdeck.llm import near_vectors, registry, url_filter, warc
 from intentdeck.llm._common import connected_components
 
@@ -47,6 +49,22 @@ def test_warc_damage_is_found(spark):
         warc.parse_records(warc.read_archive(spark, warc.Archive(archive.headers, archive.payloads + "-bad"))).collect()
 
 
+def test_warc_hot_payload(spark):
+    long, other = "x" * 2000, "y" * 1500
+    rows = [(i, f"http://h/{i}", long if i % 3 == 0 else "" if i % 3 == 1 else f"{i}") for i in range(900)] + [(900, None, other), (901, "u", other), (None, "u", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write_archive(df)
+    headers = spark.read.parquet(archive.headers)
+    hot = warc._hot(headers.groupBy("sha256").agg(F.count("*").alias("records")), headers.count())
+    assert hot.count() == 2  # the long and the empty payload
+    met = warc._join_spread(headers, spark.read.parquet(archive.payloads), hot, ["id", "header"], "inner")
+    assert met.count() == len(rows) and spark.read.parquet(archive.payloads).count() == 303
+    got = {(r.id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.parse_records(warc.read_archive(spark, archive)).collect()}
+    top = {long: 897, other: 901}
+    want = {(i, len(b), "revisit" if b in top and i != top[b] else "response", str(top[b]) if b in top and i != top[b] else None) for i, _, b in rows}
+    assert got == want
+
+
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.parse_records(warc.read_archive(spark, warc.write_archive(df))).count() == 0
