@@ -14,7 +14,7 @@ from intentdeck.functions import vector as V
 from intentdeck.operators import cluster, graph, insight, knn, metrics, store
 from intentdeck.schemas import EVENTS_SQL, VECTORS_SQL, events_as_intents, table, vectors
 from intentdeck.shared import materialize, shared_dir
-from intentdeck.sources import segment, wal
+from intentdeck.sources import messages, segment, wal, workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -252,6 +252,36 @@ def half_roundtrip(spark, sf):
     return vectors(spark, sf).select("id", "v").mapInPandas(run, "id long, error double")
 
 
+_LE_HEX = "list_aggregate(list_transform(generate_series(7, 0, -1), lambda k: substr(printf('%016X', {x}), (2 * k + 1)::BIGINT, 2)), 'string_agg', '')"
+
+
+@query("message_roundtrip", f"SELECT event_id AS id, '0110000000' || {_LE_HEX.format(x='event_id::BIGINT')} || {_LE_HEX.format(x='user_id::BIGINT')} AS bytes, 'ping' AS name, event_id::BIGINT AS sender, user_id::BIGINT AS seq FROM events")
+def message_roundtrip(spark, sf):
+    """A ping for each event, encoded and decoded."""
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), messages.encode_ping("event_id", "user_id").alias("b"))
+    return ev.select("id", F.hex("b").alias("bytes"), messages.decode_ping("b").alias("m")).select("id", "bytes", "m.*")
+
+
+@query("sql_functions", f"SELECT vec_id AS id, round({cos_sql('v', 'w')}, 6) AS cosine, round({l2_sql('v', 'w')}, 5) AS l2 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), (SELECT embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id = 0)")
+def sql_functions(spark, sf):
+    """The vector functions called from SQL."""
+    from intentdeck.functions import sql
+
+    sql.register(spark)
+    w = ", ".join(f"{x!r}D" for x in first_vector(spark, sf))
+    v = vectors(spark, sf).select("id", F.col("v").cast("array<double>").alias("v"))
+    return spark.sql(f"SELECT id, round(vec_cosine(v, array({w})), 6) AS cosine, round(vec_l2_sq(v, array({w})), 5) AS l2 FROM {{v}}", v=v)
+
+
+@query("workload_source", "SELECT k AS rows, k AS same FROM (VALUES (20000::BIGINT)) t(k)")
+def workload_source(spark, sf):
+    """Rows of the data source equal those that the expressions generate."""
+    spark.dataSource.register(workload.WorkloadSource)
+    made = spark.read.format("intentdeck_workload").option("vertical", "deploy").option("rows", 20_000).option("seed", 7).option("rows_per_partition", 4_000).load()
+    want = workload.generate(spark, "deploy", 20_000, seed=7)
+    return made.unionByName(want).groupBy(*[c for c in want.columns]).agg(F.count("*").alias("n")).agg(F.expr("CAST(sum(n) / 2 AS BIGINT)").alias("rows"), F.count_if(F.col("n") == 2).alias("same"))
+
+
 # -- hashes ----------------------------------------------------------------------------------------------------------------------
 
 FNV_SQL = "list_reduce(list_prepend(14695981039346656037::HUGEINT, {bytes}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"

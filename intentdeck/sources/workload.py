@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 @dataclass(frozen=True)
@@ -53,3 +56,58 @@ def inject(rows: DataFrame, kind: str) -> DataFrame:
     if kind == "IngestFailure":
         return rows.withColumn("raw_command", F.lit(""))
     return rows
+
+
+@dataclass
+class Rows(InputPartition):
+    first: int
+    end: int
+
+
+class WorkloadReader(DataSourceReader):
+    """Rows of generate() made on the executors, range by range of rows_per_partition ids."""
+
+    def __init__(self, options: dict):
+        self.vertical, self.rows, self.seed = options.get("vertical", "incident"), int(options.get("rows", 1000)), int(options.get("seed", 0))
+        self.start, self.step, self.width = int(options.get("start_ns", 0)), int(options.get("step_ns", 500_000_000)), int(options.get("rows_per_partition", 1_000_000))
+        if self.vertical not in VERTICALS:
+            raise ValueError(f"unknown vertical {self.vertical!r}, known: {sorted(VERTICALS)}")
+
+    def partitions(self) -> list[Rows]:
+        return [Rows(a, min(a + self.width, self.rows)) for a in range(0, self.rows, self.width)] or [Rows(0, 0)]
+
+    def read(self, partition: Rows) -> Iterator[tuple]:
+        from decimal import Decimal
+
+        import xxhash
+
+        v = VERTICALS[self.vertical]
+        commands = [a.format(o) for a in v.verbs for o in v.objects]
+        seed = struct.pack("<i" if -(2**31) <= self.seed < 2**31 else "<q", self.seed)
+        # the hash of (seed, salt, row) as Spark's xxhash64 chains it
+        heads = {salt: xxhash.xxh64_intdigest(salt.encode(), xxhash.xxh64_intdigest(seed, 42)) for salt in ("outcome", "cmd", "session", "latency", "exit")}
+
+        def h(salt: str, row: bytes, n: int) -> int:
+            x = xxhash.xxh64_intdigest(row, heads[salt])
+            return (x - (1 << 64) if x >> 63 else x) % n
+
+        for k in range(partition.first, partition.end):
+            row = struct.pack("<q", k)
+            u = h("outcome", row, 1_000_000) / 1e6
+            status = 1 if u < v.success else 2 if u < v.success + v.failure else 3
+            context = (v.cwd, Decimal(v.env_hash), Decimal(1 + h("session", row, 99)), "bash", v.user)
+            yield k, self.start + k * self.step, commands[h("cmd", row, len(commands))], context, status, v.least_ns + h("latency", row, v.most_ns - v.least_ns), 1 + h("exit", row, 127) if status == 2 else 0
+
+
+class WorkloadSource(DataSource):
+    """spark.read.format("intentdeck_workload") with the options vertical, rows, seed, start_ns, step_ns and rows_per_partition, once registered with spark.dataSource.register()."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "intentdeck_workload"
+
+    def schema(self) -> str:
+        return "id long, ts_ns long, raw_command string, context struct<cwd:string,env_hash:decimal(20,0),session_id:decimal(20,0),shell:string,user:string>, status int, latency_ns long, exit_code int"
+
+    def reader(self, schema) -> WorkloadReader:
+        return WorkloadReader(dict(self.options))

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from intentdeck.engine import Engine
+from intentdeck.functions import sql
 from intentdeck.functions.text import shell_words
 from intentdeck.operators import graph, insight, knn, metrics, store
-from intentdeck.schemas import ExtractionFailed
+from intentdeck.schemas import ExtractionFailed, SegmentCorrupted
+from intentdeck.sources import messages, workload
 
 
 @pytest.mark.parametrize(
@@ -99,3 +101,38 @@ def test_nodes_and_edges_are_added(spark):
     assert sorted(map(tuple, graph.upsert_nodes(nodes, new).collect())) == [(1, "a"), (2, "d"), (3, "e")]
     e = spark.createDataFrame([(1, 2)], "from_id long, to_id long")
     assert graph.add_edges(e, e).count() == 2
+
+
+def test_messages():
+    every = {
+        "ping": {"from": 1, "seq": 2**64 - 1},
+        "pong": {"from": 2, "seq": 0},
+        "intent_forward": {"partition": 7, "payload": b"\x00\xffabc"},
+        "segment_sync": {"partition": 2**32 - 1, "segment_data": b""},
+        "membership_update": {"version": 3, "members": [5, 6]},
+        "partition_table_update": {"version": 4, "assignments": [{"partition_id": 1, "owner": 9, "replicas": [8, 7]}, {"partition_id": 2, "owner": 9, "replicas": []}]},
+    }
+    for name, fields in every.items():
+        data = messages.encode(name, fields)
+        assert messages.decode(data) == (name, fields) == messages.decode(data + b"more")
+        with pytest.raises(SegmentCorrupted):
+            messages.decode(data[:-1])
+    assert messages.encode("membership_update", every["membership_update"]).hex() == "051c0000000300000000000000" + "02000000" + "0500000000000000" + "0600000000000000"
+    for bad in (b"", b"\x01\x00\x00\x00", b"\x09\x00\x00\x00\x00", b"\x01\x08\x00\x00\x00" + bytes(8), b"\x05\x0c\x00\x00\x00" + bytes(8) + b"\x01\x00\x00\x00"):
+        with pytest.raises(SegmentCorrupted):
+            messages.decode(bad)
+
+
+def test_functions_in_sql(spark):
+    names = sql.register(spark)
+    got = spark.sql("SELECT shell_words('ls -l \"a b\"') AS w, vec_dot(array(1D, 2D), array(3D, 4D)) AS d, vec_cosine(array(0D), array(1D)) AS z, vec_dot(NULL, array(1D)) AS n, size(hash_embedding('ls')) AS e, classify_command('git push') AS c").first()
+    assert (list(got.w), got.d, got.z, got.n) == (["ls", "-l", "a b"], 11.0, 0.0, None) and got.e > 0 and got.c and len(names) == 7
+
+
+def test_workload_source(spark):
+    spark.dataSource.register(workload.WorkloadSource)
+    read = lambda **o: spark.read.format("intentdeck_workload").options(**o).load()
+    for name in workload.VERTICALS:
+        want = sorted(map(tuple, workload.generate(spark, name, 50, seed=-(2**40), start_ns=5).collect()))
+        assert sorted(map(tuple, read(vertical=name, rows=50, seed=-(2**40), start_ns=5, rows_per_partition=7).collect())) == want
+    assert read(rows=0).count() == 0
