@@ -24,6 +24,26 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: A key that one in HOT_SHARE rows has is hot (so at most so many are): its rows are dealt to SALTS tasks.
+HOT_SHARE, SALTS = 200, 64
+
+
+def hot_keys(counts: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """(on..., salts) of the hot keys, at most HOT_SHARE rows, from a table of one row a key with its number of ``records`` of all ``rows``."""
+    return counts.where(F.col("records") >= max(SALTS, rows / HOT_SHARE)).select(*on, F.lit(SALTS).cast("long").alias("salts"))
+
+
+def join_spread(records: DataFrame, single: DataFrame, hot: DataFrame, by: list[str], how: str) -> DataFrame:
+    """records joined with single, a table of one row a key, on the keys of hot; what is hot meets copies of that row in SALTS tasks, dealt by the columns ``by``."""
+    on = [c for c in hot.columns if c != "salts"]
+    hot = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0).cast("long"))
+    dealt = records.join(hot, on, "left").withColumn("salt", salt).drop("salts")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)
+    copies = single.join(hot, on, "left").withColumn("salt", F.explode(every)).drop("salts")
+    return dealt.join(copies, [*on, "salt"], how).drop("salt")
+
+
 def forest(n: int, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """The edges (node, root) of a spanning forest of pairs over range(n)."""
     up = list(range(n))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import connected_components, discard, forest, materialize, read_table
+from intentdeck.llm._common import connected_components, discard, forest, hot_keys, join_spread, materialize, read_table
 
 COSINE = 0.93
 #: Nearest pivots that describe a vector, and how many of them candidates share.
@@ -33,6 +33,21 @@ def usable(vector, label):
     return label.isNotNull() & vector.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def apart(pivots: np.ndarray, cosine: float) -> np.ndarray:
+    """The unit pivots without those that link with an earlier one that stays: near copies would trade places in every order, and their group miss itself."""
+    kept = np.empty_like(pivots)
+    n = 0
+    for at in range(0, len(pivots), 256):
+        block = pivots[at : at + 256]
+        free = (block @ kept[:n].T < cosine).all(axis=1)
+        for p in block[free]:
+            # of this block's own pivots, those kept since it began
+            if n == 0 or (kept[:n][-256:] @ p < cosine).all():
+                kept[n] = p
+                n += 1
+    return kept[:n]
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, width: int = WIDTH, shared: int = SHARED, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
@@ -56,7 +71,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     by_dim_ = {}
     for d in {len(p) for p in pivots}:
         m = np.array([p for p in pivots if len(p) == d], "f8")
-        by_dim_[d] = (m / np.linalg.norm(m, axis=1)[:, None]).astype("f4")
+        by_dim_[d] = apart((m / np.linalg.norm(m, axis=1)[:, None]).astype("f4"), cosine)
     shared_pivots = spark.sparkContext.broadcast(by_dim_)  # at most most_pivots rows of four bytes a component
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,14 +127,20 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     found = materialize(listed.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(compare, "class long, links long, root long"), "found")
     links = materialize(found.groupBy("class").agg(F.sum("links").alias("links")), "links")
-    nodes = good.join(classes.select("label", "v", "class", "copies"), ["label", "v"]).select("id", "class", "copies")
+    # a third of all rows may be copies of one vector: their joins with its class are spread
+    many_rows = classes.agg(F.sum("copies")).first()[0] or 0
+    counts = classes.withColumnRenamed("copies", "records")
+    hot_vectors, hot_classes = hot_keys(counts, ["label", "v"], many_rows), hot_keys(counts.groupBy("class").agg(F.max("records").alias("records")), ["class"], many_rows)
+    nodes = join_spread(good, classes.select("label", "v", "class", "copies"), hot_vectors, ["id"], "inner").select("id", "class", "copies")
+    nodes = materialize(nodes, "classed")
     # two rows of one id can be in two classes: the id ties them together
     tied = nodes.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("a")).where("a <> b").select("a", "b")
     parts = connected_components(found.where("root is not null").select(F.col("class").alias("a"), F.col("root").alias("b")).unionByName(tied))
-    nodes = nodes.join(links, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    known = links.join(parts.withColumnRenamed("node", "class"), "class", "full")
+    classed, nodes = nodes, join_spread(nodes, known, hot_classes, ["id"], "left")
     nodes = nodes.groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.min(F.coalesce("component", "class")).alias("component"))
     nodes = materialize(nodes, "nodes")
-    for t in (classes, described, found, links, parts):
+    for t in (classes, described, found, links, parts, classed):
         discard(t)
     out = src.select("id").join(nodes, "id", "left")
     component = F.coalesce("component", "id")

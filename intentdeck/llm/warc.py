@@ -13,12 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentdeck.llm._common import discard, materialize, read_table, shared_dir
+from intentdeck.llm._common import discard, hot_keys, join_spread, materialize, read_table, shared_dir
 
 #: Payloads of at least so many bytes are written once, later records with the same bytes revisit them.
 REVISIT_BYTES = 1000
-#: A payload that one in HOT_SHARE records holds is hot (so at most so many are): its records are dealt to SALTS tasks.
-HOT_SHARE, SALTS = 200, 64
 #: The date of every record: an archive of the same rows has the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -29,19 +27,6 @@ class Archive:
     payloads: str
 
 
-def _hot(counts: DataFrame, records: int) -> DataFrame:
-    """(sha256, salts) of the hot payloads, at most HOT_SHARE rows, from (sha256, records) counts."""
-    return counts.where(F.col("records") >= max(SALTS, records / HOT_SHARE)).select("sha256", F.lit(SALTS).alias("salts"))
-
-
-def _join_spread(records: DataFrame, single: DataFrame, hot: DataFrame, by: list[str], how: str) -> DataFrame:
-    """records joined on sha256 with single, a table of one row each; what is hot meets copies of that row in SALTS tasks, dealt by the columns ``by``."""
-    hot = F.broadcast(hot)
-    dealt = records.join(hot, "sha256", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0))).drop("salts")
-    copies = single.join(hot, "sha256", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - F.lit(1).cast("long")))).drop("salts")
-    return dealt.withColumn("salt", F.col("salt").cast("long")).join(copies, ["sha256", "salt"], how).drop("salt")
-
-
 def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> Archive:
     """Write one record per row. payload_col is a string (UTF-8) or binary column; null is the empty payload.
 
@@ -59,7 +44,7 @@ def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
     # only payloads that occur twice have anything to refer to
     again = small.where(F.col("n") >= revisit_bytes).groupBy("sha256").agg(F.max("id").alias("top"), F.count("*").alias("records")).where("records > 1")
     again = materialize(again, "warc-again")
-    small = _join_spread(small, again.select("sha256", "top"), _hot(again, pages.count()), ["id", "url"], "left")
+    small = join_spread(small, again.select("sha256", "top"), hot_keys(again, ["sha256"], pages.count()), ["id", "url"], "left")
     revisits = F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))
     safe = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -90,8 +75,8 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     good = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
     stored = stored.select("sha256", F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.hex("sha256")))).alias("payload"))
     headers = spark.read.parquet(archive.headers)
-    hot = _hot(headers.groupBy("sha256").agg(F.count("*").alias("records")), headers.count())
-    both = _join_spread(headers, stored, hot, ["id", "header"], "inner")
+    hot = hot_keys(headers.groupBy("sha256").agg(F.count("*").alias("records")), ["sha256"], headers.count())
+    both = join_spread(headers, stored, hot, ["id", "header"], "inner")
     held = F.when(F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
     return both.select("id", "header", "payload", F.concat("header", held, F.lit(b"\r\n\r\n")).alias("record"))
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intentdeck.llm import near_vectors, registry, url_filter, warc
+from intentdeck.llm._common import hot_keys, join_spread
 from intentdeck.llm._common import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -55,9 +56,9 @@ def test_warc_hot_payload(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     archive = warc.write_archive(df)
     headers = spark.read.parquet(archive.headers)
-    hot = warc._hot(headers.groupBy("sha256").agg(F.count("*").alias("records")), headers.count())
+    hot = hot_keys(headers.groupBy("sha256").agg(F.count("*").alias("records")), ["sha256"], headers.count())
     assert hot.count() == 2  # the long and the empty payload
-    met = warc._join_spread(headers, spark.read.parquet(archive.payloads), hot, ["id", "header"], "inner")
+    met = join_spread(headers, spark.read.parquet(archive.payloads), hot, ["id", "header"], "inner")
     assert met.count() == len(rows) and spark.read.parquet(archive.payloads).count() == 303
     got = {(r.id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.parse_records(warc.read_archive(spark, archive)).collect()}
     top = {long: 897, other: 901}
@@ -150,6 +151,18 @@ def test_near_vectors_brute_force(spark, block):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_near_vectors_hot_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    v = [base if i % 3 == 0 else base * 3 + rng.normal(size=16) * 0.01 if i % 3 == 1 else rng.normal(size=16) for i in range(900)]
+    got = {r[0]: r[1:] for r in near_vectors.near_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array(v)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert links[0] >= 599 and all(got[i][0] == links[i] for i in range(900))
+    assert all(got[i][1] == 0 for i in range(900) if i % 3 < 2)
+
+
 def test_near_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors.near_vectors(df).count() == 0
