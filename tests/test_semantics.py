@@ -1,14 +1,18 @@
 """Word splitting, rejection, nulls in vectors, incremental edges, dry runs and the order of patterns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from intentdeck.engine import Engine
-from intentdeck.functions import sql
+from intentdeck.functions import sql, text
 from intentdeck.functions.text import shell_words
 from intentdeck.operators import graph, insight, knn, metrics, store
+from intentdeck.plans import catalog
 from intentdeck.schemas import ExtractionFailed, SegmentCorrupted
 from intentdeck.sources import messages, workload
+from intentdeck.streaming import ingest
+from tests.conftest import SF_SMALL
 
 
 @pytest.mark.parametrize(
@@ -123,6 +127,30 @@ def test_messages():
             messages.decode(bad)
 
 
+def test_embeddings_of_many_texts(spark):
+    texts = ["", "ls", "ünï", "x" * 300_000, *(f"cmd {k} -{'v' * (k % 40)}" for k in range(3000))]
+    assert np.array_equal(text.embed_many(texts), np.stack([text.embed_numpy(t) for t in texts])) and text.embed_many([]).shape == (0, text.DIM)
+    rows = ["ls", None, "ls", "", "git push", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "id int, t string").coalesce(1).select("t", text.embed_udf("t").alias("e"), text.classify_udf("t").alias("c")).collect()
+    assert [r.t for r in got] == rows
+    assert [r.e for r in got] == [None if t is None else text.embed_numpy(t).astype("f4").tolist() for t in rows]
+    assert [r.c for r in got] == [None if t is None else text.classify_text(t) for t in rows]
+
+
+def test_stream_batches_are_many_tasks(spark, monkeypatch):
+    """Files of the stream hold so many rows each, so that a batch is read by more tasks as the table grows; there are three batches."""
+    made = []
+    stream = ingest.command_stream
+    monkeypatch.setattr(ingest, "command_stream", lambda spark, path, schema, files: made.append((path, files)) or stream(spark, path, schema, files))
+    monkeypatch.setattr(catalog, "STREAM_ROWS", 500)
+    got = {r.raw_command: r.n for r in catalog.QUERIES["stream_ingest"](spark, SF_SMALL).collect()}
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert got == {r.event_type: r["count"] for r in events.where("event_id % 9 <> 0").groupBy("event_type").count().collect()}
+    (path, files), n = made[0], events.count()
+    rows = [r["count"] for r in spark.read.parquet(path).groupBy(F.spark_partition_id(), F.input_file_name()).count().collect()]
+    assert files == -(-n // 1500) and len(rows) == 3 * files and max(rows) <= 510
+
+
 def test_functions_in_sql(spark):
     names = sql.register(spark)
     got = spark.sql("SELECT shell_words('ls -l \"a b\"') AS w, vec_dot(array(1D, 2D), array(3D, 4D)) AS d, vec_cosine(array(0D), array(1D)) AS z, vec_dot(NULL, array(1D)) AS n, size(hash_embedding('ls')) AS e, classify_command('git push') AS c").first()
