@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentdeck.functions import vector as V
 from intentdeck.schemas import DimensionMismatch
 
-#: Rows of a block of the blocked join.
-BLOCK = 2000
+#: Rows of a block of the blocked join, until there are so many blocks that they grow instead, and bytes of a block's components as doubles at most.
+BLOCK, BLOCKS, MOST_BYTES = 8192, 24, 1 << 26
+#: Asking rows of all cells that meet in one part of the cell index.
+PART_ROWS = 1 << 17
+#: Asking rows and stored rows of one product.
+CHUNK, TILE = 512, 4096
 
 
 def check_dim(rows: DataFrame, dim: int, col: str = "v") -> tuple[DataFrame, DataFrame]:
@@ -42,11 +49,11 @@ def rerank(corpus: DataFrame, query: list[float], k: int, exclude: int | None =
     return got.orderBy(F.round("similarity", 9).desc(), "id").limit(k)
 
 
-def knn_earlier(rows: DataFrame, k: int = 5, strategy: str = "blocked", cells: int | None = None, probes: int = 6, block: int = BLOCK) -> DataFrame:
+def knn_earlier(rows: DataFrame, k: int = 5, strategy: str = "blocked", cells: int | None = None, probes: int = 6, block: int | None = None) -> DataFrame:
     """(from_id, to_id, weight): for each row (id in arrival order, v) its k most similar earlier rows, as edges earlier -> later.
 
-    native: a theta join in SQL expressions. blocked: blocks of rows meet in pairs, each pair by one matrix product,
-    and a task returns at most k rows for each later row; memory is two blocks whatever the table's size. ivf: rows meet only within cells around
+    native: a theta join in SQL expressions. blocked: blocks of rows meet in pairs, each pair by matrix products,
+    and a group returns at most k rows for each later row; memory is two blocks, of MOST_BYTES each at most. ivf: rows meet only within cells around
     sampled centres (each row searches ``probes`` cells; by default their number grows with the root of the rows, up to 4096), which is approximate. Rows whose vector is null or
     holds a null take no part, and only vectors of one dimension meet.
     """
@@ -55,10 +62,7 @@ def knn_earlier(rows: DataFrame, k: int = 5, strategy: str = "blocked", cells: i
         a, b = rows.select(F.col("id").alias("to_id"), F.col("v").alias("va")), rows.select(F.col("id").alias("from_id"), F.col("v").alias("vb"))
         pairs = b.join(a, (F.col("from_id") < F.col("to_id")) & (F.size("va") == F.size("vb"))).select("from_id", "to_id", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("weight"))
     elif strategy == "blocked":
-        blocks = max(1, -(-rows.count() // block))
-        dealt = rows.select("id", "v").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(True).alias("asks"))
-        pairs = dealt.groupBy(F.size("v").alias("dim"), "i", "j").applyInPandas(_best_earlier(k), "from_id long, to_id long, weight double")
+        pairs = _earlier(rows, rows, k, block)
     elif strategy == "ivf":
         pairs = _ivf(rows, k, cells, probes)
     else:
@@ -73,30 +77,42 @@ def complete() -> Column:
 
 def _best_of(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("to_id").orderBy(F.desc("weight"), "from_id")
-    return pairs.dropDuplicates(["from_id", "to_id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("from_id", "to_id", "weight")
+    return pairs.repartition("to_id").dropDuplicates(["from_id", "to_id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("from_id", "to_id", "weight")
 
 
-def _best_earlier(k: int):
-    def best(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def _cuts(rows: DataFrame, block: int | None) -> list[int]:
+    """Last ids of all blocks but the last: ranges of ids of about equally many rows.
 
-        b = b.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-        ids, own = b["id"].to_numpy(), b["own"].to_numpy()
-        x = np.stack(b["v"].to_list()).astype(float)
-        n = np.sqrt((x * x).sum(axis=1))
-        out = []
-        for lo in range(0, len(ids), 512):  # later rows, some at a time
-            s = (x[lo : lo + 512] @ x.T) / (n[lo : lo + 512, None] * n[None, :] + V.EPSILON)
-            s = np.round(s, 6)
-            s[ids[None, :] >= ids[lo : lo + 512, None]] = -np.inf
-            if key[1] != key[2]:
-                s[own[None, :] == own[lo : lo + 512, None]] = -np.inf
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            for r, cols in enumerate(order):
-                out += [(int(ids[c]), int(ids[lo + r]), float(s[r, c])) for c in cols if s[r, c] > -np.inf]
-        return pd.DataFrame(out, columns=["from_id", "to_id", "weight"])
+    Without ``block`` there are up to BLOCKS of BLOCK rows, then BLOCKS larger ones, so that each row is dealt out a fixed number of times, and from
+    MOST_BYTES of components in a block on ever more.
+    """
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = block or max(min(BLOCK, MOST_BYTES // (8 * max(1, dim))), min(-(-n // BLOCKS), MOST_BYTES // (8 * max(1, dim))), 1)
+    blocks = -(-n // block)
+    if blocks < 2:
+        return []
+    return sorted({int(x) for x in rows.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.1 / blocks)})
 
-    return best
+
+def _earlier(asks: DataFrame, stored: DataFrame, k: int, block: int | None) -> DataFrame:
+    """(from_id, to_id, weight): for each row of asks candidates among the stored rows of smaller id, its k best of each block among them.
+
+    Blocks are ranges of ids; a block of asks meets the blocks of stored rows that begin before its end, each in a group of its own.
+    """
+    cs = _cuts(stored, block)
+    ca = cs if asks is stored else _cuts(asks, block)
+    asks, stored = (df.select("id", "v").where(F.col("id").isNotNull()) for df in (asks, stored))
+    number = lambda cuts: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("id"))) if cuts else F.lit(0)
+    last = [bisect.bisect_left(cs, c) for c in ca] + [len(cs)]  # of the stored blocks that a block of asks meets
+    first = [bisect.bisect_left(last, s) for s in range(len(cs) + 1)]  # of the blocks of asks that meet a stored block
+    at = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), i + 1)
+    left = asks.withColumn("i", number(ca)).select("id", "v", "i", F.explode(F.sequence(F.lit(0), at(last, F.col("i")))).alias("j"), F.lit(True).alias("asks"))
+    right = stored.withColumn("j", number(cs)).select("id", "v", F.explode(F.sequence(at(first, F.col("j")), F.lit(len(ca)))).alias("i"), "j", F.lit(False).alias("asks"))
+    groups = sum(x + 1 for x in last)
+    dealt = left.unionByName(right)
+    if groups > 1:  # as many tasks as groups, however few bytes they have
+        dealt = dealt.repartition(min(2 * groups, 4000), "i", "j")
+    return dealt.groupBy(F.size("v").alias("dim"), "i", "j").applyInArrow(_best_stored(k), "from_id long, to_id long, weight double")
 
 
 def centres(rows: DataFrame, cells: int) -> list[list[float]]:
@@ -123,48 +139,93 @@ def _ivf(rows: DataFrame, k: int, cells: int | None, probes: int) -> DataFrame:
     cells = cells or min(4096, max(64, math.isqrt(rows.count())))
     at = centres(rows, cells)
     put = assign_cells(rows, at, probes)
-    stored = put.select("id", "v", F.col("near")[0].alias("cell"), F.lit(False).alias("asks"))
-    asks = put.select("id", "v", F.explode("near").alias("cell"), F.lit(True).alias("asks"))
-
-    return stored.unionByName(asks).groupBy("cell").applyInPandas(_best_stored(k), "from_id long, to_id long, weight double")
+    parts = max(1, -(-rows.count() // PART_ROWS))  # of a cell's asking rows, so that a group does not hold all of them
+    stored = put.select("id", "v", F.col("near")[0].alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"))
+    asks = put.select("id", "v", F.explode("near").alias("cell"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asks"))
+    return stored.unionByName(asks).groupBy("cell", "part").applyInArrow(_best_stored(k), "from_id long, to_id long, weight double")
 
 
 def _best_stored(k: int):
     """For each row that asks its k most similar earlier rows among those that do not."""
 
-    def best(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    def best(b: pa.Table) -> pa.Table:
         import numpy as np
 
-        q, m = b[b["asks"]].drop_duplicates("id"), b[~b["asks"]].drop_duplicates("id")
-        if not len(q) or not len(m):
-            return pd.DataFrame({"from_id": [], "to_id": [], "weight": []})
-        x, y = np.stack(q["v"].to_list()), np.stack(m["v"].to_list())
-        qi, mi = q["id"].to_numpy(), m["id"].to_numpy()
-        out, ny = [], np.linalg.norm(y, axis=1)
-        for lo in range(0, len(x), 512):
-            p = x[lo : lo + 512]
-            s = np.round((p @ y.T) / (np.linalg.norm(p, axis=1)[:, None] * ny[None, :] + V.EPSILON), 6)
-            s[mi[None, :] >= qi[lo : lo + 512, None]] = -np.inf
-            for r, cols in enumerate(np.lexsort((np.broadcast_to(mi, s.shape), -s), axis=1)[:, :k]):
-                out += [(int(mi[c]), int(qi[lo + r]), float(s[r, c])) for c in cols if s[r, c] > -np.inf]
-        return pd.DataFrame(out, columns=["from_id", "to_id", "weight"])
+        def side(asking: bool):
+            t = b.filter(b["asks"] if asking else pc.invert(b["asks"])).select(["id", "v"]).combine_chunks()
+            ids, at = np.unique(t["id"].to_numpy(), return_index=True)  # in order of ids
+            v = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
+            return ids, (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)[at].astype(float) if len(ids) else np.zeros((0, 0)))
+
+        to, frm, weight = nearest_earlier(*side(True), *side(False), k)
+        return pa.table({"from_id": frm, "to_id": to, "weight": weight})
 
     return best
 
 
+def nearest_earlier(qi, x, mi, y, k: int):
+    """(to ids, from ids, weights): for each row x[r] of id qi[r] the k rows of y (ids mi, ascending) of smaller id and greatest cosine, equal ones by id.
+
+    Tiles of y go in order of ids and grow. A pair is looked at again only if its cosine may exceed the k-th best of the tiles before; one that
+    equals it has the larger id. So a pair costs its product and one comparison, whatever the number of copies.
+    """
+    import numpy as np
+
+    with np.errstate(all="ignore"):
+        nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+        ux, uy = x / np.where(nx > 0, nx, 1)[:, None], y / np.where(ny > 0, ny, 1)[:, None]
+        least = (nx[nx > 0].min() if (nx > 0).any() else 1.0) * (ny[ny > 0].min() if (ny > 0).any() else 1.0)
+        shrink = least / (least + V.EPSILON)  # a cosine with the epsilon is at least this part of one without
+        out = []
+        for lo in range(0, len(x), CHUNK):
+            q, u, n = x[lo : lo + CHUNK], ux[lo : lo + CHUNK], nx[lo : lo + CHUNK]
+            end = np.searchsorted(mi, qi[lo : lo + CHUNK])  # so many rows of y are earlier
+            w, ids, floor = np.full((len(q), k), -np.inf), np.zeros((len(q), k), "i8"), np.full(len(q), -np.inf)
+
+            def take(s, c0: int) -> None:
+                r, c = np.divmod(np.flatnonzero(s > floor[:, None]), s.shape[1])
+                some = c + c0 < end[r]
+                r, c = r[some], c[some]
+                if len(r) > 32 * len(q) and s.shape[1] > 64:  # in halves, the second with what the first found
+                    half = s.shape[1] // 2
+                    take(s[:, :half], c0)
+                    take(s[:, half:], c0 + half)
+                    return
+                if not len(r):
+                    return
+                c += c0
+                got = np.round(np.einsum("ij,ij->i", q[r], y[c]) / (n[r] * ny[c] + V.EPSILON), 6)
+                hit = np.unique(r)
+                rr, ww, ii = np.r_[np.repeat(hit, k), r], np.r_[w[hit].ravel(), got], np.r_[ids[hit].ravel(), mi[c]]
+                rr, ww, ii = (z[ww > -np.inf] for z in (rr, ww, ii))
+                order = np.lexsort((ii, -ww, rr))
+                rr, ww, ii = rr[order], ww[order], ii[order]
+                place = np.arange(len(rr)) - np.searchsorted(rr, rr)
+                kept = place < k
+                w[hit] = -np.inf
+                w[rr[kept], place[kept]], ids[rr[kept], place[kept]] = ww[kept], ii[kept]
+                kth = w[hit, k - 1] + 4e-7  # what rounds to more than the k-th best is above this
+                floor[hit] = np.where(kth < 0, kth / shrink - 1e-9, kth)
+
+            c0, last = 0, int(end.max(initial=0))
+            while c0 < last:
+                c1 = min(last, c0 + min(TILE, max(64, c0)))
+                take(u @ uy[c0:c1].T, c0)
+                c0 = c1
+            r, p = np.nonzero(w > -np.inf)
+            out.append((qi[lo + r], ids[r, p], w[r, p]))
+        if not out:
+            return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
 def form_edges(rows: DataFrame, k: int = 5, **how) -> DataFrame:
     """Edges existing -> new of relation Causal (0), weighted by cosine."""
     return knn_earlier(rows, k, **how).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
 
 
-def form_edges_incremental(history: DataFrame, batch: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def form_edges_incremental(history: DataFrame, batch: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """The edges that form_edges gives for the rows of batch (ids after those of history), without redoing history: rows of batch ask, block by
     block, and rows of history are only searched."""
     asks, stored = batch.select("id", "v").where(complete()), history.select("id", "v").unionByName(batch.select("id", "v")).where(complete())
-    n, m = (max(1, -(-df.count() // block)) for df in (asks, stored))
-    part = lambda df, k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = asks.select("id", "v", part(asks, n).alias("i"), every(m).alias("j"), F.lit(True).alias("asks"))
-    right = stored.select("id", "v", every(n).alias("i"), part(stored, m).alias("j"), F.lit(False).alias("asks"))
-    pairs = left.unionByName(right).groupBy(F.size("v").alias("dim"), "i", "j").applyInPandas(_best_stored(k), "from_id long, to_id long, weight double")
-    return _best_of(pairs, k).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
+    return _best_of(_earlier(asks, stored, k, block), k).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from intentdeck.engine import Engine
 from intentdeck.functions import sql, text
+from intentdeck.functions.vector import EPSILON
 from intentdeck.functions.text import shell_words
 from intentdeck.operators import graph, insight, knn, metrics, store
 from intentdeck.plans import catalog
@@ -55,6 +56,48 @@ def test_edges_with_null_and_ragged_vectors(spark):
     assert sorted(map(tuple, got.collect())) == [e for e in want if e[1] >= 40]
 
 
+def by_hand(ids, v, asks, k):
+    out = set()
+    with np.errstate(all="ignore"):
+        for q in asks:
+            s = np.round(v @ v[q] / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q]) + EPSILON), 6)
+            c = np.flatnonzero((ids < ids[q]) & ~np.isnan(s))
+            out |= {(int(ids[q]), int(ids[j]), float(s[j])) for j in c[np.lexsort((ids[c], -s[c]))][:k]}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "odd", "opposed", "tiny", "coarse", "rising"])
+def test_nearest_earlier(kind):
+    """The tiled search against all pairs, with large groups of copies, zeros, values that are not finite, and neighbours that get ever better."""
+    rng = np.random.default_rng(7)
+    ids, v = np.sort(rng.choice(10**6, 2500, replace=False)), rng.normal(size=(2500, 8))
+    if kind == "copies":
+        v[rng.random(2500) < 0.6] = v[0]
+    elif kind == "odd":
+        v[5], v[6, 0], v[7, 1] = 0, np.nan, np.inf
+        v[:100] *= 1e-5
+    elif kind == "opposed":
+        v = np.abs(v) * np.where(np.arange(2500) % 2, 1, -1)[:, None]
+    elif kind == "tiny":
+        v *= 1e-4
+    elif kind == "coarse":
+        v = np.round(v[:, :2])
+    elif kind == "rising":
+        v = np.stack([np.cos(np.linspace(3, 0, 2500)), np.sin(np.linspace(3, 0, 2500))], axis=1)
+    asks = rng.permutation(2500)[:1500]
+    got = knn.nearest_earlier(ids[asks], v[asks], ids, v, 5)
+    assert set(zip(*[z.tolist() for z in got], strict=True)) == by_hand(ids, v, asks, 5)
+
+
+def test_rows_are_dealt_out_a_fixed_number_of_times(spark, monkeypatch):
+    """Blocks grow with the table, so that the rows shuffled grow as it does; up to a block's bytes, from which on there are more."""
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    rows = lambda n: spark.range(n).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert [len(knn._cuts(rows(n), None)) + 1 for n in (0, 100, 101, 1000, 24_000, 240_000)] == [1, 1, 2, 10, 24, 24]
+    monkeypatch.setattr(knn, "MOST_BYTES", 16 * 1000)
+    assert len(knn._cuts(rows(240_000), None)) + 1 == 240
+
+
 def test_dry_run_and_execute(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "s"))
     a, b = engine.ingest_many([("deploy ${HOST}", None), ("deploy ${HOST} again", None)])
