@@ -1,6 +1,7 @@
 """Word splitting, rejection, nulls in vectors, incremental edges, dry runs and the order of patterns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,16 @@ def test_rows_are_dealt_out_a_fixed_number_of_times(spark, monkeypatch):
     assert len(knn._cuts(rows(240_000), None)) + 1 == 240
 
 
+def test_batches_deal_out_few_rows(spark, monkeypatch):
+    """What meets in groups when a batch asks and history is searched: each row as often as the other side has blocks, and no more blocks than BLOCKS."""
+    monkeypatch.setattr(knn, "BLOCK", 10)
+    monkeypatch.setattr(knn, "BLOCKS", 4)
+    monkeypatch.setattr(knn, "_best_stored", lambda k: lambda b: pa.table({"from_id": [b.num_rows], "to_id": [0], "weight": [0.0]}))
+    rows = spark.range(1200).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    met = knn._earlier(rows.where("id >= 800"), rows, 5, None).agg(F.sum("from_id")).first()[0]
+    assert met <= 5 * (400 + 1200)
+
+
 def test_dry_run_and_execute(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "s"))
     a, b = engine.ingest_many([("deploy ${HOST}", None), ("deploy ${HOST} again", None)])
