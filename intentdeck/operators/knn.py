@@ -224,6 +224,14 @@ def form_edges(rows: DataFrame, k: int = 5, **how) -> DataFrame:
     return knn_earlier(rows, k, **how).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
 
 
+def form_edges_to(rows: DataFrame, asks: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
+    """The edges of form_edges() that end in a node of asks (node): only these ask, so the work is that of so many searches among rows before the last of them."""
+    rows = rows.select("id", "v").where(complete())
+    some = rows.join(asks.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    last = some.agg(F.max("id")).first()[0]
+    return _best_of(_earlier(some, rows.where(F.col("id") < F.lit(last)), k, block), k).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
+
+
 def form_edges_incremental(history: DataFrame, batch: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """The edges that form_edges gives for the rows of batch (ids after those of history), without redoing history: rows of batch ask, block by
     block, and rows of history are only searched."""

@@ -99,6 +99,19 @@ def test_rows_are_dealt_out_a_fixed_number_of_times(spark, monkeypatch):
     assert len(knn._cuts(rows(240_000), None)) + 1 == 240
 
 
+def test_edges_to_some_nodes(spark, monkeypatch):
+    """Edges of the nodes asked for, without those of others, are those of the whole table; so are the steps backward over them."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 4), (302, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").cache()
+    every = knn.form_edges(df, 5, strategy="native").cache()
+    nodes = lambda ids: spark.createDataFrame([(i,) for i in ids], "node long")
+    asks = [0, 1, 3, 77, 77, 299, 300, 301, 302, 999]
+    for block in (None, 40):
+        assert sorted(knn.form_edges_to(df, nodes(asks), 5, block).collect()) == sorted(every.where(F.col("to_id").isin(asks)).collect())
+    assert knn.form_edges_to(df, nodes([])).count() == 0
+
+
 def test_batches_deal_out_few_rows(spark, monkeypatch):
     """What meets in groups when a batch asks and history is searched: each row as often as the other side has blocks, and no more blocks than BLOCKS."""
     monkeypatch.setattr(knn, "BLOCK", 10)
