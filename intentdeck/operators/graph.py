@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intentdeck.functions.text import substitute_vars
@@ -14,13 +15,17 @@ from intentdeck.shared import discard, materialize
 
 
 def _bfs(edges: DataFrame, start: int, depth: int, src: str, dst: str) -> DataFrame:
-    spark = edges.sparkSession
     # only nodes are carried; a level is one join of the frontier with the edges and one anti-join
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
+    return _levels(edges.sparkSession, lambda frontier: steps.join(frontier, "node", "left_semi").select("next"), start, depth)
+
+
+def _levels(spark: SparkSession, step: Callable[[DataFrame], DataFrame], start: int, depth: int) -> DataFrame:
+    """(node, depth) of what depth steps reach; step gives the nodes (next) that follow those of a frontier (node)."""
     seen = materialize(spark.createDataFrame([(start, 0)], "node long, depth int"), "bfs")
     for level in range(1, depth + 1):
         frontier = seen.where(F.col("depth") == level - 1)
-        new = steps.join(frontier, "node", "left_semi").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = step(frontier.select("node")).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
         grown = materialize(seen.unionByName(new.withColumn("depth", F.lit(level))), "bfs")
         discard(seen)
         seen = grown
@@ -38,6 +43,11 @@ def bfs_backward(edges: DataFrame, start: int, depth: int) -> DataFrame:
     return _bfs(edges, start, depth, "to_id", "from_id")
 
 
+def bfs_backward_by(edges_to: Callable[[DataFrame], DataFrame], spark: SparkSession, start: int, depth: int) -> DataFrame:
+    """bfs_backward() where edges are made as they are asked for: edges_to gives those that end in the nodes (node) of a frontier."""
+    return _levels(spark, lambda frontier: edges_to(frontier).select(F.col("from_id").alias("next")), start, depth)
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id").unionByName(edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
 

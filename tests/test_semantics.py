@@ -110,6 +110,10 @@ def test_edges_to_some_nodes(spark, monkeypatch):
     for block in (None, 40):
         assert sorted(knn.form_edges_to(df, nodes(asks), 5, block).collect()) == sorted(every.where(F.col("to_id").isin(asks)).collect())
     assert knn.form_edges_to(df, nodes([])).count() == 0
+    asked = []
+    to = lambda frontier: asked.append({r.node for r in frontier.collect()}) or knn.form_edges_to(df, frontier)
+    assert sorted(graph.bfs_backward_by(to, spark, 250, 2).collect()) == sorted(graph.bfs_backward(every, 250, 2).collect())
+    assert asked == [{250}, {r.from_id for r in every.where("to_id = 250").collect()}]
 
 
 def test_batches_deal_out_few_rows(spark, monkeypatch):
