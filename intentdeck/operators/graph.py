@@ -79,7 +79,12 @@ def predecessors(edges: DataFrame, node: int) -> DataFrame:
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    return counts_with(nodes, edges.agg(F.count("*").alias("edges")))
+
+
+def counts_with(nodes: DataFrame, edge_count: DataFrame) -> DataFrame:
+    """counts() with a row (edges) that already says how many edges there are."""
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edge_count)
 
 
 def out_degree(edges: DataFrame) -> DataFrame:

@@ -232,6 +232,18 @@ def form_edges_to(rows: DataFrame, asks: DataFrame, k: int = 5, block: int | Non
     return _best_of(_earlier(some, rows.where(F.col("id") < F.lit(last)), k, block), k).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
 
 
+def count_edges(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(edges): how many form_edges() gives. A row has as many as there are earlier ones of its dimension, k at most, whichever they are, so none is compared.
+
+    A row with a component that is not finite has no cosine with any, hence no edge.
+    """
+    bad = lambda x: x.isNull() | F.isnan(x) | F.abs(x).isin(float("inf"))
+    ok = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad))
+    n = ok.select("id", F.size("v").alias("dim")).distinct().groupBy("dim").agg(F.count("*").alias("n"))
+    most = F.least("n", F.lit(k))  # rows before the k-th have fewer
+    return n.agg(F.coalesce(F.sum(k * (F.col("n") - most) + F.floor(most * (most - 1) / 2)), F.lit(0)).cast("long").alias("edges"))
+
+
 def form_edges_incremental(history: DataFrame, batch: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """The edges that form_edges gives for the rows of batch (ids after those of history), without redoing history: rows of batch ask, block by
     block, and rows of history are only searched."""

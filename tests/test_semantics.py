@@ -116,6 +116,27 @@ def test_edges_to_some_nodes(spark, monkeypatch):
     assert asked == [{250}, {r.from_id for r in every.where("to_id = 250").collect()}]
 
 
+def test_queries_of_few_edges_do_not_make_all(spark, monkeypatch):
+    """predecessors, bfs_backward, status and graph_counts on a table of which nothing asks for all edges."""
+    want = {name: sorted(catalog.QUERIES[name](spark, SF_SMALL).collect()) for name in ("predecessors", "bfs_backward", "status", "graph_counts")}
+    every = catalog.edges_of(spark, SF_SMALL)
+    assert want["predecessors"] == sorted(graph.predecessors(every, 300).collect()) and want["bfs_backward"] == sorted(graph.bfs_backward(every, 480, 2).collect())
+    assert want["status"][0].edges == want["graph_counts"][0].edges == every.count()
+    monkeypatch.setattr(catalog, "edges_of", None)
+    monkeypatch.setattr(knn, "form_edges", None)
+    for name, rows in want.items():
+        assert sorted(catalog.QUERIES[name](spark, SF_SMALL).collect()) == rows
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3, 5, 6, 40])
+def test_edges_are_counted_without_being_made(spark, rows):
+    made = [(i, [float(i % 7), 1.0, -0.5]) for i in range(rows)] + [(50, None), (51, [1.0, None, 2.0]), (52, [0.0] * 3), (53, [1.0, 2.0]), (54, [2.0, 1.0])]
+    made += [(55, [float("nan"), 1.0, 1.0]), (56, [float("inf"), 1.0, 0.0]), (52, [0.0] * 3), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(made, "id long, v array<double>")
+    assert knn.count_edges(df).first().edges == knn.form_edges(df).count()
+    assert knn.count_edges(df.where("id = 50")).first().edges == 0
+
+
 def test_batches_deal_out_few_rows(spark, monkeypatch):
     """What meets in groups when a batch asks and history is searched: each row as often as the other side has blocks, and no more blocks than BLOCKS."""
     monkeypatch.setattr(knn, "BLOCK", 10)
