@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 DIM = 384
 
@@ -95,14 +96,31 @@ def tokens(raw: str) -> list[dict]:
     return out
 
 
-@pandas_udf(WORDS_TYPE)
-def shell_words_udf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda r: None if r is None else shell_words(r))
+#: Characters and rows of a batch whose words are Python objects at once.
+SLICE_CHARS, SLICE_ROWS = 1 << 18, 256
 
 
-@pandas_udf(TOKEN_TYPE)
-def tokens_udf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda r: None if r is None else tokens(r))
+def in_slices(raw: pa.Array, f: Callable[[str], list], kind: T.DataType) -> pa.Array:
+    """f of each text, null for null; what it gives goes into Arrow after every few rows, as words take ten times the room of their text in Python."""
+    to, out, some, chars = to_arrow_type(kind), [], [], 0
+    for r in raw:
+        text = r.as_py()
+        some.append(None if text is None else f(text))
+        chars += len(text or "")
+        if chars >= SLICE_CHARS or len(some) >= SLICE_ROWS:
+            out.append(pa.array(some, to))
+            some, chars = [], 0
+    return pa.concat_arrays([*out, pa.array(some, to)])
+
+
+@arrow_udf(WORDS_TYPE)
+def shell_words_udf(raw: pa.Array) -> pa.Array:
+    return in_slices(raw, shell_words, WORDS_TYPE)
+
+
+@arrow_udf(TOKEN_TYPE)
+def tokens_udf(raw: pa.Array) -> pa.Array:
+    return in_slices(raw, tokens, TOKEN_TYPE)
 
 
 def embed_numpy(text: str, dim: int = DIM):

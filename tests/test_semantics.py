@@ -1,5 +1,7 @@
 """Word splitting, rejection, nulls in vectors, incremental edges, dry runs and the order of patterns."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -229,6 +231,19 @@ def test_embeddings_of_many_texts(spark):
     assert [r.c for r in got] == [None if t is None else text.classify_text(t) for t in rows]
 
 
+def test_words_of_a_batch_are_held_a_few_rows_at_a_time():
+    """Python's peak memory over a batch of 10 000 commands is a small part of what their tokens take as objects; the tokens are the same."""
+    raw = pa.array([None, "", *(f"cmd{k} -x{k} 'a b' | grep {k} >> out" for k in range(10_000))])
+    tracemalloc.start()
+    got = text.in_slices(raw, text.tokens, text.TOKEN_TYPE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    assert got.to_pylist() == [None if r is None else text.tokens(r) for r in raw.to_pylist()]
+    assert text.in_slices(raw[:0], text.shell_words, text.WORDS_TYPE).to_pylist() == []
+    assert text.in_slices(raw[:9], text.shell_words, text.WORDS_TYPE).to_pylist() == [None if r is None else text.shell_words(r) for r in raw[:9].to_pylist()]
+
+
 def test_stream_batches_are_many_tasks(spark, monkeypatch):
     """Files of the stream hold so many rows each, so that a batch is read by more tasks as the table grows; there are three batches."""
     made = []
