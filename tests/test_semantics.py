@@ -149,6 +149,29 @@ def test_batches_deal_out_few_rows(spark, monkeypatch):
     assert met <= 5 * (400 + 1200)
 
 
+def test_cells_in_parts(spark, monkeypatch):
+    """The asking rows of a cell are dealt out over parts, so that no group holds all of them; the edges are the same."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "id long, v array<double>").cache()
+    want = sorted(knn.knn_earlier(df, 5, "ivf", cells=4, probes=2).collect())
+    met, best = spark.sparkContext.accumulator(0), knn._best_stored
+    monkeypatch.setattr(knn, "PART_ROWS", 50)
+    assert sorted(knn.knn_earlier(df, 5, "ivf", cells=4, probes=2).collect()) == want
+
+    def few(k):
+        f = best(k)
+
+        def checked(b):
+            met.add(1)
+            assert sum(b["asks"].to_pylist()) <= 50
+            return f(b)
+
+        return checked
+
+    monkeypatch.setattr(knn, "_best_stored", few)
+    assert sorted(knn.knn_earlier(df, 5, "ivf", cells=4, probes=2).collect()) == want and met.value > 16
+
+
 def test_dry_run_and_execute(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "s"))
     a, b = engine.ingest_many([("deploy ${HOST}", None), ("deploy ${HOST} again", None)])
