@@ -149,6 +149,16 @@ def test_batches_deal_out_few_rows(spark, monkeypatch):
     assert met <= 5 * (400 + 1200)
 
 
+def test_whole_table_deals_out_few_rows(spark, monkeypatch):
+    """The edges that replay_commands and the narratives walk: each row meets the blocks before and after its own once, however long the table."""
+    monkeypatch.setattr(knn, "BLOCK", 10)
+    monkeypatch.setattr(knn, "BLOCKS", 4)
+    monkeypatch.setattr(knn, "_best_stored", lambda k: lambda b: pa.table({"from_id": [b.num_rows], "to_id": [0], "weight": [0.0]}))
+    rows = spark.range(1200).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    groups = [r.from_id for r in knn._earlier(rows, rows, 5, None).collect()]
+    assert len(groups) == 10 and sum(groups) <= 5 * 1200 * 1.1 and max(groups) <= 2 * 300 * 1.2
+
+
 def test_cells_in_parts(spark, monkeypatch):
     """The asking rows of a cell are dealt out over parts, so that no group holds all of them; the edges are the same."""
     rng = np.random.default_rng(4)
