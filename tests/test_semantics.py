@@ -159,6 +159,20 @@ def test_whole_table_deals_out_few_rows(spark, monkeypatch):
     assert len(groups) == 10 and sum(groups) <= 5 * 1200 * 1.1 and max(groups) <= 2 * 300 * 1.2
 
 
+def test_replay_over_copies(spark, monkeypatch):
+    """The plan and the narrative over edges of several blocks, with a large group of copies, are those over edges made pair by pair."""
+    monkeypatch.setattr(knn, "BLOCK", 30)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(120, 3))
+    v[rng.random(120) < 0.5] = v[2]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
+    commands = df.select("id", F.col("id").cast("string").alias("command"))
+    nodes = df.select(F.col("id").alias("node"))
+    native, blocked = (knn.form_edges(df, 5, strategy=s).cache() for s in ("native", "blocked"))
+    for walk in (lambda e: graph.replay(nodes, e, commands, 100, 2), lambda e: graph.narrative_edges(e, 7, 2)):
+        assert sorted(map(str, walk(blocked).collect())) == sorted(map(str, walk(native).collect()))
+
+
 def test_cells_in_parts(spark, monkeypatch):
     """The asking rows of a cell are dealt out over parts, so that no group holds all of them; the edges are the same."""
     rng = np.random.default_rng(4)
