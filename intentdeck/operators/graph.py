@@ -43,6 +43,15 @@ def bfs_backward(edges: DataFrame, start: int, depth: int) -> DataFrame:
     return _bfs(edges, start, depth, "to_id", "from_id")
 
 
+#: Makes the edges that begin, or that end, in the nodes (node) of a table.
+Edges = Callable[[DataFrame], DataFrame]
+
+
+def bfs_forward_by(edges_from: Edges, spark: SparkSession, start: int, depth: int) -> DataFrame:
+    """bfs_forward() where edges are made as they are asked for: edges_from gives those that begin in the nodes (node) of a frontier."""
+    return _levels(spark, lambda frontier: edges_from(frontier).select(F.col("to_id").alias("next")), start, depth)
+
+
 def bfs_backward_by(edges_to: Callable[[DataFrame], DataFrame], spark: SparkSession, start: int, depth: int) -> DataFrame:
     """bfs_backward() where edges are made as they are asked for: edges_to gives those that end in the nodes (node) of a frontier."""
     return _levels(spark, lambda frontier: edges_to(frontier).select(F.col("from_id").alias("next")), start, depth)
@@ -57,6 +66,11 @@ def narrative_nodes(edges: DataFrame, root: int, depth: int) -> DataFrame:
     return _bfs(_both_ways(edges), root, depth, "from_id", "to_id")
 
 
+def narrative_nodes_by(edges_from: Edges, edges_to: Edges, spark: SparkSession, root: int, depth: int) -> DataFrame:
+    """narrative_nodes() where edges are made as they are asked for."""
+    return _levels(spark, lambda frontier: edges_from(frontier).select(F.col("to_id").alias("next")).unionByName(edges_to(frontier).select(F.col("from_id").alias("next"))), root, depth)
+
+
 def narrative_edges(edges: DataFrame, root: int, depth: int, distinct: bool = False) -> DataFrame:
     """All out-edges and all in-edges of every node within depth - 1 steps: an edge between two of them appears twice."""
     inner = narrative_nodes(edges, root, depth).where(F.col("depth") < depth).select("node")
@@ -64,6 +78,13 @@ def narrative_edges(edges: DataFrame, root: int, depth: int, distinct: bool = Fa
     return out.distinct() if distinct else out
 
 
+def narrative_edges_by(edges_from: Edges, edges_to: Edges, spark: SparkSession, root: int, depth: int, distinct: bool = False) -> DataFrame:
+    """narrative_edges() where edges are made as they are asked for."""
+    inner = narrative_nodes_by(edges_from, edges_to, spark, root, max(0, depth - 1)).where(F.col("depth") < depth).select("node")
+    out = edges_from(inner).unionByName(edges_to(inner))
+    return out.distinct() if distinct else out
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in nodes (node)."""
     n = nodes.select("node").distinct()
@@ -168,6 +189,14 @@ def replay(nodes: DataFrame, edges: DataFrame, commands: DataFrame, root: int, d
     return build_plan(bfs_forward(edges, root, depth).select("node"), edges, commands)
 
 
+def replay_by(nodes: DataFrame, edges_from: Edges, edges_to: Edges, commands: DataFrame, root: int, depth: int) -> DataFrame:
+    """replay() where edges are made as they are asked for: those that steps follow, then those that end in what was reached."""
+    if nodes.where(F.col("node") == root).isEmpty():
+        raise NodeNotFound(str(root))
+    reached = bfs_forward_by(edges_from, nodes.sparkSession, root, depth).select("node")
+    return build_plan(reached, materialize(induced(edges_to(reached), reached), "edges"), commands)
+
+
 def filter_completed(plan: DataFrame, completed: DataFrame) -> DataFrame:
     return plan.join(completed.select(F.col("id").alias("intent_id")), "intent_id", "left_anti").select(*plan.columns)
 

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from intentdeck.functions import vector as V
 from intentdeck.schemas import DimensionMismatch
+from intentdeck.shared import discard, materialize
 
 #: Rows of a block of the blocked join, until there are so many blocks that they grow instead, and bytes of a block's components as doubles at most.
 BLOCK, BLOCKS, MOST_BYTES = 8192, 24, 1 << 26
 #: Asking rows of all cells that meet in one part of the cell index.
 PART_ROWS = 1 << 17
+#: For edges that begin in given nodes: rows of the first sample, at least and at most, and for each node; how much larger the next sample is; and
+#: of how few open rows no more are ruled out.
+SAMPLE, MOST_SAMPLE, SAMPLE_EACH, GROWTH, FEW = 4096, 65_536, 64, 16, 256
 #: Asking rows and stored rows of one product.
 CHUNK, TILE = 512, 4096
 
@@ -145,19 +149,21 @@ def _ivf(rows: DataFrame, k: int, cells: int | None, probes: int) -> DataFrame:
     return stored.unionByName(asks).groupBy("cell", "part").applyInArrow(_best_stored(k), "from_id long, to_id long, weight double")
 
 
+def _matrix(b: pa.Table):
+    """Ids in order, and their vectors."""
+    import numpy as np
+
+    t = b.select(["id", "v"]).combine_chunks()
+    ids, at = np.unique(t["id"].to_numpy(), return_index=True)
+    v = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
+    return ids, (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)[at].astype(float) if len(ids) else np.zeros((0, 0)))
+
+
 def _best_stored(k: int):
     """For each row that asks its k most similar earlier rows among those that do not."""
 
     def best(b: pa.Table) -> pa.Table:
-        import numpy as np
-
-        def side(asking: bool):
-            t = b.filter(b["asks"] if asking else pc.invert(b["asks"])).select(["id", "v"]).combine_chunks()
-            ids, at = np.unique(t["id"].to_numpy(), return_index=True)  # in order of ids
-            v = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
-            return ids, (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)[at].astype(float) if len(ids) else np.zeros((0, 0)))
-
-        to, frm, weight = nearest_earlier(*side(True), *side(False), k)
+        to, frm, weight = nearest_earlier(*_matrix(b.filter(b["asks"])), *_matrix(b.filter(pc.invert(b["asks"]))), k)
         return pa.table({"from_id": frm, "to_id": to, "weight": weight})
 
     return best
@@ -227,11 +233,78 @@ def form_edges(rows: DataFrame, k: int = 5, **how) -> DataFrame:
 def form_edges_to(rows: DataFrame, asks: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """The edges of form_edges() that end in a node of asks (node): only these ask, so the work is that of so many searches among rows before the last of them."""
     rows = rows.select("id", "v").where(complete())
-    some = rows.join(asks.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    return _edges_into(rows, rows.join(asks.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), k, block)
+
+
+def _edges_into(rows: DataFrame, some: DataFrame, k: int, block: int | None) -> DataFrame:
     last = some.agg(F.max("id")).first()[0]
     return _best_of(_earlier(some, rows.where(F.col("id") < F.lit(last)), k, block), k).select("from_id", "to_id", F.lit(0).alias("relation"), "weight")
 
 
+def form_edges_from(rows: DataFrame, asks: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
+    """The edges of form_edges() that begin in a node of asks (node), without making the others.
+
+    A row is open, it may end such an edge, until k earlier rows are found that come before the best node of asks for it. They are looked for in samples
+    of the rows, each GROWTH times the one before, which leave about k rows open for each node and sample row that a row of the table stands for; only what
+    is open in the end searches all. So the work is that of the rows times the nodes, times the logarithm of the rows; samples rule out, they do not decide.
+    """
+    rows = rows.select("id", "v").where(complete() & F.col("id").isNotNull())
+    nodes = asks.select(F.col("node").alias("id")).distinct()
+    some = rows.join(nodes, "id", "left_semi")
+    asked, first = some.agg(F.count("*"), F.min("id")).first()
+    n = rows.count()
+    is_open = rows.where(F.col("id") > F.lit(first))
+    size = min(MOST_SAMPLE, max(SAMPLE, SAMPLE_EACH * asked))
+    sample = lambda: rows.where(F.pmod(F.xxhash64("id"), F.lit(n // size)) == 0)
+    if asked and 2 * size <= n:
+        is_open = materialize(_open(is_open, some, sample(), k, max(1, n // max(2 * BLOCK, size)), -(-asked // MOST_SAMPLE)), "open")
+        while 2 * (size := size * GROWTH) <= n and is_open.count() > FEW:
+            found = _best_of(_earlier(is_open, sample(), k, block), k).groupBy(F.col("to_id").alias("id"))
+            worst = found.agg(F.count("*").alias("n"), F.min(F.struct("weight", (-F.col("from_id")).alias("minus"))).alias("worst"))
+            closed = is_open.join(worst, "id").where((F.col("n") == k) & (F.col("worst") > F.struct("weight", (-F.col("from_id")).alias("minus"))))
+            still = materialize(is_open.join(closed.select("id"), "id", "left_anti"), "open")
+            discard(is_open)
+            is_open = still
+    return _edges_into(rows, is_open.select("id", "v"), k, block).join(nodes.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "relation", "weight")
+
+
+def _open(rows: DataFrame, some: DataFrame, sample: DataFrame, k: int, groups: int, parts: int) -> DataFrame:
+    """(id, v, from_id, weight): the rows for which fewer than k of the earlier rows of sample come before the best earlier row of some, and that row.
+
+    Rows are dealt to groups, some to parts; a group of a part holds all of the sample.
+    """
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = (
+        rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).select("id", "v", "i", number(parts).alias("p"), F.lit(0).alias("role"))
+        .unionByName(some.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).select("id", "v", number(groups).alias("i"), "p", F.lit(1).alias("role")))
+        .unionByName(sample.withColumn("p", number(parts)).select("id", "v", number(groups).alias("i"), "p", F.lit(2).alias("role")))
+    )
+
+    def rule_out(b: pa.Table) -> pa.Table:
+        import numpy as np
+
+        (ids, x), asked, others = (_matrix(b.filter(pc.equal(b["role"], role))) for role in range(3))
+        to, best, weight = nearest_earlier(ids, x, *asked, 1)
+        at = np.searchsorted(ids, to)
+        end, frm, w = nearest_earlier(to, x[at], *others, k)  # a row's lie together, the best first
+        count = np.bincount(np.searchsorted(to, end), minlength=len(to))
+        full = np.flatnonzero(count == k)
+        worst = np.cumsum(count)[full] - 1
+        closed = np.zeros(len(to), bool)
+        closed[full] = (w[worst] > weight[full]) | ((w[worst] == weight[full]) & (frm[worst] < best[full]))
+        at, keep = at[~closed], ~closed
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype="i4") * x.shape[1]), pa.array(x[at].ravel()))
+        return pa.table({"id": to[keep], "v": v, "from_id": best[keep], "weight": weight[keep]})
+
+    if groups * parts > 1:
+        dealt = dealt.repartition(min(2 * groups * parts, 4000), "i", "p")
+    got = dealt.groupBy(F.size("v").alias("dim"), "i", "p").applyInArrow(rule_out, "id long, v array<double>, from_id long, weight double")
+    if parts > 1:
+        best = F.max_by(F.struct("v", "from_id", "weight"), F.struct("weight", (-F.col("from_id")).alias("minus"))).alias("best")
+        got = got.groupBy("id").agg(best).select("id", "best.*")
+    return got
+
+
 def count_edges(rows: DataFrame, k: int = 5) -> DataFrame:
     """(edges): how many form_edges() gives. A row has as many as there are earlier ones of its dimension, k at most, whichever they are, so none is compared.
 
