@@ -17,7 +17,9 @@ from intentdeck.schemas import DimensionMismatch
 from intentdeck.shared import discard, materialize
 
 #: Rows of a block of the blocked join, until there are so many blocks that they grow instead, and bytes of a block's components as doubles at most.
-BLOCK, BLOCKS, MOST_BYTES = 8192, 24, 1 << 26
+BLOCK, BLOCKS, MOST_BYTES = 1024, 24, 1 << 26
+#: Pairs of blocks that meet, about, if blocks are not too large for it: the fewer they are, the fewer times a row is dealt out.
+MEETINGS = 48
 #: Asking rows of all cells that meet in one part of the cell index.
 PART_ROWS = 1 << 17
 #: For edges that begin in given nodes: rows of the first sample, at least and at most, and for each node; how much larger the next sample is; and
@@ -84,15 +86,23 @@ def _best_of(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.repartition("to_id").dropDuplicates(["from_id", "to_id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("from_id", "to_id", "weight")
 
 
-def _cuts(rows: DataFrame, block: int | None) -> list[int]:
+def _size(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and the largest dimension."""
+    return tuple(rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first())
+
+
+def _cuts(rows: DataFrame, block: int | None, size: tuple[int, int] | None = None, most: int = 0) -> list[int]:
     """Last ids of all blocks but the last: ranges of ids of about equally many rows.
 
     Without ``block`` there are up to BLOCKS of BLOCK rows, then BLOCKS larger ones, so that each row is dealt out a fixed number of times, and from
-    MOST_BYTES of components in a block on ever more.
+    MOST_BYTES of components in a block on ever more. With ``most`` there are no more than that, as far as those bytes allow.
     """
-    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    block = block or max(min(BLOCK, MOST_BYTES // (8 * max(1, dim))), min(-(-n // BLOCKS), MOST_BYTES // (8 * max(1, dim))), 1)
+    n, dim = size or _size(rows)
+    fit = max(1, MOST_BYTES // (8 * max(1, dim)))
+    block = block or max(min(BLOCK, fit), min(-(-n // BLOCKS), fit))
     blocks = -(-n // block)
+    if most:
+        blocks = max(min(blocks, most), -(-n // fit))
     if blocks < 2:
         return []
     return sorted({int(x) for x in rows.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.1 / blocks)})
@@ -103,8 +113,15 @@ def _earlier(asks: DataFrame, stored: DataFrame, k: int, block: int | None) -> D
 
     Blocks are ranges of ids; a block of asks meets the blocks of stored rows that begin before its end, each in a group of its own.
     """
-    cs = _cuts(stored, block)
-    ca = cs if asks is stored else _cuts(asks, block)
+    if block:
+        cs = _cuts(stored, block)
+        ca = cs if asks is stored else _cuts(asks, block)
+    elif asks is stored:  # half of all pairs meet
+        ca = cs = _cuts(stored, None, None, math.isqrt(2 * MEETINGS))
+    else:  # blocks of either side of about equally many rows deal out the fewest
+        na, ns = _size(asks), _size(stored)
+        most = max(1, round(math.sqrt(MEETINGS * na[0] / max(1, ns[0]))))
+        ca, cs = _cuts(asks, None, na, most), _cuts(stored, None, ns, -(-MEETINGS // most))
     asks, stored = (df.select("id", "v").where(F.col("id").isNotNull()) for df in (asks, stored))
     number = lambda cuts: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("id"))) if cuts else F.lit(0)
     last = [bisect.bisect_left(cs, c) for c in ca] + [len(cs)]  # of the stored blocks that a block of asks meets
@@ -257,7 +274,7 @@ def form_edges_from(rows: DataFrame, asks: DataFrame, k: int = 5, block: int | N
     size = min(MOST_SAMPLE, max(SAMPLE, SAMPLE_EACH * asked))
     sample = lambda: rows.where(F.pmod(F.xxhash64("id"), F.lit(n // size)) == 0)
     if asked and 2 * size <= n:
-        is_open = materialize(_open(is_open, some, sample(), k, max(1, n // max(2 * BLOCK, size)), -(-asked // MOST_SAMPLE)), "open")
+        is_open = materialize(_open(is_open, some, sample(), k, max(1, n // max(4 * SAMPLE, size)), -(-asked // MOST_SAMPLE)), "open")
         while 2 * (size := size * GROWTH) <= n and is_open.count() > FEW:
             found = _best_of(_earlier(is_open, sample(), k, block), k).groupBy(F.col("to_id").alias("id"))
             worst = found.agg(F.count("*").alias("n"), F.min(F.struct("weight", (-F.col("from_id")).alias("minus"))).alias("worst"))
