@@ -20,8 +20,8 @@ from intentdeck.shared import discard, materialize
 BLOCK, BLOCKS, MOST_BYTES = 1024, 24, 1 << 26
 #: Pairs of blocks that meet, about, if blocks are not too large for it: the fewer they are, the fewer times a row is dealt out.
 MEETINGS = 48
-#: Asking rows of all cells that meet in one part of the cell index.
-PART_ROWS = 1 << 17
+#: Parts of the cell index, asking rows of all cells that are worth a part, and the most that meet in one.
+PARTS, FEW_ROWS, PART_ROWS = 4, 2048, 1 << 18
 #: For edges that begin in given nodes: rows of the first sample, at least and at most, and for each node; how much larger the next sample is; and
 #: of how few open rows no more are ruled out.
 SAMPLE, MOST_SAMPLE, SAMPLE_EACH, GROWTH, FEW = 4096, 65_536, 64, 16, 256
@@ -157,10 +157,11 @@ def assign_cells(rows: DataFrame, at: list[list[float]], probes: int) -> DataFra
 
 
 def _ivf(rows: DataFrame, k: int, cells: int | None, probes: int) -> DataFrame:
-    cells = cells or min(4096, max(64, math.isqrt(rows.count())))
+    n = rows.count()
+    cells = cells or min(4096, max(64, math.isqrt(n)))
     at = centres(rows, cells)
     put = assign_cells(rows, at, probes)
-    parts = max(1, -(-rows.count() // PART_ROWS))  # of a cell's asking rows, so that a group does not hold all of them
+    parts = max(1, min(PARTS, n // FEW_ROWS), -(-n // PART_ROWS))  # of a cell's asking rows, so that a group does not hold all of them
     stored = put.select("id", "v", F.col("near")[0].alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"))
     asks = put.select("id", "v", F.explode("near").alias("cell"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asks"))
     return stored.unionByName(asks).groupBy("cell", "part").applyInArrow(_best_stored(k), "from_id long, to_id long, weight double")
